@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strataquill-"))
     return df.checkpoint(eager=True)
+
+
+def run_sql(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
+    """The result of ``sql`` in which every ``@name@`` stands for a DataFrame."""
+    for name, frame in frames.items():
+        view = f"{name}_{uuid.uuid4().hex}"
+        frame.createOrReplaceTempView(view)
+        sql = sql.replace(f"@{name}@", view)
+    return spark.sql(sql)
