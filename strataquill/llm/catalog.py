@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataquill.llm import nearest
+from strataquill.llm import cut_text, nearest
 
-_MODULES = (nearest,)
+_MODULES = (cut_text, nearest)
 
 
 def queries() -> dict:
