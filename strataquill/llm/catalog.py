@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataquill.llm import cut_text, nearest
+from strataquill.llm import cut_text, languages, nearest
 
-_MODULES = (cut_text, nearest)
+_MODULES = (cut_text, languages, nearest)
 
 
 def queries() -> dict:
