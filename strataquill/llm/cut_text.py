@@ -20,24 +20,30 @@ _MARK = r"(\\s*(\\.\\.+|…|&hellip;|[\\[(<](\\.\\.+|…|more|suite|cont[a-z.]*|
 _STOP = r"[.!?][\"»”’)\\]]*$"
 _STEPS = r"""
 WITH prepared AS (
-  SELECT id, field, source, value, regexp_replace(value, '[\\s\\p{Z}\\u200b\\ufeff]+$', '') AS whole FROM @values@
-  WHERE id IS NOT NULL AND value IS NOT NULL AND length(trim(value)) > 0
-), stripped AS (
-  SELECT id, field, source, whole, regexp_replace(whole, '(?i)@mark@', '') AS kept FROM prepared
-), ends AS (
-  SELECT id, field, source, whole, kept, whole <> kept AS marked, kept RLIKE '@stop@' AS stopped,
-    length(whole) AS chars, octet_length(whole) AS bytes, regexp_extract(kept, '([^\\n]*)$', 1) AS tail, kept LIKE '%\n%' AS many_lines FROM stripped
+  SELECT id, field, source, rtrim(value) AS value, right(rtrim(value), 240) AS behind FROM @values@ WHERE id IS NOT NULL AND value IS NOT NULL
+), quick AS (
+  SELECT id, field, source, length(value) AS chars, octet_length(value) AS bytes, value LIKE '%\n%' AS many_lines, behind FROM prepared
+  WHERE value <> '' AND (field = 'heading' OR NOT (endswith(value, '.') AND NOT endswith(value, '..') OR endswith(value, '!') OR endswith(value, '?')))
+), ends AS ( -- each LATERAL VIEW keeps the optimizer from repeating the patterns above it
+  SELECT id, field, source, chars, bytes, many_lines, kept, whole <> kept AS marked, stopped, tail FROM quick
+  LATERAL VIEW inline(array(struct(regexp_replace(behind, '[\\s\\p{Z}\\u200b\\ufeff]+$', '') AS whole))) v1
+  LATERAL VIEW inline(array(struct(regexp_replace(whole, '(?i)@mark@', '') AS kept))) v2
+  LATERAL VIEW inline(array(struct(kept RLIKE '@stop@' AS stopped, substring_index(kept, '\n', -1) AS tail))) v3
+  WHERE whole <> ''
 ), tailed AS (
-  SELECT *, field <> 'heading' AND NOT stopped AND NOT marked AND (
-      tail RLIKE '^\\s*\\(s\\)' OR tail RLIKE '[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}$' AND many_lines AND length(tail) < 60
-      OR many_lines AND tail RLIKE '\\p{L}' AND upper(tail) = tail) AS signed
-  FROM ends
+  SELECT * FROM ends
+  LATERAL VIEW inline(array(struct(field <> 'heading' AND NOT stopped AND NOT marked AND many_lines AND (
+      tail RLIKE '^\\s*\\(s\\)' OR length(tail) < 60 AND tail RLIKE '[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}$'
+      OR upper(tail) = tail AND tail RLIKE '\\p{L}') AS signed))) v4
 ), open AS (
-  SELECT id, field, source, chars, bytes, marked, kept,
-    split(regexp_replace(concat('^ ^ ', translate(lower(regexp_replace(trim(kept), '\\s+', ' ')), '012345678', '999999999')), ' +', ' '), ' ') AS w FROM tailed
+  SELECT id, field, source, chars, bytes, marked, kept, w FROM tailed
+  LATERAL VIEW inline(array(struct(regexp_replace(trim(kept), '\\s+', ' ') AS value))) v5
+  LATERAL VIEW inline(array(struct(split(concat('^ ^ ', @words@), ' ') AS w))) v6
   WHERE marked AND NOT (stopped AND field <> 'heading') OR NOT stopped AND NOT signed
 )
 """
+# The words of a value: lower case, digits alike, every stop a point, no commas and colons.
+_WORDS = r"translate(lower(value), '0123456789!?;\n:,', '9999999999... ')"
 _LIMITS = r"""
 , lengths AS (
   SELECT source, field, unit, n, count(*) AS pile FROM (
@@ -50,30 +56,31 @@ _LIMITS = r"""
 SELECT source, field, unit, n AS at FROM near WHERE pile >= 8 AND pile * 8.0 >= 5 * around AND longer <= 2 * pile
 """
 _COUNTS = r"""
-SELECT k3, k1, sum(inside) AS inside, sum(terminal) AS terminal FROM (
-  SELECT xxhash64(field, w[i], w[i + 1], rtrim('.!?;:,', w[i + 2])) AS k3, xxhash64(field, rtrim('.!?;:,', w[i + 2])) AS k1,
-    CASE WHEN i + 3 = n OR substr(w[i + 2], -1) IN ('.', '!', '?', ';') THEN 0 ELSE 1 END AS inside,
-    CASE WHEN substr(w[i + 2], -1) IN ('.', '!', '?', ';') OR field = 'heading' AND i + 3 = n AND NOT at_limit THEN 1 ELSE 0 END AS terminal
+SELECT k3, k1, sum(1 - terminal - cut) AS inside, sum(terminal) AS terminal FROM (
+  SELECT xxhash64(heading, a, b, if(stop, left(c, length(c) - 1), c)) AS k3, xxhash64(heading, if(stop, left(c, length(c) - 1), c)) AS k1,
+    if(stop OR heading AND last AND NOT at_limit, 1, 0) AS terminal, if(NOT stop AND last AND (at_limit OR NOT heading), 1, 0) AS cut
   FROM (
-    SELECT field, w, size(w) AS n, at_limit FROM (
-      SELECT v.field, split(concat('^ ^ ', translate(lower(trim(value)), '012345678\n', '999999999 ')), ' ') AS w, @at_limit@ AS at_limit
-      FROM @values@ v WHERE v.value IS NOT NULL)
-  ) LATERAL VIEW explode(sequence(0, n - 3)) e AS i)
+    SELECT heading, at_limit, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, endswith(w[i + 2], '.') AS stop, i + 3 = n AS last FROM (
+      SELECT heading, at_limit, w, size(w) AS n FROM (
+        SELECT v.field = 'heading' AS heading, @at_limit@ AS at_limit, split(concat('^ ^ ', @words@), ' ') AS w FROM @values@ v WHERE value IS NOT NULL)
+    ) LATERAL VIEW explode(sequence(0, n - 3)) e AS i))
 GROUP BY k3, k1
 """
 _DECIDE = r"""
-, cand AS (
-  SELECT *, xxhash64(field, element_at(w, -3), element_at(w, -2), rtrim('.!?;:,', element_at(w, -1))) AS k3, xxhash64(field, rtrim('.!?;:,', element_at(w, -1))) AS k1,
-    @at_limit_cand@ AS at_limit FROM open v LEFT JOIN @flags@ USING (source, field)
+, last AS (
+  SELECT *, field = 'heading' AS heading, element_at(w, -3) AS a, element_at(w, -2) AS b, element_at(w, -1) AS c, @at_limit_cand@ AS at_limit
+  FROM open v LEFT JOIN @flags@ USING (source, field)
+), cand AS (
+  SELECT *, xxhash64(heading, a, b, if(endswith(c, '.'), left(c, length(c) - 1), c)) AS k3, xxhash64(heading, if(endswith(c, '.'), left(c, length(c) - 1), c)) AS k1 FROM last
 ), by3 AS (SELECT k3, sum(inside) AS i3, sum(terminal) AS t3 FROM @counts@ GROUP BY k3),
 by1 AS (SELECT k1, sum(inside) AS i1, sum(terminal) AS t1 FROM @counts@ GROUP BY k1)
 SELECT DISTINCT id, field, source FROM (
   SELECT c.*, coalesce(i3, 0) AS i3, coalesce(t3, 0) AS t3, coalesce(i1, 0) AS i1, coalesce(t1, 0) AS t1
   FROM cand c LEFT JOIN by3 ON c.k3 = by3.k3 LEFT JOIN by1 ON c.k1 = by1.k1)
-WHERE marked OR kept RLIKE '\\x{FFFD}$' OR kept RLIKE '[,(«“]$' OR field <> 'heading' AND (at_limit OR kept RLIKE '[;:]$')
-  OR CASE WHEN i3 + t3 >= 5 THEN t3 < @share@ * (i3 + t3) AND (field <> 'heading' OR at_limit OR i3 >= 20)
-          WHEN i1 + t1 >= 5 THEN t1 < @share@ * (i1 + t1) AND (field <> 'heading' OR at_limit)
-          ELSE field <> 'heading' OR at_limit END
+WHERE marked OR kept RLIKE '\\x{FFFD}$' OR kept RLIKE '[,(«“]$' OR NOT heading AND (at_limit OR kept RLIKE '[;:]$')
+  OR CASE WHEN i3 + t3 >= 5 THEN t3 < @share@ * (i3 + t3) AND (NOT heading OR at_limit OR i3 >= 20)
+          WHEN i1 + t1 >= 5 THEN t1 < @share@ * (i1 + t1) AND (NOT heading OR at_limit)
+          ELSE NOT heading OR at_limit END
 """
 
 
@@ -91,13 +98,13 @@ def cut_values(values: DataFrame, share: float = 0.02) -> DataFrame:
     """
     spark = values.sparkSession
     values = values.select("id", "field", F.coalesce("source", F.lit("")).alias("source"), "value")
-    steps = _STEPS.replace("@mark@", _MARK).replace("@stop@", _STOP)
+    steps = _STEPS.replace("@mark@", _MARK).replace("@stop@", _STOP).replace("@words@", _WORDS)
     flags = run_sql(spark, steps + _LIMITS, values=values).groupBy("source", "field").agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("at"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("at"))).alias("byte_limits")
     )
     at_limit = "coalesce(array_contains(char_limits, {}) OR array_contains(byte_limits, {}), false)"
     known = values.join(flags, ["source", "field"], "left")
-    counts = run_sql(spark, _COUNTS.replace("@at_limit@", at_limit.format("length(value)", "octet_length(value)")), values=known)
+    counts = run_sql(spark, _COUNTS.replace("@words@", _WORDS).replace("@at_limit@", at_limit.format("length(value)", "octet_length(value)")), values=known)
     decide = _DECIDE.replace("@share@", str(share)).replace("@at_limit_cand@", at_limit.format("chars", "bytes"))
     return run_sql(spark, steps + decide, values=values, counts=counts, flags=flags)
 
