@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataquill.llm import cut_text, languages, nearest
+from strataquill.llm import cut_text, languages, nearest, scanned
 
-_MODULES = (cut_text, languages, nearest)
+_MODULES = (cut_text, languages, nearest, scanned)
 
 
 def queries() -> dict:
