@@ -4,7 +4,7 @@ Every value is split into words once; the hashes of its word trigrams are counte
 (followed by more of the sentence) and at ends (followed by a stop). The last trigrams of values
 without a final stop meet these counts by a join: a trigram frequent inside and almost never at an
 end, or a last word that no text uses inside, shows a cut. Piles of unfinished values at one length
-of a source (in characters or bytes), with few longer ones, show its field limit. Nothing is broadcast but the few limits.
+of a source (in characters or bytes), with few longer ones, show its field limit. Nothing is broadcast but the limits, whose number is bounded.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ _LIMITS = r"""
   SELECT *, sum(pile) OVER (PARTITION BY source, field, unit ORDER BY n RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) - pile AS around,
     coalesce(sum(pile) OVER (PARTITION BY source, field, unit ORDER BY n RANGE BETWEEN 5 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS longer FROM lengths
 )
-SELECT source, field, unit, n AS at FROM near WHERE pile >= 8 AND pile * 8.0 >= 5 * around AND longer <= 2 * pile
+SELECT source, field, unit, n AS at FROM near WHERE pile >= 8 AND pile * 8.0 >= 5 * around AND longer <= 2 * pile AND pile * 100000 >= (SELECT sum(pile) FROM lengths)
 """
 _COUNTS = r"""
 SELECT k3, k1, sum(1 - terminal - cut) AS inside, sum(terminal) AS terminal FROM (
@@ -103,6 +103,7 @@ def cut_values(values: DataFrame, share: float = 0.02) -> DataFrame:
         F.collect_set(F.when(F.col("unit") == "chars", F.col("at"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("at"))).alias("byte_limits")
     )
     at_limit = "coalesce(array_contains(char_limits, {}) OR array_contains(byte_limits, {}), false)"
+    flags = F.broadcast(flags)  # a limit piles up 1/100000 of all unfinished values, so there are at most 200000
     known = values.join(flags, ["source", "field"], "left")
     counts = run_sql(spark, _COUNTS.replace("@words@", _WORDS).replace("@at_limit@", at_limit.format("length(value)", "octet_length(value)")), values=known)
     decide = _DECIDE.replace("@share@", str(share)).replace("@at_limit_cand@", at_limit.format("chars", "bytes"))
