@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataquill.llm import cut_text, languages, nearest, scanned
+from strataquill.llm import bilingual, cut_text, languages, nearest, scanned
 
-_MODULES = (cut_text, languages, nearest, scanned)
+_MODULES = (bilingual, cut_text, languages, nearest, scanned)
 
 
 def queries() -> dict:
