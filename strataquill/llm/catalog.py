@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataquill.llm import bilingual, cut_text, languages, nearest, quality, scanned
+from strataquill.llm import bilingual, cut_text, encoding, languages, nearest, quality, scanned
 
-_MODULES = (bilingual, cut_text, languages, nearest, quality, scanned)
+_MODULES = (bilingual, cut_text, encoding, languages, nearest, quality, scanned)
 
 
 def queries() -> dict:
