@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataquill.llm import bilingual, cut_text, encoding, languages, leaks, nearest, quality, scanned
+from strataquill.llm import bilingual, cut_text, encoding, languages, leaks, nearest, pairs, quality, scanned
 
-_MODULES = (bilingual, cut_text, encoding, languages, leaks, nearest, quality, scanned)
+_MODULES = (bilingual, cut_text, encoding, languages, leaks, nearest, pairs, quality, scanned)
 
 
 def queries() -> dict:
