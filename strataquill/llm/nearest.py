@@ -61,8 +61,8 @@ def curve_projection(curve: int, size: int, axes: int, seed: int) -> tuple[np.nd
     return basis[:, :axes], rng.random(axes)
 
 
-def window_neighbours(ids: np.ndarray, vectors: np.ndarray, first: int, last: int, halo: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows first..last of a sorted run, the k best of the rows at most ``halo`` away.
+def window_neighbours(ids: np.ndarray, vectors: np.ndarray, runs: np.ndarray, first: int, last: int, halo: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows first..last in curve order, the k best of the rows of the same run at most ``halo`` away.
 
     Returns ids and cosines (rounded to 12 decimals) of shape (last - first, k), best first; absent
     neighbours have cosine -9. Single precision picks k + 6 candidates, double precision ranks them.
@@ -70,7 +70,7 @@ def window_neighbours(ids: np.ndarray, vectors: np.ndarray, first: int, last: in
     low, high = max(0, first - halo), min(len(ids), last + halo)
     near, rows = vectors[low:high], vectors[first:last]
     scores = rows.astype(np.float32) @ near.astype(np.float32).T
-    scores[ids[first:last, None] == ids[None, low:high]] = -9
+    scores[(ids[first:last, None] == ids[None, low:high]) | (runs[first:last, None] != runs[None, low:high])] = -9
     take = min(k + 6, high - low)
     best = np.argpartition(-scores, take - 1, axis=1)[:, :take]
     exact = np.round((rows[:, None, :] * near[best]).sum(-1), 12)
@@ -128,11 +128,11 @@ def nearest_vectors(records: DataFrame, id_col: str = "id", vector_col: str = "e
                 )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, done = np.zeros(0, np.int64), np.zeros((0, size)), 0
+        ids, vectors, runs, done = np.zeros(0, np.int64), np.zeros((0, size)), np.zeros(0, np.int32), 0
         block = 256
 
         def result(first: int, last: int) -> pa.RecordBatch:
-            found, exact = window_neighbours(ids, vectors, first, last, halo, k)
+            found, exact = window_neighbours(ids, vectors, runs, first, last, halo, k)
             offsets = pa.array(np.arange(0, found.size + 1, k, dtype=np.int32))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids[first:last]), pa.ListArray.from_arrays(offsets, pa.array(found.ravel())), pa.ListArray.from_arrays(offsets, pa.array(exact.ravel()))],
@@ -143,12 +143,13 @@ def nearest_vectors(records: DataFrame, id_col: str = "id", vector_col: str = "e
             if not batch.num_rows:
                 continue
             ids = np.concatenate([ids, batch.column("gid").to_numpy(zero_copy_only=False)])
+            runs = np.concatenate([runs, batch.column("curve").to_numpy(zero_copy_only=False)])
             vectors = np.concatenate([vectors, np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float64).reshape(-1, size)])
             while len(ids) - done >= block + halo:
                 yield result(done, done + block)
                 done += block
             drop = max(0, done - halo)
-            ids, vectors, done = ids[drop:], vectors[drop:], done - drop
+            ids, vectors, runs, done = ids[drop:], vectors[drop:], runs[drop:], done - drop
         while done < len(ids):
             yield result(done, min(done + block, len(ids)))
             done = min(done + block, len(ids))

@@ -113,7 +113,7 @@ def shortened(values: DataFrame, column: str = "answer", least: int = 30, shared
         for batch in batches:
             found = []
             for text in batch.column("text").to_pylist():
-                if before is not None and len(before) >= least and len(text) > len(before) and text.startswith(before):
+                if before is not None and len(before) >= least and before[-1] not in ".!?" and len(text) > len(before) and text.startswith(before):
                     rest = text[len(before) :]
                     if rest[0].isalnum() and before[-1].isalnum() or rest[0] in " ,'’-" and rest.lstrip(" ,'’-")[:1].islower():
                         found.append(before)
