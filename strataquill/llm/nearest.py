@@ -111,6 +111,7 @@ def nearest_vectors(records: DataFrame, id_col: str = "id", vector_col: str = "e
     groups = checkpoint(marked.groupBy("mark").agg(F.min("id").alias("gid"), F.max("vec").alias("vec")))
     members = marked.select("id", "mark").distinct().join(groups.select("mark", "gid"), "mark").select("id", "gid")
     smallest = members.withColumn("n", F.row_number().over(Window.partitionBy("gid").orderBy("id"))).where(F.col("n") <= k + 1).select("gid", "id")
+    axes = min(axes, size)
     projections = [curve_projection(c, size, axes, seed) for c in range(curves)]
     reach = 3.6 / np.sqrt(size)
 
