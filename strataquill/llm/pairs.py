@@ -58,7 +58,12 @@ def bare_words(text: str) -> list[str]:
 
 
 def says_nothing(answer: str | None) -> bool:
-    return answer is None or " ".join(bare_words(answer)) in _EMPTY
+    if answer is None:
+        return True
+    # What says nothing holds next to no letters or digits outside its markup.
+    if len(answer) > 100 and sum(map(len, _WORD.findall(re.sub(r"<[^<>]*>|&[a-z#0-9]+;", " ", answer)))) > 24:
+        return False
+    return " ".join(bare_words(answer)) in _EMPTY
 
 
 def only_declines(answer: str) -> bool:
@@ -67,14 +72,19 @@ def only_declines(answer: str) -> bool:
     sentences = [s.strip(" *_>#-\"“”«»") for s in re.split(r"[.!?\n]+", text) if _LETTERS.search(s)]
     if not sentences or any(len(s.split()) > 32 for s in sentences):
         return False
-    declines = [bool(_DECLINES.search(s)) for s in sentences]
-    around = [bool(_AROUND.match(s)) for s in sentences]
+    declines = []
+    for s in sentences:
+        declines.append(bool(_DECLINES.search(s)))
+        if not declines[-1] and not _AROUND.match(s):
+            return False
     apologises = re.match(r"(?:i am sorry|sorry|unfortunately|apolog|je suis désol|désol|malheureusement|toutes mes excuses|mbabarira|nsabye imbabazi|ikibabaje)", sentences[0], re.IGNORECASE)
-    return all(d or a for d, a in zip(declines, around)) and (any(declines) or apologises is not None and len(_LETTERS.findall(text)) < 12)
+    return any(declines) or apologises is not None and len(_LETTERS.findall(text)) < 12
 
 
 def only_repeats(question: str | None, answer: str, dressing: int = 6) -> bool:
     """Without the question (or its first sentence), at most ``dressing`` words are left, all in front."""
+    if len(set(answer.casefold().split())) > len((question or "").split()) + dressing + 4:
+        return False  # too many different words
     asked, said = bare_words(question or ""), bare_words(answer)
     if len(asked) < 3:
         return bool(asked) and said == asked
@@ -94,15 +104,24 @@ def only_repeats(question: str | None, answer: str, dressing: int = 6) -> bool:
     return False
 
 
-def _side_scores(models: list[CharModel], text: str, cache: dict[str, np.ndarray]) -> tuple[np.ndarray, int]:
-    words = [w for w in (w.lower() for w in _LETTERS.findall(text)) if len(w) < 60]
-    new = [w for w in dict.fromkeys(words) if w not in cache]
-    if new:
-        if len(cache) > 100_000:
-            cache.clear()
-            new = list(dict.fromkeys(words))
-        cache.update(zip(new, score_words(models, new)))
-    return (np.sum([cache[w] for w in words], axis=0) if words else np.zeros(len(models))), len(words)
+class WordScores:
+    """Sums of word scores under each model; every word is scored once."""
+
+    def __init__(self, models: list[CharModel], most: int = 100_000):
+        self.models, self.most = models, most
+        self.rows: dict[str, int] = {}
+        self.matrix = np.zeros((0, len(models)))
+
+    def sums(self, text: str) -> tuple[np.ndarray, int]:
+        words = [w for w in _LETTERS.findall(text.lower()) if len(w) < 60]
+        new = [w for w in dict.fromkeys(words) if w not in self.rows]
+        if new:
+            if len(self.rows) > self.most:
+                self.rows, self.matrix = {}, self.matrix[:0]
+                new = list(dict.fromkeys(words))
+            self.rows.update(zip(new, range(len(self.matrix), len(self.matrix) + len(new))))
+            self.matrix = np.concatenate([self.matrix, score_words(self.models, new)])
+        return self.matrix[[self.rows[w] for w in words]].sum(0), len(words)
 
 
 def shortened(values: DataFrame, column: str = "answer", least: int = 30, shared: int = 24) -> DataFrame:
@@ -140,7 +159,7 @@ def defective_pairs(records: DataFrame, labelled: DataFrame, text_col: str = "bo
     models, _ = fit_models(labelled, text_col, label_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
+        scores = WordScores(models)
         for batch in batches:
             verdicts = []
             for question, answer in zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist()):
@@ -155,7 +174,7 @@ def defective_pairs(records: DataFrame, labelled: DataFrame, text_col: str = "bo
                     said = answer
                     if (place := said.casefold().find(question.strip().casefold())) >= 0:
                         said = said[:place] + said[place + len(question.strip()) :]
-                    (asked, n_asked), (spoken, n_spoken) = _side_scores(models, question, cache), _side_scores(models, said, cache)
+                    (asked, n_asked), (spoken, n_spoken) = scores.sums(question), scores.sums(said)
                     if n_asked >= 3 and n_spoken >= 5:
                         a, b = int(asked.argmax()), int(spoken.argmax())
                         if a != b and spoken[b] - spoken[a] > 6 and asked[a] - asked[b] > 3 and not _ASKS[LANGUAGES[b]].search(question):
