@@ -85,7 +85,7 @@ def window_neighbours(ids: np.ndarray, vectors: np.ndarray, runs: np.ndarray, fi
 
 
 def nearest_vectors(records: DataFrame, id_col: str = "id", vector_col: str = "embedding", size: int = 64, k: int = 10,
-                    curves: int = 24, axes: int = 12, bits: int = 4, halo: int = 512, seed: int = 7) -> DataFrame:
+                    curves: int = 32, axes: int = 12, bits: int = 4, halo: int = 512, seed: int = 7) -> DataFrame:
     """Rows (id, neighbour, cosine, rank): the k most similar records of every record by cosine.
 
     Ties (equal to 12 decimals) go to the smaller id; a record is not its own neighbour. Records
