@@ -84,6 +84,19 @@ def window_neighbours(ids: np.ndarray, vectors: np.ndarray, runs: np.ndarray, fi
     return found, exact
 
 
+def best_of(keys: np.ndarray, others: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest distinct others of each key, in order; those of distance over 8 are absent."""
+    order = np.lexsort((others, far, keys))
+    keys, others, far = keys[order], others[order], far[order]
+    kept = far < 8
+    kept[1:] &= (keys[1:] != keys[:-1]) | (others[1:] != others[:-1])
+    keys, others, far = keys[kept], others[kept], far[kept]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    rank = np.arange(len(keys)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(keys)]])))
+    first = rank < k
+    return keys[first], others[first], far[first]
+
+
 def nearest_vectors(records: DataFrame, id_col: str = "id", vector_col: str = "embedding", size: int = 64, k: int = 10,
                     curves: int = 32, axes: int = 12, bits: int = 4, halo: int = 512, seed: int = 7) -> DataFrame:
     """Rows (id, neighbour, cosine, rank): the k most similar records of every record by cosine.
@@ -157,10 +170,16 @@ def nearest_vectors(records: DataFrame, id_col: str = "id", vector_col: str = "e
 
     ordered = groups.select("gid", "vec").mapInArrow(keyed, "curve int, key long, gid long, vec binary").repartitionByRange("curve", "key").sortWithinPartitions("curve", "key")
     per_curve = ordered.mapInArrow(windows, "gid long, near array<long>, cosine array<double>")
-    pairs = F.zip_with("near", "cosine", lambda n, c: F.struct((-c).alias("far"), n.alias("near")))
-    merged = per_curve.select("gid", F.filter(pairs, lambda p: p["far"] < 8).alias("p")).groupBy("gid").agg(F.collect_list("p").alias("p"))
-    best = merged.select("gid", F.slice(F.array_sort(F.array_distinct(F.flatten("p"))), 1, k).alias("p"))
-    near = best.select("gid", F.explode("p").alias("p")).select("gid", F.col("p.near").alias("other"), F.col("p.far").alias("far"))
+    merged = per_curve.groupBy("gid").agg(F.collect_list(F.struct("near", "cosine")).alias("lists")).select("gid", F.flatten("lists.near").alias("near"), F.flatten("lists.cosine").alias("cosine"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = batch.column("near")
+            gids = np.repeat(batch.column("gid").to_numpy(zero_copy_only=False), np.diff(near.offsets.to_numpy()))
+            gids, others, far = best_of(gids, near.flatten().to_numpy(zero_copy_only=False), -batch.column("cosine").flatten().to_numpy(zero_copy_only=False), k)
+            yield pa.RecordBatch.from_arrays([pa.array(gids), pa.array(others), pa.array(far)], ["gid", "other", "far"])
+
+    near = merged.mapInArrow(merge, "gid long, other long, far double")
     own = groups.select("gid", F.col("gid").alias("other"), F.lit(-1.0).alias("far"))
     lists = (
         near.unionByName(own)
