@@ -111,9 +111,8 @@ def marker_counts(text: Column, markers: dict[str, str] = MARKERS) -> dict[str,
     return {language: count_ascii(text, pattern) for language, pattern in markers.items()}
 
 
-def language_by_markers(text: Column, markers: dict[str, str] = MARKERS) -> Column:
-    """The language with most markers, ties in the order of ``markers``; null without any."""
-    counts = marker_counts(F.coalesce(text, F.lit("")), markers)
+def most_markers(counts: dict[str, Column]) -> Column:
+    """The language with the largest count, ties in the order given; null where all are zero."""
     top = F.greatest(*counts.values())
     result = F.lit(None).cast("string")
     for language, count in reversed(list(counts.items())):
@@ -121,9 +120,13 @@ def language_by_markers(text: Column, markers: dict[str, str] = MARKERS) -> Colu
     return F.when(top > 0, result)
 
 
-def english_or_french(text: Column) -> Column:
-    """``en`` or ``fr`` by function words; null where they tie."""
-    counts = marker_counts(text)
+def language_by_markers(text: Column, markers: dict[str, str] = MARKERS) -> Column:
+    """The language with most markers, ties in the order of ``markers``; null without any."""
+    return most_markers(marker_counts(F.coalesce(text, F.lit("")), markers))
+
+
+def english_or_french(counts: dict[str, Column]) -> Column:
+    """``en`` or ``fr`` by their marker counts; null where they tie."""
     return F.when(counts["en"] > counts["fr"], "en").when(counts["fr"] > counts["en"], "fr")
 
 

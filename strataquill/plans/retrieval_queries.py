@@ -15,7 +15,7 @@ _LANGUAGES = ("rw", "en", "fr")
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     return d.where(F.col("lang").isNotNull()).select(F.lower("lang").alias("language"), F.col("doc_id").alias("doc"), "text")
 
 

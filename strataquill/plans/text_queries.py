@@ -15,17 +15,18 @@ from strataquill.sources.tables import table
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "article_texts").dropDuplicates(["id"])
+    return table(spark, folder, "article_texts", spread=True).dropDuplicates(["id"])
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return table(spark, folder, "documents", spread=True)
 
 
 def classify_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder).where("text IS NOT NULL")
-    counts = C.marker_counts(F.col("text"))
-    return docs.select("doc_id", *(c.cast("long").alias(f"n_{k}") for k, c in counts.items()), C.language_by_markers(F.col("text")).alias("language"), C.english_or_french(F.col("text")).alias("latin"))
+    counted = docs.select("doc_id", *(c.cast("long").alias(f"n_{k}") for k, c in C.marker_counts(F.col("text")).items()))
+    counts = {k: F.col(f"n_{k}") for k in C.MARKERS}
+    return counted.select("*", C.most_markers(counts).alias("language"), C.english_or_french(counts).alias("latin"))
 
 
 def judgment_language(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table ``name`` below ``folder``; column pruning and filters reach the scan."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """The table ``name`` below ``folder``; column pruning and filters reach the scan.
+
+    With ``spread``, a table of fewer splits than the cluster has cores is spread over them: worth a
+    shuffle only where much is done with each row of a small file. Larger tables stay as they are.
+    """
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and rows._jdf.rdd().getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
