@@ -130,7 +130,7 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return encode_corpus(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+    return encode_corpus(table(spark, folder, "documents", spread=True)).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"p8_ids": p8_ids}

@@ -197,12 +197,12 @@ def _finder(items: list[tuple[int, str]], share: float, edits: float):
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a test passage wholly or in large part."""
-    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
+    return find_leaks(table(spark, folder, "documents", spread=True), table(spark, folder, "benchmark")).select("doc_id", "item_id")
 
 
 def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     """How many documents leak each item that leaks, and the most words any holds."""
-    found = find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = find_leaks(table(spark, folder, "documents", spread=True), table(spark, folder, "benchmark"))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("words").alias("most_words"))
 
 

@@ -200,13 +200,13 @@ def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that are a list, a table or junk."""
-    return quality(table(spark, folder, "documents")).where("kind <> 'prose'").select(F.col("id").alias("doc_id"), "kind")
+    return quality(table(spark, folder, "documents", spread=True)).where("kind <> 'prose'").select(F.col("id").alias("doc_id"), "kind")
 
 
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics of every document."""
     wanted = ["words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words"]
-    return quality(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), F.col("words").cast("long").alias("words"), *(F.round(c, 6).alias(c) for c in wanted[1:]), F.round("distance", 3).alias("distance"), "kind")
+    return quality(table(spark, folder, "documents", spread=True)).select(F.col("id").alias("doc_id"), F.col("words").cast("long").alias("words"), *(F.round(c, 6).alias(c) for c in wanted[1:]), F.round("distance", 3).alias("distance"), "kind")
 
 
 QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics}
