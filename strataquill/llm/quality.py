@@ -24,6 +24,7 @@ from strataquill.sources.tables import table
 #: The statistics the distance is made of.
 STATISTICS = ("log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "log_words_per_line", "entry_lines", "cell_lines", "log_sentence_length")
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
 _BULLET = re.compile(r"^\s*(?:[-*•–—·+o▪►]\s+|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.)°:]\)?\s*)")
 _LEADER = re.compile(r"(?:\.{3,}|…{2,}|(?:\s\.){3,}|_{3,}|\s{2,}|\t)\s*\d{1,4}\s*$")
 _STOP = re.compile(r"[.!?…][\"'»”)\]]*$")
@@ -52,9 +53,9 @@ def measure(text: str, common: frozenset[str]) -> dict[str, float]:
     lines = [line for line in text.splitlines() if line.strip()]
     words = [w.lower() for w in _WORD.findall(text)]
     whole = [w for w in words if len(w) > 1]
-    visible = sum(len(t) for t in tokens)
-    letters = sum(len(w) for w in words)
-    digits = sum(c.isdigit() for c in text)
+    visible = sum(map(len, tokens))
+    letters = sum(map(len, words))
+    digits = sum(map(len, _DIGITS.findall(text)))
     ends = len(_SENTENCE_END.findall(text))
     rows, entries, sizes = [], [], []
     for k, line in enumerate(lines):
