@@ -47,7 +47,7 @@ _WORDS = r"translate(lower(value), '0123456789!?;\n:,', '9999999999... ')"
 _LIMITS = r"""
 , lengths AS (
   SELECT source, field, unit, n, count(*) AS pile FROM (
-    SELECT DISTINCT id, source, field, u.unit, u.n FROM open LATERAL VIEW inline(array(named_struct('unit', 'chars', 'n', chars), named_struct('unit', 'bytes', 'n', bytes))) u)
+    SELECT DISTINCT @one@ AS one, source, field, u.unit, u.n FROM open LATERAL VIEW inline(array(named_struct('unit', 'chars', 'n', chars), named_struct('unit', 'bytes', 'n', bytes))) u)
   GROUP BY source, field, unit, n
 ), near AS (
   SELECT *, sum(pile) OVER (PARTITION BY source, field, unit ORDER BY n RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) - pile AS around,
@@ -72,19 +72,37 @@ _DECIDE = r"""
   FROM open v LEFT JOIN @flags@ USING (source, field)
 ), cand AS (
   SELECT *, xxhash64(heading, a, b, if(endswith(c, '.'), left(c, length(c) - 1), c)) AS k3, xxhash64(heading, if(endswith(c, '.'), left(c, length(c) - 1), c)) AS k1 FROM last
-), by3 AS (SELECT k3, sum(inside) AS i3, sum(terminal) AS t3 FROM @counts@ GROUP BY k3),
+)@settled@, by3 AS (SELECT k3, sum(inside) AS i3, sum(terminal) AS t3 FROM @counts@ GROUP BY k3),
 by1 AS (SELECT k1, sum(inside) AS i1, sum(terminal) AS t1 FROM @counts@ GROUP BY k1)
 SELECT DISTINCT id, field, source FROM (
-  SELECT c.*, coalesce(i3, 0) AS i3, coalesce(t3, 0) AS t3, coalesce(i1, 0) AS i1, coalesce(t1, 0) AS t1
-  FROM cand c LEFT JOIN by3 ON c.k3 = by3.k3 LEFT JOIN by1 ON c.k1 = by1.k1)
+  SELECT c.*, coalesce(i3, 0) AS i3, coalesce(t3, 0) AS t3, coalesce(i1, 0) AS i1, coalesce(t1, 0) AS t1, @begin@ AS begin
+  FROM settled c LEFT JOIN by3 ON c.k3 = by3.k3 LEFT JOIN by1 ON c.k1 = by1.k1@begun@)
 WHERE marked OR kept RLIKE '\\x{FFFD}$' OR kept RLIKE '[,(«“]$' OR NOT heading AND (at_limit OR kept RLIKE '[;:]$')
-  OR CASE WHEN i3 + t3 >= 5 THEN t3 < @share@ * (i3 + t3) AND (NOT heading OR at_limit OR i3 >= 20)
+  OR CASE WHEN phrase THEN false
+          WHEN i3 + t3 >= 5 THEN t3 < @share@ * (i3 + t3) AND (NOT heading OR at_limit OR i3 >= 20)
           WHEN i1 + t1 >= 5 THEN t1 < @share@ * (i1 + t1) AND (NOT heading OR at_limit)
-          ELSE NOT heading OR at_limit END
+          ELSE (NOT heading OR at_limit) AND (NOT brief OR begin IS NOT NULL AND i1 + t1 = 0) END
 """
-
-
-def cut_values(values: DataFrame, share: float = 0.02) -> DataFrame:
+# Short values that recur, digits alike, are set phrases, unless they are the beginnings of a text that is common in full.
+_SETTLED = r"""
+, alike AS (
+  SELECT *, sum(int(brief)) OVER (PARTITION BY if(brief, xxhash64(w), xxhash64(id))) AS n_alike FROM (
+    SELECT *, size(w) - 2 < @short@ AND NOT marked AND NOT at_limit AS brief FROM cand)
+), going AS (
+  SELECT xxhash64(slice(w, 1, i)) AS form, count(*) AS n_going FROM (SELECT split(concat('^ ^ ', @words@), ' ', @short@ + 3) AS w FROM @values@)
+  LATERAL VIEW explode(sequence(3, least(size(w) - 1, @short@ + 1))) s AS i WHERE size(w) > 3 GROUP BY 1
+), settled AS (
+  SELECT a.*, brief AND n_alike >= 2 AND n_alike >= @share@ * (n_alike + coalesce(n_going, 0)) AS phrase FROM alike a LEFT JOIN going ON if(brief, xxhash64(w), xxhash64(id)) = form
+), begun AS ( -- what longer words begin with, up to 60 letters
+  SELECT DISTINCT left(word, i) AS begin FROM (
+    SELECT DISTINCT rtrim('.', word) AS word FROM @values@ LATERAL VIEW explode(split(@words@, ' ')) e AS word)
+  LATERAL VIEW explode(sequence(1, least(length(word) - 1, 60))) s AS i WHERE length(word) > 1
+)"""
+_UNSETTLED = ", settled AS (SELECT *, false AS brief, false AS phrase FROM cand)"
+_BEGUN = " LEFT JOIN begun ON if(c.brief, rtrim('.', c.c), concat(' ', c.id)) = begun.begin"
+
+
+def cut_values(values: DataFrame, share: float = 0.02, short: int = 0) -> DataFrame:
     """The rows (id, field, source) of ``values`` (id, field, source, value) that were cut off.
 
     A value is cut if, with trailing blanks and any mark of omission taken off, it stops inside a
@@ -95,11 +113,15 @@ def cut_values(values: DataFrame, share: float = 0.02) -> DataFrame:
     at a field limit or behind a trigram seen 20 times. A signature line, a line in capitals and a
     place with date end a text. Null, empty and blank values and null ids are no case; repeated rows
     count once in the result; a null source is a source of its own; empty input gives no rows.
+    Values of fewer than ``short`` words may be set phrases without a stop: those that differ in
+    digits at most count once in a pile, two of them or more are whole (if others go on with them, above ``share``), and
+    a last word that no text uses must be the beginning of one that some text uses.
     """
     spark = values.sparkSession
     values = values.select("id", "field", F.coalesce("source", F.lit("")).alias("source"), "value")
     steps = _STEPS.replace("@mark@", _MARK).replace("@stop@", _STOP).replace("@words@", _WORDS)
-    flags = run_sql(spark, steps + _LIMITS, values=values).groupBy("source", "field").agg(
+    one = f"if(size(w) - 2 < {short}, xxhash64(w), xxhash64(id))" if short else "id"
+    flags = run_sql(spark, steps + _LIMITS.replace("@one@", one), values=values).groupBy("source", "field").agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("at"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("at"))).alias("byte_limits")
     )
     at_limit = "coalesce(array_contains(char_limits, {}) OR array_contains(byte_limits, {}), false)"
@@ -107,6 +129,7 @@ def cut_values(values: DataFrame, share: float = 0.02) -> DataFrame:
     known = values.join(flags, ["source", "field"], "left")
     counts = run_sql(spark, _COUNTS.replace("@words@", _WORDS).replace("@at_limit@", at_limit.format("length(value)", "octet_length(value)")), values=known)
     decide = _DECIDE.replace("@share@", str(share)).replace("@at_limit_cand@", at_limit.format("chars", "bytes"))
+    decide = decide.replace("@settled@", _SETTLED.replace("@short@", str(short)).replace("@share@", str(share)).replace("@words@", _WORDS) if short else _UNSETTLED).replace("@begun@", _BEGUN if short else "").replace("@begin@", "begun.begin" if short else "NULL")
     return run_sql(spark, steps + decide, values=values, counts=counts, flags=flags)
 
 

@@ -124,24 +124,47 @@ class WordScores:
         return self.matrix[[self.rows[w] for w in words]].sum(0), len(words)
 
 
-def shortened(values: DataFrame, column: str = "answer", least: int = 30, shared: int = 24) -> DataFrame:
-    """The distinct texts of ``column`` that another text goes on with in mid-word or mid-sentence."""
+def shortened(values: DataFrame, column: str = "answer", shared: int = 24, short: int = 8) -> DataFrame:
+    """The distinct texts of ``column`` that another text goes on with in mid-word or mid-sentence.
+
+    Texts of fewer than ``short`` words must go on in mid-word, and no text behind a whole last word.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
             found = []
             for text in batch.column("text").to_pylist():
-                if before is not None and len(before) >= least and before[-1] not in ".!?" and len(text) > len(before) and text.startswith(before):
+                if before is not None and len(before) >= shared and before[-1] not in ".!?" and len(text) > len(before) and text.startswith(before):
                     rest = text[len(before) :]
-                    if rest[0].isalnum() and before[-1].isalnum() or rest[0] in " ,'’-" and rest.lstrip(" ,'’-")[:1].islower():
+                    if len(before.split(None, short)) < short:
+                        goes_on = rest[0].isalpha() and before[-1].isalpha()
+                    else:
+                        goes_on = rest[0].isalnum() and before[-1].isalnum() or rest[0] in " ,'’-" and rest.lstrip(" ,'’-")[:1].islower()
+                    if goes_on:
                         found.append(before)
                 before = text
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["text"])
 
     texts = values.select(F.rtrim(column).alias("text")).where(F.length("text") > 0).distinct()
     beginning = F.substring("text", 1, shared)
-    return texts.repartitionByRange(beginning).sortWithinPartitions("text").mapInArrow(compare, "text string").distinct()
+    sorted_out = texts.repartitionByRange(beginning).sortWithinPartitions("text").mapInArrow(compare, "text string")
+    # What is shorter than the common beginning may stand in another partition than its longer versions.
+    letter = r"^\p{L}"
+    stubs = texts.where((F.length("text") < shared) & F.col("text").rlike(r"\p{L}$"))
+    places = F.sequence(F.lit(1), F.least(F.length("text") - 1, F.lit(shared - 1)))
+    begun = (
+        texts.where(F.length("text") > 1)
+        .select(F.substring("text", 1, shared).alias("text"))
+        .distinct()
+        .select("text", F.explode(places).alias("at"))
+        .select(F.expr("substring(text, 1, at)").alias("text"), F.expr("substring(text, at + 1, 1)").rlike(letter).alias("inside"))
+        .where(F.col("text").rlike(r"\p{L}$"))
+        .groupBy("text")
+        .agg(F.min("inside").alias("inside"))
+        .where("inside")
+    )
+    return sorted_out.unionByName(stubs.join(begun, "text", "left_semi")).distinct()
 
 
 def defective_pairs(records: DataFrame, labelled: DataFrame, text_col: str = "body", label_col: str = "language", short: int = 8) -> DataFrame:
@@ -149,7 +172,8 @@ def defective_pairs(records: DataFrame, labelled: DataFrame, text_col: str = "bo
 
     ``empty``: null or nothing that says anything. ``copy``: only the question, dressed in at most six
     words in front of it. ``refusal``: every sentence declines or goes with it. ``truncated``: stops
-    inside a word or sentence; answers of fewer than ``short`` words are taken as short instead.
+    inside a word or sentence; answers of fewer than ``short`` words may lack a stop, so they must end
+    on a word that is unknown or ends nothing, at a field limit, or be gone on with in mid-word.
     ``other_language``: an answer of at least five words in another language than the question,
     which does not ask for it. The first that holds is given. A null question makes only ``empty``,
     ``refusal`` and ``truncated`` possible. Redelivered rows count once; null ids are left out. The
@@ -184,9 +208,8 @@ def defective_pairs(records: DataFrame, labelled: DataFrame, text_col: str = "bo
 
     kind = records.schema["id"].dataType.simpleString()
     judged = records.mapInArrow(judge, f"id {kind}, source string, answer string, defect string")
-    long_enough = records.where(F.size(F.split(F.trim("answer"), r"\s+")) >= short)
-    cut = cut_values(long_enough.select("id", F.lit("answer").alias("field"), "source", F.col("answer").alias("value"))).select("id")
-    by_text = long_enough.select("id", F.rtrim("answer").alias("text")).join(shortened(long_enough), "text", "left_semi").select("id")
+    cut = cut_values(records.select("id", F.lit("answer").alias("field"), "source", F.col("answer").alias("value")), short=short).select("id")
+    by_text = records.select("id", F.rtrim("answer").alias("text")).join(shortened(records, short=short), "text", "left_semi").select("id")
     truncated = cut.unionByName(by_text).distinct().withColumn("cut", F.lit(True))
     joined = judged.join(truncated, "id", "left")
     # A text cut off in mid-sentence is truncated, whatever language it is in.

@@ -98,6 +98,18 @@ def test_defective_pairs(spark, labelled):
     assert pairs.defective_pairs(frame.limit(0), labelled).count() == 0
 
 
+def test_short_answers_are_judged_by_evidence(spark, labelled):
+    rng = random.Random(14)
+    question = "What may the court request of the tenant before the notary?"
+    rows = [(k, question, " ".join(sentence(EN, rng) for _ in range(4)) + " The tenant pays a fine of the bank.", "web") for k in range(200)]
+    rows += [(300, question, "Guardians of an heir keep his inheritance for ten years.", "web"), (301, question, "Nobody pays anything.", "web")]
+    cut = {400: "The court may request the docum", 401: "The tenant pays a fine of the", 402: "The tenant pays ...", 403: "Guardians of an heir k", 404: "G", 405: "Guardians o", 406: "Guardians of an heir keep his inh"}
+    sound = ["30 days", "8 days", "Yes, within 8 days", "No", "No, 8 days is the limit", "Kigali", "The notary pays the bank"]
+    rows += [(k, question, a, "web") for k, a in cut.items()] + [(500 + k, question, a, "web") for k, a in enumerate(sound)]
+    got = {r["id"]: r["defect"] for r in pairs.defective_pairs(spark.createDataFrame(rows, "id long, question string, answer string, source string"), labelled).collect()}
+    assert {k for k, defect in got.items() if defect == "truncated"} == set(cut)
+
+
 # 4 -----------------------------------------------------------------------------------------------
 
 
