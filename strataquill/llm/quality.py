@@ -1,130 +1,185 @@
 """Per-document text quality statistics, and what is not natural prose.
 
-Every text is measured once. The prose of each language has a robust mean and covariance: both are
-computed over all documents, those farther than a cutoff by the distance so far are left out, and so
-on for a few rounds. A document's squared Mahalanobis distance, and each statistic's part in it, tell
-how unlike prose it is; the form of its lines and words then names the kind.
+Texts are measured by Arrow kernels over the lines and words of whole batches. The prose of each
+language has a robust mean and covariance: from the medians of all documents on, sums over all
+documents nearer than a cutoff give the next mean and covariance, a few times over. A document's
+squared Mahalanobis distance from its language's prose tells whether it is prose; each statistic has a
+part in that distance, and the statistics that have the largest part name the kind: entries make a
+list, cells and figures a table, unknown words, signs, odd word lengths and repetition make junk.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquill.llm.languages import label_language
 from strataquill.session import checkpoint
 from strataquill.sources.tables import table
 
-#: The statistics the distance is made of.
-STATISTICS = ("log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "log_words_per_line", "entry_lines", "cell_lines", "log_sentence_length")
-_WORD = re.compile(r"[^\W\d_]+")
-_DIGITS = re.compile(r"\d+")
-_BULLET = re.compile(r"^\s*(?:[-*•–—·+o▪►]\s+|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.)°:]\)?\s*)")
-_LEADER = re.compile(r"(?:\.{3,}|…{2,}|(?:\s\.){3,}|_{3,}|\s{2,}|\t)\s*\d{1,4}\s*$")
-_STOP = re.compile(r"[.!?…][\"'»”)\]]*$")
-_SENTENCE_END = re.compile(r"[^\W\d_]{2,}[\"'»”)\]]*[.!?](?=\s|$)|\d[.!?](?=\s+[A-ZÀ-Ý]|\s*$)")
-_MARKUP = re.compile(r"<[^<>]{1,200}>")
-
-
-def _is_row(line: str) -> bool:
-    """A row of cells or figures."""
-    if line.count("|") >= 2 or line.count("\t") >= 2 or line.count(";") >= 3 and not _STOP.search(line):
-        return True
-    cells = [c for c in re.split(r"\s{2,}|\t", line.strip()) if c]
-    if 3 <= len(cells) <= 12 and len(_WORD.findall(line)) <= 4 * len(cells) and not _SENTENCE_END.search(line):
-        return True
-    if line.count(",") >= 3:
-        cells = [c.strip() for c in line.split(",")]
-        if sum(len(c.split()) for c in cells) <= 3 * len(cells) and any(c[:1].isdigit() for c in cells):
-            return True
-    tokens = line.split()
-    return len(tokens) >= 2 and sum(1 for t in tokens if re.fullmatch(r"[\W\d]*\d[\W\d]*%?", t)) * 2 > len(tokens)
-
-
-def measure(text: str, common: frozenset[str]) -> dict[str, float]:
-    """All statistics of one text with at least one character that is not white space."""
-    tokens = text.split()
-    lines = [line for line in text.splitlines() if line.strip()]
-    words = [w.lower() for w in _WORD.findall(text)]
-    whole = [w for w in words if len(w) > 1]
-    visible = sum(map(len, tokens))
-    letters = sum(map(len, words))
-    digits = sum(map(len, _DIGITS.findall(text)))
-    ends = len(_SENTENCE_END.findall(text))
-    rows, entries, sizes = [], [], []
-    for k, line in enumerate(lines):
-        body = _BULLET.sub("", line.strip(), count=1)
-        count = len(body.split())
-        row = _is_row(line)
-        leader = bool(_LEADER.search(line)) and count <= 16 and not row
-        marked = body != line.strip() or (body[:1].isdigit() and ends <= 0.3 * len(lines) and not _SENTENCE_END.search(body))
-        flows = k + 1 < len(lines) and lines[k + 1].strip()[:1].islower() and body[:1].isupper()
-        flowed = k > 0 and body[:1].islower() and not _STOP.search(lines[k - 1].strip()) and lines[k - 1].strip()[:1].isupper()
-        bare = count <= 7 and not _STOP.search(body) and not flows and not flowed
-        rows.append(row)
-        entries.append(not row and (leader or bare or marked and (not _STOP.search(body) or count <= 6)))
-        sizes.append(len(line.split()))
-    kinds = Counter(tokens)
-    plain = sum(len(m) for m in _MARKUP.findall(text))
+#: The statistics of the distance, each with the spread that is no evidence by itself: its square is
+#: added to the variance, so that a statistic that prose hardly varies does not decide alone.
+SPREADS = {
+    "entry_words": 0.1, "row_words": 0.1, "digit_ratio": 0.08, "unknown_letters": 0.08, "symbol_ratio": 0.06, "markup": 0.1, "punctuated_lines": 0.5, "common_words": 0.4,
+    "log_word_length": 0.25, "log_letters_per_word": 0.2, "log_variety": 0.35, "log_words": 1.0, "log_words_per_line": 1.0, "log_sentence_length": 1.5,
+}
+STATISTICS = tuple(SPREADS)
+#: Which statistics speak for which kind.
+KINDS = {
+    "list": ("entry_words", "log_words_per_line"),
+    "table": ("row_words", "digit_ratio"),
+    "junk": ("unknown_letters", "symbol_ratio", "markup", "common_words", "log_word_length", "log_letters_per_word", "log_variety"),
+}
+REPORTED = ("words", "mean_word_length")
+_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_BULLET = r"^(?:[-*•–—·+o▪►]\s+|\(?(?:\d+|[a-zA-Z]|[ivxIVX]+)[.)°:]\)?\s*)"
+_LEADER = r"(?:\.{3,}|…{2,}|(?:\s\.){3,}|_{3,}|\s{2,}|\t)\s*\d+$"
+_STOP = r"[.!?…][\"'»”)\]]*$"
+_SEPARATOR = r"\t|\||;|  +|,[^\s,]"
+_ENDS = r"(?:[\p{L}]{2}|\d)[\"'»”)\]]*[.!?](?:\s|$)"
+_MARKUP = r"<[^<>]+>"
+
+
+def _spans(lists: pa.ListArray) -> np.ndarray:
+    offsets = lists.offsets.to_numpy()
+    return offsets - offsets[0]
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=float)])
+    return total[starts[1:]] - total[starts[:-1]]
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _flags(values: pa.Array) -> np.ndarray:
+    return np.asarray(values.to_numpy(zero_copy_only=False), bool)
+
+
+def _found(values: pa.Array, pattern: str) -> np.ndarray:
+    return _flags(pc.match_substring_regex(values, pattern))
+
+
+def _left(values: pa.Array, dropped: str) -> np.ndarray:
+    """Characters left where those of the pattern are taken out."""
+    return _numbers(pc.utf8_length(pc.replace_substring_regex(values, dropped, "")))
+
+
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The words of each text in lower case: runs of letters (with an empty one where there is none)."""
+    return pc.split_pattern(pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " ")), " ")
+
+
+def _line_shares(texts: pa.Array) -> dict[str, np.ndarray]:
+    """Per text: lines, white-space words, sentence ends, and shares of lines and words in forms of lines.
+
+    A row has at least two separators and at most four words a cell, or mostly digits. An entry is a
+    short line without a stop, a numbered or marked line that is no sentence, or a line that leads to a
+    number; a line that the next goes on with is none. Fewer than three lines hold neither.
+    """
+    n = len(texts)
+    lists = pc.split_pattern_regex(texts, _BREAKS)
+    of = np.repeat(np.arange(n), np.diff(_spans(lists)))
+    line = pc.utf8_trim_whitespace(pc.replace_substring_regex(lists.flatten(), r"\p{Z}", " "))
+    full = _flags(pc.not_equal(pc.utf8_length(line), 0))
+    line, of = line.filter(pa.array(full)), of[full]
+    starts = np.searchsorted(of, np.arange(n + 1))
+    lines = np.diff(starts)
+    words = _numbers(pc.list_value_length(pc.utf8_split_whitespace(line)))
+    body = pc.replace_substring_regex(line, _BULLET, "", max_replacements=1)
+    size = pc.utf8_length(body)
+    marked = _flags(pc.and_(pc.not_equal(pc.utf8_length(line), size), pc.greater(size, 0)))
+    count = _numbers(pc.list_value_length(pc.utf8_split_whitespace(body)))
+    stop, leader = _found(line, _STOP), _found(line, _LEADER)
+    separators, ends = _numbers(pc.count_substring_regex(line, _SEPARATOR)), _numbers(pc.count_substring_regex(line, _ENDS))
+    first = pc.utf8_slice_codeunits(body, 0, 1)
+    lower, upper, digit = _flags(pc.utf8_is_lower(first)), _flags(pc.utf8_is_upper(first)), _flags(pc.utf8_is_digit(first))
+    follows = np.zeros(len(of), bool)
+    follows[1:] = of[1:] == of[:-1]
+    flowed = follows & lower & ~np.roll(stop, 1) & np.roll(upper, 1)
+    flows = np.roll(follows & lower, -1) & upper
+    several = lines[of] >= 3
+    row = several & ((separators >= 2) & (words <= 4 * (separators + 1)) & (ends == 0) | (words >= 2) & (_left(line, r"[^\d]+") > 0.5 * _left(line, r"\s+")))
+    short = (count <= 7) & ~stop & ~flows & ~flowed
+    numbered = (marked | digit & (count > 1)) & (~stop | (count <= 6)) & (ends == 0)
+    entry = several & ~row & (leader & (count <= 16) | short | numbered)
+    total = np.maximum(_sums(words, starts), 1)
+    return {
+        "lines": np.maximum(lines, 1), "words": total, "sentences": _sums(ends, starts), "punctuated_lines": _sums(stop, starts) / np.maximum(lines, 1),
+        "entry_words": _sums(words * entry, starts) / total, "row_words": _sums(words * row, starts) / total,
+    }
+
+
+def measure(texts: pa.Array, common: pa.Array) -> dict[str, np.ndarray]:
+    """The statistics of texts that have at least one character that is not white space."""
+    n = len(texts)
+    lines = _line_shares(texts)
+    visible = np.maximum(_left(texts, r"[\s\p{Z}]+"), 1)
+    found = words_of(texts)
+    starts, kinds = _spans(found), found.flatten().dictionary_encode()
+    size, at = _numbers(pc.utf8_length(kinds.dictionary)), kinds.indices.to_numpy()
+    known = _flags(pc.is_in(kinds.dictionary, common)) & (size > 1)
+    letters, known_letters, runs = _sums(size[at], starts), _sums((known * size)[at], starts), _sums((size > 0)[at], starts)
+    whole = np.maximum(_sums((size > 1)[at], starts), 1)
+    tokens = pc.utf8_split_whitespace(texts)
+    spans, kinds = _spans(tokens), tokens.flatten().dictionary_encode()
+    codes = np.unique(np.repeat(np.arange(n), np.diff(spans)) * (len(kinds.dictionary) + 1) + kinds.indices.to_numpy())
+    distinct = np.bincount(codes // (len(kinds.dictionary) + 1), minlength=n)
+    digits, chars = _left(texts, r"[^\d]+"), _numbers(pc.utf8_length(texts))
+    fill = chars - _left(texts, r"\.{4,}|_{4,}|…{2,}")  # leaders are no symbols
+    words = lines["words"]
     return {
-        "words": float(len(tokens)),
-        "mean_word_length": visible / len(tokens),
-        "symbol_ratio": (visible - letters - digits) / visible,
-        "digit_ratio": digits / visible,
-        "punctuated_lines": sum(bool(_STOP.search(line.rstrip())) for line in lines) / len(lines),
-        "common_words": sum(w in common for w in whole) / len(whole) if whole else 0.0,
-        "entry_lines": sum(entries) / len(lines),
-        "cell_lines": sum(rows) / len(lines),
-        "structured_words": sum(n for n, row, entry in zip(sizes, rows, entries) if row or entry) / len(tokens),
-        "lines": float(len(lines)),
-        "sentences": float(ends),
-        "distinct_words": float(len(set(whole))),
-        "readable": sum(len(w) for w in whole if w in common) / visible,
-        "top_share": kinds.most_common(1)[0][1] / len(tokens),
-        "markup": plain / len(text),
-        "letters_per_word": letters / max(len(words), 1),
-        "log_words": float(np.log(len(tokens))),
-        "log_words_per_line": float(np.log(len(tokens) / len(lines))),
-        "log_sentence_length": float(np.log(len(tokens) / max(ends, 0.5))),
-    }
-
-
-_MEASURES = tuple(measure("a b", frozenset()))
-
-
-def common_words(documents: DataFrame, text_col: str = "text", share: float = 0.002, least: int = 3) -> frozenset[str]:
+        "words": words, "mean_word_length": visible / words, "entry_words": lines["entry_words"], "row_words": lines["row_words"], "digit_ratio": digits / visible,
+        "unknown_letters": np.maximum(letters - known_letters, 0) / visible, "symbol_ratio": np.maximum(visible - letters - digits - fill, 0) / visible, "markup": 1 - _left(texts, _MARKUP) / np.maximum(chars, 1),
+        "punctuated_lines": lines["punctuated_lines"], "common_words": np.where(runs > 0, _sums(known[at], starts) / whole, 1.0), "log_word_length": np.log(np.maximum(visible / words, 1)),
+        # The variety of a text is its different words against those that 30 words could be.
+        # Figures without any word say nothing about the length of words: they count as words of five letters.
+        "log_letters_per_word": np.log(np.where(runs > 0, letters / np.maximum(runs, 1), 5.0)), "log_variety": np.log(np.maximum(distinct, 0.5) / np.minimum(words, 30)), "log_words": np.log(words),
+        "log_words_per_line": np.log(words / lines["lines"]), "log_sentence_length": np.log(words / np.maximum(lines["sentences"], 0.5)),
+    }
+
+
+_MEASURES = (*REPORTED, *STATISTICS)
+
+
+def common_words(documents: DataFrame, text_col: str = "text", share: float = 0.002, least: int = 3) -> list[str]:
     """Words of at least two letters in ``share`` of all texts: at most the mean number of distinct
     words a text divided by ``share``, which bounds what is collected."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            totals: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                totals.update(w for w in set(_WORD.findall(text.lower())) if 1 < len(w) < 40)
-                totals[""] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.string()), pa.array(totals.values(), pa.int64())], ["word", "n"])
+            found = words_of(batch.column("text"))
+            kinds = found.flatten().dictionary_encode()
+            size = len(kinds.dictionary)
+            codes = np.unique(np.repeat(np.arange(len(found)), np.diff(_spans(found))) * max(size, 1) + kinds.indices.to_numpy())
+            n = np.bincount(codes % max(size, 1), minlength=size)
+            words = pa.concat_arrays([kinds.dictionary, pa.array([None], pa.string())])  # null stands for the number of texts
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.append(n, batch.num_rows).astype(np.int64))], ["word", "n"])
 
     counted = documents.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    texts = counted.agg(F.max(F.when(F.col("word") == "", F.col("n"))))
-    rows = counted.where((F.col("word") != "") & (F.col("n") >= least) & (F.col("n") >= share * texts.scalar())).select("word").collect()
-    return frozenset(r["word"] for r in rows)
+    counted = checkpoint(counted.where(F.col("word").isNull() | (F.length("word") > 1)))
+    texts = counted.where("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rows = counted.where(F.col("word").isNotNull() & (F.col("n") >= max(least, share * texts))).select("word").collect()
+    return sorted(r["word"] for r in rows)
 
 
 def text_statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """One row of statistics per document whose text has something to see, with its named language
     (``und`` where the label names none). Null, empty and blank texts and null ids give no row."""
-    common = common_words(documents, text_col)
+    common = documents.sparkSession.sparkContext.broadcast(common_words(documents, text_col))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(common.value, pa.string())
         for batch in batches:
-            rows = [measure(t, common) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("language"), *(pa.array([r[m] for r in rows], pa.float64()) for m in _MEASURES)], ["id", "language", *_MEASURES])
+            found = measure(batch.column("text"), known)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("language"), *(pa.array(found[m], pa.float64()) for m in _MEASURES)], ["id", "language", *_MEASURES])
 
     source = documents.select(F.col(id_col).alias("id"), F.coalesce(label_language(label_col), F.lit("und")).alias("language"), F.col(text_col).alias("text")).where(
         F.col("id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}\x{1c}-\x{1f}\x{85}]")
@@ -133,82 +188,110 @@ def text_statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(work, f"id {kind}, language string, " + ", ".join(f"{m} double" for m in _MEASURES))
 
 
-def _distance(models: dict[str, tuple[np.ndarray, np.ndarray]]) -> Column:
-    """Contribution of each statistic to the squared distance, as an array column."""
-    result = None
-    for language, (mean, inverse) in models.items():
-        off = [F.col(s) - float(m) for s, m in zip(STATISTICS, mean)]
-        parts = F.array(*(off[i] * sum((off[j] * float(inverse[i, j]) for j in range(1, len(off))), off[0] * float(inverse[i, 0])) for i in range(len(off))))
-        result = F.when(F.col("language") == language, parts) if result is None else result.when(F.col("language") == language, parts)
-    return result
+Model = dict[str, tuple[np.ndarray, np.ndarray]]
+
 
+def contributions(batch: pa.RecordBatch, models: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of the rows and their parts in the squared distance (each of shape rows, statistics)."""
+    values = np.stack([_numbers(batch.column(s)) for s in STATISTICS], axis=1) if batch.num_rows else np.zeros((0, len(STATISTICS)))
+    languages = np.array(batch.column("language").to_pylist(), object)
+    parts = np.zeros_like(values)
+    for language in set(languages.tolist()):
+        mean, inverse = models.get(language) or models["und"]
+        rows = languages == language
+        off = values[rows] - mean
+        parts[rows] = off * (off @ inverse)
+    return values, parts
 
-def prose_models(statistics: DataFrame, rounds: int = 3, cutoff: float = 30.0) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Robust mean and inverse covariance of prose per language, from sums over all documents."""
+
+def prose_models(statistics: DataFrame, rounds: int = 3, cutoff: float = 40.0) -> Model:
+    """Robust mean and inverse covariance of prose per language, from sums over all documents.
+
+    The medians of all documents of a language start, so most of them must be prose; a language of
+    fewer than twice as many documents as statistics takes the model of all documents together.
+    """
     k = len(STATISTICS)
-    models: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    # The first round looks at documents that are full of known words and sentences.
-    kept = statistics.where("common_words > 0.6 AND sentences >= 1 AND cell_lines < 0.5 AND entry_lines < 0.5")
+    spread = np.array(list(SPREADS.values())) ** 2
+    medians = [F.percentile_approx(s, 0.5, 10_000).alias(s) for s in STATISTICS]
+    rows = statistics.groupBy("language").agg(*medians).collect() + statistics.agg(*medians).withColumn("language", F.lit("und")).collect()
+    models: Model = {r["language"]: (np.array([r[s] or 0.0 for s in STATISTICS]), np.diag(1 / spread)) for r in rows}
+    upper = np.triu_indices(k)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            values, parts = contributions(batch, models)
+            near = parts.sum(1) < cutoff
+            languages = np.array(batch.column("language").to_pylist(), object)
+            for language in set(languages[near].tolist()):
+                own = values[near & (languages == language)]
+                found = np.concatenate([[len(own)], own.sum(0), (own.T @ own)[upper]])
+                sums[language] = sums[language] + found if language in sums else found
+        names = [name for name, found in sums.items() for _ in found]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([i for f in sums.values() for i in range(len(f))], pa.int32()), pa.array([x for f in sums.values() for x in f], pa.float64())], ["language", "at", "value"])
+
     for _ in range(rounds):
-        sums = [F.count(F.lit(1)), *(F.sum(s) for s in STATISTICS), *(F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])) for i in range(k) for j in range(i, k))]
-        rows = kept.groupBy("language").agg(*(s.alias(f"s{n}") for n, s in enumerate(sums))).collect()
-        grid = np.zeros(1 + k + k * (k + 1) // 2)
-        each = {r["language"]: np.array([r[f"s{n}"] for n in range(len(grid))], float) for r in rows}
-        each["und"] = sum(each.values(), grid)
+        rows = statistics.select("language", *STATISTICS).mapInArrow(gather, "language string, at int, value double").groupBy("language", "at").agg(F.sum("value").alias("value")).collect()
+        each: dict[str, np.ndarray] = {}
+        for r in rows:
+            each.setdefault(r["language"], np.zeros(1 + k + len(upper[0])))[r["at"]] = r["value"]
+        each["und"] = sum(each.values(), np.zeros(1 + k + len(upper[0])))
         models = {}
         for language, s in each.items():
-            if s[0] < 2 * k and language != "und":
-                s = each["und"]
+            s = s if s[0] >= 2 * k else each["und"]
             n = max(s[0], 1)
-            mean, cov = s[1 : k + 1] / n, np.zeros((k, k))
-            cov[np.triu_indices(k)] = s[k + 1 :] / n
-            cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-            # A floor keeps a statistic that prose hardly varies from deciding alone.
-            models[language] = mean, np.linalg.inv(cov + np.diag(np.maximum(0.02 * np.diag(cov), 4e-4)))
-        known = F.when(F.col("language").isin(*models), F.col("language")).otherwise("und")
-        far = F.aggregate(_distance(models), F.lit(0.0), lambda a, x: a + x)
-        kept = statistics.withColumn("language", known).where(far < cutoff)
+            mean, covariance = s[1 : k + 1] / n, np.zeros((k, k))
+            covariance[upper] = s[k + 1 :] / n
+            covariance = covariance + np.triu(covariance, 1).T - np.outer(mean, mean)
+            models[language] = mean, np.linalg.inv(covariance + np.diag(spread))
     return models
 
 
-def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", cutoff: float = 30.0) -> DataFrame:
+def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", cutoff: float = 40.0) -> DataFrame:
     """Statistics, distance, contributions and kind (``prose``, ``list``, ``table``, ``junk``) of each document.
 
-    A text nearer than ``cutoff`` (squared) to its language's prose is prose. Beyond it, ``junk`` has
-    almost no known words, one word over and over, or markup mostly; where at least 3 lines, 4 in 5 of
-    all and 7 in 10 words, are rows or entries, it is a ``table`` or ``list`` by the more frequent;
-    anything else is prose. Texts of
-    fewer than 3 words are prose unless they are unreadable. Null, empty and blank texts have no row.
+    A text nearer than ``cutoff`` (squared) to its language's prose is prose; any other has the kind
+    whose statistics (``KINDS``) have the largest part in the distance. Null, empty and blank texts and
+    null ids have no row; a document without a clear label is compared with all prose; other columns
+    are ignored. A table without a single measurable text gives no rows.
     """
     statistics = checkpoint(text_statistics(documents, id_col, text_col, label_col))
     models = prose_models(statistics, cutoff=cutoff)
-    measured = statistics.withColumn("language", F.when(F.col("language").isin(*models), F.col("language")).otherwise("und")).withColumn("contributions", _distance(models))
-    measured = measured.withColumn("distance", F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x))
-    long_enough = (F.col("words") >= 8) | (F.col("mean_word_length") > 25) | (F.col("symbol_ratio") > 0.5)
-    strange = (F.col("common_words") < 0.3) & (F.col("cell_lines") < 0.5) | (F.col("symbol_ratio") > 0.4) | (F.col("mean_word_length") > 40)
-    broken = (F.col("letters_per_word") < 2.5) & (F.col("readable") < 0.8) & (F.col("mean_word_length") > 3.5) & (F.col("symbol_ratio") > 0.2)
-    unreadable = long_enough & (F.col("digit_ratio") < 0.35) & (strange & (F.col("readable") < 0.25) | broken)
-    monotone = (F.col("words") >= 12) & ((F.col("distinct_words") <= 3) | (F.col("top_share") > 0.6)) & (F.col("lines") <= 2)
-    structured = (F.col("lines") >= 3) & (F.col("entry_lines") + F.col("cell_lines") >= 0.8) & (F.col("structured_words") >= 0.7)
-    shape = (
-        F.when(unreadable | monotone | (F.col("markup") > 0.5), "junk")
-        .when(structured, F.when(F.col("cell_lines") > F.col("entry_lines"), "table").otherwise("list"))
-        .otherwise("prose")
-    )
-    named = F.arrays_zip(F.array(*map(F.lit, STATISTICS)).alias("statistic"), F.col("contributions").alias("part"))
-    return measured.withColumn("kind", F.when(F.col("distance") < cutoff, "prose").otherwise(shape)).withColumn("contributions", named)
+    columns = [[STATISTICS.index(s) for s in group] for group in KINDS.values()]
+    names = np.array(list(KINDS), object)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, parts = contributions(batch, models)
+            distance = parts.sum(1)
+            kind = np.where(distance < cutoff, "prose", names[np.stack([parts[:, c].sum(1) for c in columns], axis=1).argmax(1)])
+            offsets = pa.array(np.arange(0, parts.size + 1, parts.shape[1], dtype=np.int32))
+            named = pa.StructArray.from_arrays([pa.array(list(STATISTICS) * len(parts), pa.string()), pa.array(parts.ravel())], ["statistic", "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(distance), pa.ListArray.from_arrays(offsets, named), pa.array(kind.tolist(), pa.string())], [*batch.schema.names, "distance", "contributions", "kind"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in statistics.schema)
+    return statistics.mapInArrow(judge, f"{kinds}, distance double, contributions array<struct<statistic:string,part:double>>, kind string")
+
+
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents", spread=True)).withColumnRenamed("id", "doc_id")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that are a list, a table or junk."""
-    return quality(table(spark, folder, "documents", spread=True)).where("kind <> 'prose'").select(F.col("id").alias("doc_id"), "kind")
+    return _quality(spark, folder).where("kind <> 'prose'").select("doc_id", "kind")
 
 
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics of every document."""
-    wanted = ["words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words"]
-    return quality(table(spark, folder, "documents", spread=True)).select(F.col("id").alias("doc_id"), F.col("words").cast("long").alias("words"), *(F.round(c, 6).alias(c) for c in wanted[1:]), F.round("distance", 3).alias("distance"), "kind")
+    wanted = ["mean_word_length", "symbol_ratio", "punctuated_lines", "common_words"]
+    return _quality(spark, folder).select("doc_id", F.col("words").cast("long").alias("words"), *(F.round(c, 6).alias(c) for c in wanted), F.round("distance", 3).alias("distance"), "kind")
+
+
+def p10_contributions(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of each statistic in the distance of every document."""
+    return _quality(spark, folder).select("doc_id", F.inline("contributions")).select("doc_id", "statistic", F.round("part", 3).alias("part"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p10_contributions": p10_contributions}
 ORACLES: dict[str, str] = {}
