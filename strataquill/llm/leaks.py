@@ -1,42 +1,53 @@
 """Evaluation texts leaking into training text, by greedy string tiling.
 
-The test items come in blocks of bounded size, each held by every worker as a sorted array of the
-Karp-Rabin hashes of its word 5-grams; the corpus is read once per block and never shuffled. A
-document shares seeds with an item where its hashes stand in that array. By the pigeonhole principle
-a leak leaves a known least number of seeds, so pairs with fewer are dropped without loss. The rest
-are tiled: maximal matches from hashed seeds, the longest first and without overlap; tiles in order
-are chained into one stretch, whose matched words and edits decide.
+The test items come in blocks of bounded size. A block is broadcast as a sorted array of the Karp-Rabin
+hashes of its word windows; the corpus is read once per block and never shuffled. Documents are hashed
+by Arrow and numpy kernels over whole batches, and share seeds with an item where their hashes stand in
+that array. By the pigeonhole principle a leak leaves a known least number of seeds, so pairs with fewer
+are dropped without loss. The rest are tiled: maximal matches from hashed seeds, the longest first and
+without overlap; tiles in order are chained into one stretch, whose matched words and edits decide.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquill.sources.tables import table
 
-_SEED = 5
+#: Words in a seed, the longest first: an item takes the first of which each of its leaks must hold one.
+_SEEDS = (5, 3, 2, 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_DROP = re.compile(r"[\W_]+")
 
 
-def plain_words(text: str) -> list[str]:
-    """Words without case, accents and punctuation; apostrophes and hyphens join, nothing else does."""
-    folded = unicodedata.normalize("NFKD", text.casefold())
-    return [w for token in folded.split() if (w := _DROP.sub("", "".join(c for c in token if not unicodedata.combining(c))))]
+def plain_words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text without case, accents and punctuation; apostrophes and hyphens join,
+    nothing else does."""
+    folded = pc.utf8_normalize(pc.replace_substring(pc.utf8_lower(texts), "ß", "ss"), "NFKD")
+    bare = pc.replace_substring_regex(pc.replace_substring_regex(folded, r"\p{M}+", ""), r"[^\p{L}\p{N}\p{Z}\s\x{85}]+", "")
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(bare))
 
 
-def word_codes(words: list[str]) -> np.ndarray:
-    """A stable 64-bit code of each word."""
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+def batch_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A stable 64-bit code of every word of the texts, and where each text starts (and the last ends)."""
+    lists = plain_words(texts)
+    words = lists.flatten().dictionary_encode()
+    codes = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in words.dictionary.to_pylist()], np.uint64)
+    flat = codes[words.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
+    ends = np.concatenate([[0], np.cumsum(flat != 0)])
+    offsets = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+    return flat[flat != 0], ends[offsets]
+
+
+def word_codes(text: str) -> np.ndarray:
+    return batch_codes(pa.array([text], pa.string()))[0]
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -49,14 +60,20 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return result
 
 
-def least_seeds(n_words: int, share: float = 0.5, edits: float = 0.1) -> int:
-    """The fewest whole seeds in a stretch of ``share`` of ``n_words`` words with a share of ``edits``."""
+def least_seeds(n_words: int, size: int, share: float = 0.5, edits: float = 0.1) -> int:
+    """The fewest whole seeds of ``size`` words in a stretch of ``share`` of ``n_words`` words with a
+    share of ``edits``; below 1 where such a stretch may hold none."""
     lengths = range(int(np.ceil(share * n_words)), n_words + 1)
-    return max(1, min((n - _SEED + 1 - _SEED * int(edits * n) for n in lengths), default=1))
+    return min((n - size + 1 - size * int(edits * n) for n in lengths), default=0)
+
 
+def seed_size(n_words: int, share: float, edits: float) -> int:
+    return next((size for size in _SEEDS if least_seeds(n_words, size, share, edits) >= 1), 1)
 
-def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int = 2) -> list[tuple[int, int, int]]:
-    """Non-overlapping tiles (item position, text position, length), each the longest left when taken."""
+
+def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int = 2, once: bool = True) -> list[tuple[int, int, int]]:
+    """Non-overlapping tiles (item position, text position, length), each the longest left when taken.
+    Without ``once`` a part of the item may be found in several places of the text."""
     seeds: dict[int, list[int]] = {}
     for i, h in enumerate(window_hashes(item, least).tolist()):
         seeds.setdefault(h, []).append(i)
@@ -79,7 +96,7 @@ def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int = 2) -> list[tup
     while heap:
         n, i, j = heapq.heappop(heap)
         n = -n
-        free = ~(used_item[i : i + n] | used_text[j : j + n])
+        free = ~(used_item[i : i + n] & once | used_text[j : j + n])
         if free.all():
             used_item[i : i + n] = used_text[j : j + n] = True
             tiles.append((i, j, n))
@@ -101,96 +118,126 @@ def _common(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
-def best_stretch(item: np.ndarray, text: np.ndarray, edits: float = 0.1, longest_gap: int = 12) -> int:
+def _undominated(states: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """States (matched, edits) of which no other has as many matches with as few edits."""
+    kept: list[tuple[int, int]] = []
+    for matched, wrong in sorted(states, key=lambda s: (-s[0], s[1])):
+        if not kept or wrong < kept[-1][1]:
+            kept.append((matched, wrong))
+    return kept
+
+
+def best_stretch(item: np.ndarray, text: np.ndarray, edits: float = 0.1, once: bool = True) -> int:
     """Most item words that stand in order in one stretch of the text with at most a share of edits.
 
-    Tiles are chained in order over gaps of at most ``longest_gap`` words; the words a gap shares count
-    as matched, its other words as dropped or replaced."""
-    tiles = greedy_tiles(item, text)
-    best = 0
-    for first in range(len(tiles)):
-        # (matched, edits) of the best chain from the first tile to each later one
-        states: dict[int, tuple[int, int]] = {first: (tiles[first][2], 0)}
-        for k in range(first, len(tiles)):
-            if k not in states:
+    Tiles are chained in order; the words a gap shares count as matched, its other words as dropped or
+    replaced. All chains that no other beats in both are kept. A stretch has at most
+    ``edits / (1 - edits)`` times the item's words as edits, and between two tiles there is at most one
+    more single match than there are edits, so longer gaps cannot belong to a stretch.
+    """
+    tiles = greedy_tiles(item, text, once=once)
+    most = int(edits / (1 - edits) * len(item) + 1e-9)
+    longest, best = 2 * most + 1, 0
+    states: list[list[tuple[int, int]]] = [[(n, 0)] for _, _, n in tiles]
+    for k, (i, j, n) in enumerate(tiles):
+        states[k] = _undominated(states[k])
+        best = max([best, *(matched for matched, wrong in states[k] if wrong <= edits * (matched + wrong) + 1e-9)])
+        for m in range(k + 1, len(tiles)):
+            a, b, size = tiles[m]
+            gap_item, gap_text = a - i - n, b - j - n
+            if gap_item > longest:
+                break
+            if gap_item < 0 or gap_text < 0 or gap_text > longest:
                 continue
-            matched, wrong = states[k]
-            if wrong <= edits * (matched + wrong) + 1e-9:
-                best = max(best, matched)
-            i, j, n = tiles[k]
-            for m in range(k + 1, len(tiles)):
-                a, b, size = tiles[m]
-                gap_item, gap_text = a - i - n, b - j - n
-                if gap_item > longest_gap:
-                    break
-                if gap_item < 0 or gap_text < 0 or gap_text > longest_gap:
-                    continue
-                shared = _common(item[i + n : a].tolist(), text[j + n : b].tolist()) if gap_item and gap_text else 0
-                state = matched + shared + size, wrong + max(gap_item, gap_text) - shared
-                if m not in states or state[0] - 3 * state[1] > states[m][0] - 3 * states[m][1]:
-                    states[m] = state
+            shared = _common(item[i + n : a].tolist(), text[j + n : b].tolist()) if gap_item and gap_text else 0
+            more = max(gap_item, gap_text) - shared
+            states[m] += [(matched + shared + size, wrong + more) for matched, wrong in states[k] if wrong + more <= most]
     return best
 
 
+class Block:
+    """Test items with their codes and, per size of seed, the sorted hashes of their windows."""
+
+    def __init__(self, ids: list, texts: list[str], share: float, edits: float):
+        self.ids = ids
+        self.codes = [word_codes(text) for text in texts]
+        sizes = np.array([seed_size(len(c), share, edits) for c in self.codes])
+        self.needed = np.array([max(1, least_seeds(len(c), s, share, edits)) if len(c) >= 5 else 1 << 30 for c, s in zip(self.codes, sizes)], np.int64)
+        self.tables = []
+        for size in _SEEDS:
+            own = np.flatnonzero(sizes == size)
+            hashes = [window_hashes(self.codes[k], size) for k in own]
+            if not sum(map(len, hashes)):
+                continue
+            owners, keys = np.repeat(own, [len(h) for h in hashes]), np.concatenate(hashes)
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((size, keys[order], owners[order]))
+
+    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Pairs (text, item) that share enough seeds, in order."""
+        n, found = len(self.ids), []
+        of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        for size, keys, owners in self.tables:
+            hashes = window_hashes(codes, size)
+            inside = of[: len(hashes)] == of[size - 1 :] if len(hashes) else np.zeros(0, bool)
+            low = np.searchsorted(keys, hashes, "left")
+            hit = inside & (keys[np.minimum(low, len(keys) - 1)] == hashes)
+            texts, low, hashes = of[: len(hashes)][hit], low[hit], hashes[hit]
+            # Each distinct seed of a text counts every place of the items where it stands.
+            order = np.lexsort((hashes, texts))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (texts[order][1:] != texts[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+            texts, low = texts[order][fresh], low[order][fresh]
+            length = np.searchsorted(keys, hashes[order][fresh], "right") - low
+            at = np.repeat(low - np.cumsum(length) + length, length) + np.arange(length.sum())
+            pairs, counts = np.unique(np.repeat(texts, length) * n + owners[at], return_counts=True)
+            found.append(pairs[counts >= self.needed[pairs % n]])
+        pairs = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return np.stack([pairs // max(n, 1), pairs % max(n, 1)], axis=1)
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text",
                share: float = 0.5, edits: float = 0.1, block: int = 20_000, block_chars: int = 50_000_000) -> DataFrame:
     """Rows (doc_id, item_id, words): documents holding at least ``share`` of an item's words in the
     item's order in one stretch with at most ``edits`` of its words dropped or replaced.
 
     Case, accents, punctuation and spacing do not count. Null ids and texts, and items with fewer
-    than 5 words, give no row; repeated rows give one row; copies of a document are documents. The
-    items are taken in blocks of ``block`` ids, which bounds what a worker holds at a time; a block of
-    more than ``block_chars`` characters is refused.
+    than 5 words, give no row; repeated rows give one row; copies of a document are documents; other
+    columns are ignored; no items or documents give no rows. The items are spread by a hash over
+    blocks of about ``block`` items and ``block_chars`` characters; one block at a time passes through
+    the driver, and a worker holds the block it works on.
     """
+    context = documents.sparkSession.sparkContext
     wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).dropDuplicates(["item"])
-    numbered = wanted.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(4096)))
-    sizes = numbered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).orderBy("bucket").collect()
-    blocks: list[list[int]] = [[]]
-    n = chars = 0
-    for row in sizes:
-        if row["n"] > block or row["chars"] > block_chars:
-            raise ValueError("a block of test items is too large: raise block or block_chars")
-        if blocks[-1] and (n + row["n"] > block or chars + row["chars"] > block_chars):
-            blocks.append([])
-            n = chars = 0
-        blocks[-1].append(row["bucket"])
-        n, chars = n + row["n"], chars + row["chars"]
+    total = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-total["n"] // block), -(-total["chars"] // block_chars))
     source = documents.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text"))
     kinds = source.schema["doc"].dataType.simpleString(), wanted.schema["item"].dataType.simpleString()
     result = None
-    for buckets in blocks:
-        held = numbered.where(F.col("bucket").isin(buckets)).collect() if buckets else []
-        part = source.mapInArrow(_finder([(r["item"], r["text"]) for r in held], share, edits), f"doc {kinds[0]}, item {kinds[1]}, words int")
+    for number in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number).toArrow().sort_by("item")
+        held = context.broadcast(Block(rows.column("item").to_pylist(), rows.column("text").to_pylist(), share, edits))
+        part = source.mapInArrow(_finder(held, rows.schema.field("item").type, share, edits), f"doc {kinds[0]}, item {kinds[1]}, words int")
         result = part if result is None else result.unionByName(part)
     return result.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "words").dropDuplicates(["doc_id", "item_id"])
 
 
-def _finder(items: list[tuple[int, str]], share: float, edits: float):
+def _finder(held, item_type: pa.DataType, share: float, edits: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = [word_codes(plain_words(text)) for _, text in items]
-        hashes = [window_hashes(c, _SEED) for c in codes]
-        owners = np.repeat(np.arange(len(items)), [len(h) for h in hashes]) if items else np.zeros(0, int)
-        keys = np.concatenate(hashes) if items else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
-        needed = np.array([least_seeds(len(c), share, edits) for c in codes])
+        items = held.value
         for batch in batches:
-            found = []
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                own = word_codes(plain_words(text))
-                seeds = np.unique(window_hashes(own, _SEED))
-                low, high = np.searchsorted(keys, seeds, "left"), np.searchsorted(keys, seeds, "right")
-                hit = high > low
-                if not hit.any():
-                    continue
-                shared = np.concatenate([owners[a:b] for a, b in zip(low[hit], high[hit])])
-                counts = np.bincount(shared, minlength=len(items))
-                for k in np.flatnonzero(counts >= needed):
-                    words = best_stretch(codes[k], own, edits)
-                    if words >= share * len(codes[k]):
-                        found.append((doc, items[k][0], words))
-            columns = list(zip(*found)) if found else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("doc").type), pa.array(columns[1]) if found else pa.array([], pa.int64()), pa.array(columns[2], pa.int32())], ["doc", "item", "words"])
+            codes, starts = batch_codes(batch.column("text"))
+            docs, found, most = [], [], []
+            for text, item in items.candidates(codes, starts).tolist():
+                own, least = codes[starts[text] : starts[text + 1]], share * len(items.codes[item])
+                words = best_stretch(items.codes[item], own, edits)
+                if words < least:  # a part of the item that stands twice may have been marked in the wrong place
+                    words = max(words, best_stretch(items.codes[item], own, edits, once=False))
+                if words >= least:
+                    docs.append(text)
+                    found.append(items.ids[item])
+                    most.append(words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(docs, pa.int64())), pa.array(found, item_type), pa.array(most, pa.int32())], ["doc", "item", "words"])
 
     return work
 

@@ -268,6 +268,31 @@ def test_leaks(spark):
     assert leaks.find_leaks(frame.limit(0), spark.createDataFrame(tests, "item_id long, text string")).count() == 0
 
 
+def test_leaks_with_clustered_edits_short_items_and_repeated_parts(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"v{rng.randint(0, 10**6)}" for _ in range(n)]
+    long, short, twice, single = fresh(200), fresh(8), fresh(60), fresh(100)
+    hole = long[:93] + fresh(15) + long[108:]
+    broken = long[:93] + fresh(30) + long[123:]
+    repeated = twice[:20] + fresh(50) + [w if k != 10 else "other" for k, w in enumerate(twice)][:35]
+    comb = [w if not 40 <= k < 54 or k % 2 else "other" for k, w in enumerate(single)]
+    docs = [(1, " ".join(hole)), (2, " ".join(broken[60:150])), (3, " ".join(fresh(9) + short[2:6] + fresh(9))), (4, " ".join(repeated)), (5, " ".join(comb[20:75])), (6, " ".join(short[:3]))]
+    tests = [(0, " ".join(long)), (1, " ".join(short)), (2, " ".join(twice)), (3, " ".join(single))]
+    found = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 0), (3, 1), (4, 2)}
+    # 55 words with 7 replaced are more than one in ten; all 100 words with the same 7 are a leak.
+    assert leaks.best_stretch(leaks.word_codes(" ".join(single)), leaks.word_codes(" ".join(comb))) == 93
+
+
+def test_least_seeds_hold_for_every_item_length():
+    for n in range(5, 120):
+        size = leaks.seed_size(n, 0.5, 0.1)
+        assert leaks.least_seeds(n, size) >= 1
+        for length in range(-(-n // 2), n + 1):
+            edits = int(0.1 * length)
+            assert length - size + 1 - size * edits >= leaks.least_seeds(n, size)
+
+
 def test_tiles_do_not_overlap():
     item, text = np.array([1, 2, 3, 4, 5, 6], np.uint64), np.array([4, 5, 6, 9, 1, 2, 3, 4], np.uint64)
     assert leaks.greedy_tiles(item, text) == [(0, 4, 4), (4, 1, 2)]
