@@ -1,8 +1,7 @@
 """Broken prompt and response pairs.
 
-Responses are sorted by their text in range partitions that keep a common beginning together, so the
-only possible longer version of a response is the one behind it: a response that its successor goes on
-with in mid-sentence is a shortened version. Piles of unfinished responses at one length and last
+Responses are sorted by their text in range partitions, so that the longer versions of a response stand
+right behind it: a response that one of them goes on with in mid-sentence is a shortened version. Piles of unfinished responses at one length and last
 words that never end a sentence show the other cut ones. Rules for emptiness, copies of the question,
 refusals and the languages of both sides (by character models) name the rest.
 """
@@ -12,7 +11,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +27,40 @@ from strataquill.sources.tables import table
 _WORD = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _EMPTY = {"", "n a", "na", "none", "null", "nil", "empty", "nan", "undefined", "vide", "aucun", "aucune", "no answer", "not available", "tbd", "todo", "blank", "missing", "br", "p p", "ntacyo", "sans objet"}
-#: What declines or reports that nothing was found, and what stands around it.
-_DECLINES = re.compile(
-    r"\b(?:can ?not|can't|could not|couldn't|unable to|not able to|not in a position to|will not|won't)\b.{0,30}\b(?:answer|help|assist|discuss|respond|say|comment|advise|provide|find)"
-    r"|\b(?:must|have to) decline\b|\bdecline to\b|\bnothing (?:could|can|was|has)\b.{0,25}\b(?:retrieved|found)|\bno (?:relevant |useful |further )?(?:information|results?|answers?|documents?|sources?)\b.{0,30}\bfound"
-    r"|\bnothing in my (?:sources|documents|data)|\boutside (?:of )?what i\b|\bi (?:found|have found|have) nothing\b|\bprefer not to\b"
-    r"|\bne (?:peux|puis|pouvons) (?:malheureusement )?pas\b.{0,30}\b(?:répondre|aider|prononcer|donner|fournir|trouver)|\bimpossible de\b.{0,20}\b(?:aider|répondre|donner|trouver)|\bpréfère ne pas\b"
-    r"|\bne conti(?:ennent|ent) rien\b|\baucune? (?:information|réponse|résultat|document|source)\b.{0,30}\b(?:trouvée?|disponible|n'est|n'a)|\bn'a rien donné\b|\brien (?:n'a été )?trouvé|\bn'ai rien trouvé"
-    r"|\bsinshobora (?:gusubiza|gufasha|kugufasha|kubisubiza)|\bsinemerewe\b|\bnta (?:makuru|gisubizo|nyandiko)\b.{0,30}\b(?:nabonye|mfite|byabonetse|yabonetse|ryabonetse)|\bnta cyo (?:byatanze|bibivugaho|nabonye|mbiziho|nabonyemo)\b|\bsimfite\b",
-    re.IGNORECASE,
-)
-_AROUND = re.compile(
-    r"^(?:i am (?:very )?sorry|i'm sorry|sorry|unfortunately|apologies|my apologies|i apologi[sz]e|as an? (?:ai|assistant)|please (?:consult|contact|try|ask)|try (?:asking|again)|contact|consult"
-    r"|je suis (?:vraiment )?désolée?|désolée?|malheureusement|toutes mes excuses|mes excuses|excusez|en tant qu|veuillez|adressez|reformulez|consultez|contactez|essayez"
-    r"|mbabarira|nsabye imbabazi|imbabazi|ikibabaje|nk'umufasha|baza|ongera|egera|gerageza)\b",
-    re.IGNORECASE,
-)
+#: The closed classes of words that a refusal is made of in each language: who speaks, what denies,
+#: what is denied (saying, knowing, helping), and how something sought was not found.
+_REFUSES = {
+    language: tuple(re.compile(pattern, re.IGNORECASE) for pattern in patterns)
+    for language, patterns in {
+        "en": (
+            r"\b(?:i|i'm|i've|i'd|we|we're|we've|my|our|me|us|myself)\b",
+            r"\b(?:not|no|nothing|none|never|cannot|\w+n't|unable|unfit|unqualified|decline|refuse|beyond|outside|exceeds?|lack)\b",
+            r"\b(?:answer\w*|respond|response|say|speak|tell|help|assist|discuss\w*|comment|advi[sc]e|opinion|provide|know\w*|aware|familiar|competence|expertise|remit|scope|information|sources?|data|documents?|found|find|idea|able|qualified|position)\b",
+            r"\b(?:no|nothing|none|not|\w+n't)\b.*\b(?:found|retrieved|available|returned|yielded|located)\b",
+            r"\b(?:information|results?|answers?|documents?|sources?|web|internet|search\w*|request|query|database|nothing)\b",
+        ),
+        "fr": (
+            r"\b(?:je|nous|mes|mon|ma|notre|nos|me|moi)\b|\b[jm]'",
+            r"\b(?:ne|pas|rien|aucune?|impossible|incapable|refuse|hors|dépasse\w*|ignore|décline)\b|\bn'",
+            r"\b(?:répon\w+|aider|aide|dire|parler|prononcer|commenter|avis|conseiller|donner|fournir|sais|savoir|connais\w*|compétences?|informations?|sources?|données|documents?|trouv\w+|idée|mesure|ignore)\b",
+            r"\b(?:rien|aucune?|ne|pas)\b.*\b(?:trouv\w+|disponibles?|donné|retourné|contien\w+|abouti)\b|\bn'.*\b(?:trouv\w+|disponibles?|donné|retourné|abouti)\b|\b(?:trouv\w+|disponibles?)\b.*\b(?:aucune?|rien)\b",
+            r"\b(?:informations?|réponses?|résultats?|documents?|sources?|web|internet|recherches?|base|rien)\b",
+        ),
+        "rw": (
+            r"\b(?:sin\w{3,}|sim\w{3,}|sinzi|simbizi|nshobora|mfite|mbona|nabonye|nabonyemo|nzi|mbizi|njye|jyewe|\w+anjye)\b",
+            r"\b(?:nta|ntabwo|ntacyo|ntaby\w+|birenze|burenze|hanze|si[nm]\w{2,})\b",
+            r"\b(?:gusubiza|kubisubiza|gufasha|kugufasha|kuvuga\w*|mvuga|sinzi|simbizi|nzi|mbizi|mbiziho|ubumenyi|ubushobozi|amakuru|makuru|gisubizo|igisubizo|inyandiko|nyandiko|nabonye\w*|bibivugaho|kugira icyo|ikibazo|ingingo)\b",
+            r"\b(?:nta|ntabwo|ntacyo)\b.*\b(?:\w*bonetse|\w*bonye\w*|\w*tanze|\w*bivugaho|mbiziho|mfite)\b",
+            r"\b(?:makuru|amakuru|gisubizo|igisubizo|nyandiko|inyandiko|rubuga|gushakisha|ishakisha|ibyo)\b",
+        ),
+    }.items()
+}
+_REGRETS = re.compile(r"\b(?:sorry|unfortunately|apolog\w+|regret\w*|afraid|sadly|alas)\b|\b(?:désolée?s?|malheureusement|excuse[sz]?|excusez|regrett?\w*|navrée?s?|hélas|pardon)\b|\b(?:mbabarira|imbabazi|ikibabaje|birababaje|unyihanganire|mwihangane|ihangane)\b", re.IGNORECASE)
+#: What stands beside a refusal: a role, or a request to turn elsewhere or ask again.
+_BESIDE = re.compile(
+    r"^(?:but|mais|ariko|and|et|kandi)?\s*(?:as an?\b|en tant qu|en qualité d|nk'|please|kindly|try|ask|see|seek|visit|contact|consult|speak|refer|turn|rephrase|reformulate|you (?:may|might|could|should) (?:ask|try|contact|consult)"
+    r"|veuillez|merci de|adressez|reformulez|consultez|contactez|essayez|demandez|voyez|posez|baza|mubaze|ongera|egera|gerageza|reba|shaka|hamagara|wabaza)", re.IGNORECASE,
+)
 #: How a question asks for an answer in a language.
 _ASKS = {
     "en": re.compile(r"\b(?:in english|en anglais|(?:mu |ki)?cyongereza)\b", re.IGNORECASE),
@@ -60,25 +79,31 @@ def bare_words(text: str) -> list[str]:
 def says_nothing(answer: str | None) -> bool:
     if answer is None:
         return True
-    # What says nothing holds next to no letters or digits outside its markup.
+    # No placeholder has more than 24 letters and digits: longer answers need no closer look.
     if len(answer) > 100 and sum(map(len, _WORD.findall(re.sub(r"<[^<>]*>|&[a-z#0-9]+;", " ", answer)))) > 24:
         return False
     return " ".join(bare_words(answer)) in _EMPTY
 
 
+def declines(clause: str) -> bool:
+    """In one of the languages, the speaker denies to say, know or help, or something sought was not found."""
+    return any(denies.search(clause) and (speaks.search(clause) and tells.search(clause) or missed.search(clause) and sought.search(clause)) for speaks, denies, tells, missed, sought in _REFUSES.values())
+
+
 def only_declines(answer: str) -> bool:
-    """Every sentence declines, apologises or refers elsewhere, and one of them declines or apologises."""
+    """Every clause declines, regrets, names a role or refers elsewhere, and one of them declines, or
+    nothing but regret is said."""
     text = unicodedata.normalize("NFC", answer).replace("’", "'")
-    sentences = [s.strip(" *_>#-\"“”«»") for s in re.split(r"[.!?\n]+", text) if _LETTERS.search(s)]
-    if not sentences or any(len(s.split()) > 32 for s in sentences):
-        return False
-    declines = []
-    for s in sentences:
-        declines.append(bool(_DECLINES.search(s)))
-        if not declines[-1] and not _AROUND.match(s):
+    clauses = [c.strip(" ,*_>#-\"“”«»()") for c in re.split(r"[.!?…\n;:]+|,\s*(?=(?:but|however|mais|ariko)\b)", text) if _LETTERS.search(c)]
+    refused = regretted = False
+    for clause in clauses:
+        if declines(clause):
+            refused = True
+        elif _REGRETS.search(clause) and len(clause.split()) <= 6:
+            regretted = True
+        elif not _BESIDE.match(clause):
             return False
-    apologises = re.match(r"(?:i am sorry|sorry|unfortunately|apolog|je suis désol|désol|malheureusement|toutes mes excuses|mbabarira|nsabye imbabazi|ikibabaje)", sentences[0], re.IGNORECASE)
-    return any(declines) or apologises is not None and len(_LETTERS.findall(text)) < 12
+    return refused or regretted
 
 
 def only_repeats(question: str | None, answer: str, dressing: int = 6) -> bool:
@@ -113,7 +138,7 @@ class WordScores:
         self.matrix = np.zeros((0, len(models)))
 
     def sums(self, text: str) -> tuple[np.ndarray, int]:
-        words = [w for w in _LETTERS.findall(text.lower()) if len(w) < 60]
+        words = _LETTERS.findall(text.lower())
         new = [w for w in dict.fromkeys(words) if w not in self.rows]
         if new:
             if len(self.rows) > self.most:
@@ -124,47 +149,74 @@ class WordScores:
         return self.matrix[[self.rows[w] for w in words]].sum(0), len(words)
 
 
-def shortened(values: DataFrame, column: str = "answer", shared: int = 24, short: int = 8) -> DataFrame:
+def goes_on(before: str, rest: str, short: int) -> bool:
+    """Whether ``rest`` goes on with a text in mid-word or, behind ``short`` words at least, in mid-sentence."""
+    inside = rest[0].isalpha() and before[-1].isalpha()
+    if inside or len(before.split(None, short)) < short:
+        return inside
+    return rest[0].isalnum() and before[-1].isalnum() or rest[0] in " ,'’-" and rest.lstrip(" ,'’-")[:1].islower()
+
+
+def open_beginnings(texts: Iterator[str], short: int) -> Iterator[tuple[str, bool, bool]]:
+    """(text, any, all) of each of the sorted distinct texts that others begin with: whether one of them,
+    and whether each of them, goes on with it (each: in mid-word). The texts that begin with another
+    stand behind it in one run, so a stack holds the beginnings of the text at hand."""
+    stack: list[list] = []
+    for text in texts:
+        while stack and not text.startswith(stack[-1][0]):
+            done = stack.pop()
+            if done[3]:
+                yield done[0], done[1], done[2]
+        for beginning in stack:
+            rest = text[len(beginning[0]) :]
+            if rest:
+                beginning[1] = beginning[1] or goes_on(beginning[0], rest, short)
+                beginning[2] = beginning[2] and rest[0].isalpha() and beginning[0][-1].isalpha()
+                beginning[3] = True
+        if not stack or stack[-1][0] != text:
+            stack.append([text, False, True, False])
+    for done in reversed(stack):
+        if done[3]:
+            yield done[0], done[1], done[2]
+
+
+def shortened(values: DataFrame, column: str = "answer", certain: int = 24, short: int = 8, sampled: int = 20_000) -> DataFrame:
     """The distinct texts of ``column`` that another text goes on with in mid-word or mid-sentence.
 
-    Texts of fewer than ``short`` words must go on in mid-word, and no text behind a whole last word.
+    Texts of fewer than ``short`` words must go on in mid-word, and those of fewer than ``certain``
+    characters in every longer text. The texts are sorted in ranges cut at texts of a bounded sample;
+    a text also goes to each later range that begins inside its run, so no run is cut.
     """
+    texts = values.select(F.rtrim(column).alias("text")).where(F.length("text") > 0)
+    ranges = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = (sampled << 30) // max(values.count(), 1)
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < min(share, 1 << 30)).select(F.substring("text", 1, 200).alias("text")).distinct().toArrow()
+    ordered = sorted(drawn.column("text").to_pylist())
+    cuts = sorted({ordered[k * len(ordered) // ranges] for k in range(1, ranges)}) if ordered else []
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, parts = [], []
+            for text in dict.fromkeys(batch.column("text").to_pylist()):
+                at = bisect_right(cuts, text)
+                kept.append(text)
+                parts.append(at)
+                while at < len(cuts) and cuts[at].startswith(text):
+                    at += 1
+                    kept.append(text)
+                    parts.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(parts, pa.int32())], ["text", "part"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                if before is not None and len(before) >= shared and before[-1] not in ".!?" and len(text) > len(before) and text.startswith(before):
-                    rest = text[len(before) :]
-                    if len(before.split(None, short)) < short:
-                        goes_on = rest[0].isalpha() and before[-1].isalpha()
-                    else:
-                        goes_on = rest[0].isalnum() and before[-1].isalnum() or rest[0] in " ,'’-" and rest.lstrip(" ,'’-")[:1].islower()
-                    if goes_on:
-                        found.append(before)
-                before = text
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["text"])
-
-    texts = values.select(F.rtrim(column).alias("text")).where(F.length("text") > 0).distinct()
-    beginning = F.substring("text", 1, shared)
-    sorted_out = texts.repartitionByRange(beginning).sortWithinPartitions("text").mapInArrow(compare, "text string")
-    # What is shorter than the common beginning may stand in another partition than its longer versions.
-    letter = r"^\p{L}"
-    stubs = texts.where((F.length("text") < shared) & F.col("text").rlike(r"\p{L}$"))
-    places = F.sequence(F.lit(1), F.least(F.length("text") - 1, F.lit(shared - 1)))
-    begun = (
-        texts.where(F.length("text") > 1)
-        .select(F.substring("text", 1, shared).alias("text"))
-        .distinct()
-        .select("text", F.explode(places).alias("at"))
-        .select(F.expr("substring(text, 1, at)").alias("text"), F.expr("substring(text, at + 1, 1)").rlike(letter).alias("inside"))
-        .where(F.col("text").rlike(r"\p{L}$"))
-        .groupBy("text")
-        .agg(F.min("inside").alias("inside"))
-        .where("inside")
-    )
-    return sorted_out.unionByName(stubs.join(begun, "text", "left_semi")).distinct()
+        texts = (text for batch in batches for text in batch.column("text").to_pylist())
+        found = open_beginnings(texts, short)
+        while rows := list(islice(found, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.bool_(), pa.bool_()))], ["text", "one", "each"])
+
+    sorted_out = texts.mapInArrow(placed, "text string, part int").repartitionById(max(len(cuts) + 1, 1), F.col("part")).sortWithinPartitions("text")
+    judged = sorted_out.select("text").mapInArrow(compare, "text string, one boolean, each boolean").groupBy("text").agg(F.max("one").alias("one"), F.min("each").alias("each"))
+    unfinished = ~F.col("text").rlike(r"[.!?]$")
+    return judged.where(unfinished & F.when(F.length("text") < certain, F.col("each")).otherwise(F.col("one"))).select("text")
 
 
 def defective_pairs(records: DataFrame, labelled: DataFrame, text_col: str = "body", label_col: str = "language", short: int = 8) -> DataFrame:

@@ -102,6 +102,26 @@ def test_refusal(answer, declined):
     assert pairs.only_declines(answer) is declined
 
 
+@pytest.mark.parametrize("answer, declined", [
+    ("This matter lies beyond my competence.", True), ("I have no knowledge about that topic.", True), ("Je ne saurais me prononcer sur ce point.", True), ("I'm afraid that is not something I know.", True), ("Sinzi igisubizo cy'iki kibazo.", True),
+    ("We don't have any information on this. Please ask a lawyer.", True), ("Je n'ai aucune réponse à donner; adressez-vous au greffe.", True), ("The tenant cannot be made to answer for it.", False), ("I cannot give legal advice, but the deadline is 30 days.", False), ("No answer was found. The deadline is 8 days.", False),
+    ("Le conseil ne donne pas son avis.", False),
+])
+def test_refusals_in_other_words(answer, declined):
+    assert pairs.only_declines(answer) == declined
+
+
+def test_beginnings_of_other_texts(spark):
+    whole = [f"the court of place {k % 7} may request the document number {k} in writing before the notary" for k in range(400)]
+    cut = {w[: 40 + k % 20] for k, w in enumerate(whole[:50]) if w[39 + k % 20].isalpha() and w[40 + k % 20].isalpha()}
+    ends = ["the court may request it.", "the court may request it. And the bank pays.", "short", "short answer", "shorte", "yes", "yes sir"]
+    frame = spark.createDataFrame([(t,) for t in [*whole, *cut, *ends, None, ""]], "answer string")
+    brute = {t for t in {*whole, *cut, *ends} if t[-1] not in ".!?" and (more := [u for u in {*whole, *cut, *ends} if u != t and u.startswith(t)]) and (all(u[len(t)].isalpha() for u in more) if len(t) < 24 else any(pairs.goes_on(t, u[len(t) :], 8) for u in more))}
+    assert cut <= brute
+    for sampled in (0, 40, 1000):
+        assert {r["text"] for r in pairs.shortened(frame, sampled=sampled).collect()} == brute
+
+
 def test_defective_pairs(spark, labelled):
     rng = random.Random(4)
     whole = " ".join(sentence(EN, rng) for _ in range(4))
