@@ -8,16 +8,15 @@ from strataquill.operators.orphans import orphan_counts, orphan_references
 from strataquill.sources.tables import table
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_references(*(table(spark, folder, t) for t in ("case_statute_citations", "laws", "articles")))
+_TABLES = ("case_statute_citations", "laws", "articles")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).drop("month")
+    return orphan_references(*(table(spark, folder, t) for t in _TABLES)).drop("month")
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_counts(_orphans(spark, folder))
+    return orphan_counts(*(table(spark, folder, t) for t in _TABLES))
 
 
 _STATE = r"""

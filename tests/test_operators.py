@@ -140,12 +140,34 @@ def test_orphans(spark):
     for share in (200, 2, 1):  # all keys light, some heavy, none heavy
         got = orphans.orphan_references(cited, laws, articles, share)
         assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(expected)
-    assert {tuple(r)[::3] for r in orphans.orphan_counts(got).collect()} == {("articles", 1), ("laws", 1)}
+        counted = {tuple(r) for r in orphans.orphan_counts(cited, laws, articles, share).collect()}
+        assert counted == {(t, r, day(1), 1) for _, t, r in expected}
     empty = cited.limit(0)
     assert orphans.orphan_references(empty, laws, articles).count() == 0
+    assert orphans.orphan_counts(empty, laws, articles).count() == 0
     assert orphans.orphan_references(cited, laws.limit(0), articles.limit(0)).where("reason <> 'missing'").count() == 0
 
 
+def test_orphans_of_a_month_in_which_the_record_came(spark):
+    laws = spark.createDataFrame([("l1", "1/2000", day(10), None)], "id string, law_number string, created_at timestamp, deleted_at timestamp")
+    articles = spark.createDataFrame([], "id string, law_id string, article_number string, created_at timestamp, deleted_at timestamp")
+    rows = [(f"c{k}", "1/2000", None, day(k)) for k in range(2, 20)] + [("c2", "1/2000", None, day(2)), ("cn", "1/2000", None, None), ("cm", "2/2000", None, None)]
+    cited = spark.createDataFrame(rows, "id string, law_number string, article_number string, created_at timestamp")
+    for share in (1, 200):
+        assert {tuple(r) for r in orphans.orphan_counts(cited, laws, articles, share).collect()} == {("laws", "late", day(1), 8), ("laws", "missing", None, 1)}
+
+
+def test_rows_of_heavy_keys_never_enter_the_shuffle(spark):
+    """One key with half of all rows: what is shuffled holds no row of it, and no task much more than another."""
+    cited = spark.range(200_000).select(F.concat(F.lit("c"), "id").alias("id"), F.when(F.col("id") % 2 == 0, "9/1999").otherwise(F.concat((F.col("id") % 4001).cast("string"), F.lit("/2000"))).alias("law_number"), F.lit(None).cast("string").alias("article_number"), F.lit(day(5)).alias("created_at"))
+    refs = orphans._references(cited)
+    keys = refs.groupBy("law", "article").agg(F.count(F.lit(1)).alias("n"))
+    hot, rest = orphans._skew_join(refs, keys.select("law", "article"), orphans._heavy(keys, ["law", "article"], 200), ["law", "article"])
+    assert hot.count() == 100_000 and rest.count() == 100_000
+    sizes = [r["count"] for r in rest.repartition(8, "law", "article").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
+
+
 def test_hot_key_join(spark):
     rows = spark.createDataFrame([(1, k) for k in range(90)] + [(k, k) for k in range(2, 12)] + [(None, 0)], "k int, v int")
     lookup = spark.createDataFrame([(k, f"n{k}") for k in range(1, 8)], "k int, name string")
