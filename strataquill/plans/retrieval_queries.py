@@ -76,7 +76,7 @@ def ask_limitations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unanswered_guard(spark: SparkSession, folder: str) -> DataFrame:
-    best = R.top_k(R.score(R.build_index(_served_texts(spark, folder), only=R.query_terms(_items(spark, folder), T.char_ngrams).select("language", "term").distinct()), _items(spark, folder)), 1)
+    best = R.search(_served_texts(spark, folder), _items(spark, folder), 1)
     above = best.join(F.broadcast(_floors(spark)), "language").where("score >= floor").select("q")
     return _items(spark, folder).join(above, "q", "left_anti").select("q", "language")
 
@@ -146,17 +146,17 @@ def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     queries, vectors = _vectors(spark, folder)
-    return R.top_k(R.dense_scores(queries, vectors), 5).select("q", "doc", "score", "rank")
+    return R.dense_search(queries, vectors).select("q", "doc", "score", "rank")
 
 
 def inner_product_topk(spark: SparkSession, folder: str) -> DataFrame:
     queries, vectors = _vectors(spark, folder)
-    return R.top_k(R.dense_scores(queries, vectors, "inner"), 5).select("q", "doc", "score", "rank")
+    return R.dense_search(queries, vectors, measure="inner").select("q", "doc", "score", "rank")
 
 
 def dense_label_recall(spark: SparkSession, folder: str) -> DataFrame:
     queries, vectors = _vectors(spark, folder)
-    top = R.top_k(R.dense_scores(queries, vectors), 5)
+    top = R.dense_search(queries, vectors)
     labelled = top.join(queries.select("q", F.col("label").alias("ql")), "q").join(vectors.select("doc", "label"), "doc")
     return labelled.groupBy("ql").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ql") == F.col("label")).alias("same"))
 
