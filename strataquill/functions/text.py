@@ -41,7 +41,6 @@ AUGMENTS = ("u", "a", "i", "o")
 CLASS_PREFIXES = ("mu", "mw", "ba", "b", "mi", "my", "ri", "ry", "ma", "m", "ki", "gi", "ky", "bi", "by", "n", "ru", "rw", "ka", "ga", "tu", "du", "bu", "bw", "ku", "gu", "kw", "gw", "ha", "h")
 VERB_PREFIXES = ("nd", "n", "u", "a", "tu", "du", "mu", "ba", "ki", "bi", "zi", "ru", "ka", "ha", "ya", "ra", "ku", "gu")
 TENSE_MARKERS = ("ra", "ri", "za", "a", "aa")
-FINALS = ("ye", "a", "e")
 LEAST_ROOT = 3
 
 

@@ -14,14 +14,21 @@ def recall_at(ranks: DataFrame, cuts: tuple[int, ...] = (1, 5)) -> DataFrame:
     return ranks.agg(F.count(F.lit(1)).alias("n"), *(F.round(100 * F.avg(F.when(F.col("rank") <= c, 1.0).otherwise(0.0)), 6).alias(f"recall_{c}") for c in cuts))
 
 
-def best_cut(scores: DataFrame) -> DataFrame:
+def best_cut(scores: DataFrame, width: float = 1.0) -> DataFrame:
     """(language, cut, value) from scores (language, score, signal): the lowest of the scores that
-    maximise the share of signal kept (at least the cut) plus twice the share of noise rejected."""
+    maximise the share of signal kept (at least the cut) plus twice the share of noise rejected.
+
+    The numbers below each score are summed in two steps, over slices of ``width`` and inside a slice,
+    so no task meets all scores of a language."""
     totals = scores.groupBy("language").agg(F.count_if("signal").alias("n_signal"), F.count_if(~F.col("signal")).alias("n_noise"))
-    distinct = scores.groupBy("language", "score").agg(F.count_if("signal").alias("s"), F.count_if(~F.col("signal")).alias("x"))
-    below = Window.partitionBy("language").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    counted = distinct.withColumns({"s_below": F.coalesce(F.sum("s").over(below), F.lit(0)), "x_below": F.coalesce(F.sum("x").over(below), F.lit(0))}).join(F.broadcast(totals), "language")
-    value = (F.col("n_signal") - F.col("s_below")) / F.greatest("n_signal", F.lit(1)) + 2 * F.col("x_below") / F.greatest("n_noise", F.lit(1))
+    distinct = scores.groupBy("language", "score").agg(F.count_if("signal").alias("s"), F.count_if(~F.col("signal")).alias("x")).withColumn("slice", F.floor(F.col("score") / width))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    slices = distinct.groupBy("language", "slice").agg(F.sum("s").alias("s"), F.sum("x").alias("x"))
+    slices = slices.select("language", "slice", *(F.coalesce(F.sum(c).over(before("language", "slice")), F.lit(0)).alias(f"{c}_slices") for c in "sx"))
+    inside = distinct.select("language", "slice", "score", *(F.coalesce(F.sum(c).over(before("language", "slice", "score")), F.lit(0)).alias(f"{c}_inside") for c in "sx"))
+    counted = inside.join(slices, ["language", "slice"]).join(F.broadcast(totals), "language")
+    kept, rejected = F.col("n_signal") - F.col("s_slices") - F.col("s_inside"), F.col("x_slices") + F.col("x_inside")
+    value = kept / F.greatest("n_signal", F.lit(1)) + 2 * rejected / F.greatest("n_noise", F.lit(1))
     return counted.withColumn("value", F.round(value, 9)).groupBy("language").agg(F.max_by("score", F.struct("value", -F.col("score"))).alias("cut"), F.max("value").alias("value"))
 
 
@@ -83,13 +90,12 @@ def grounding(answers: DataFrame, sources: DataFrame, words: Column) -> DataFram
     return said.join(known, ["id", "w"], "left").groupBy("id").agg(F.avg(F.coalesce("known", F.lit(0))).alias("rate"))
 
 
-def upper_median(values: Column) -> Column:
-    """Element floor(n/2) of the sorted values: the upper of two middle ones."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+def lower_quantile(column: str, share: float) -> Column:
+    """Element min(n - 1, floor(share * n)) of the sorted values of ``column``: counted from above it is the
+    discrete percentile ``1 - share``, which keeps only the distinct values and their counts."""
+    return F.expr(f"percentile_disc({1 - share}) WITHIN GROUP (ORDER BY {column} DESC)")
 
 
-def lower_quantile(values: Column, share: float) -> Column:
-    """Element min(n - 1, floor(share * n)) of the sorted values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.try_element_at(ordered, (F.least(F.size(ordered) - 1, F.floor(F.lit(share) * F.size(ordered))) + 1).cast("int"))
+def upper_median(column: str) -> Column:
+    """Element floor(n / 2) of the sorted values of ``column``: the upper of two middle ones."""
+    return lower_quantile(column, 0.5)

@@ -12,51 +12,48 @@ from strataquill.operators import retrieval as R
 from strataquill.operators.parsing import peak_ratio
 from strataquill.operators.skew import hot_key_join
 from strataquill.plans.retrieval_queries import _DOCS, _ITEMS, _bm25, _documents, _items, _words
-from strataquill.sources.tables import table
+from strataquill.functions.labels import label_sql
+from strataquill.sources.tables import records, table
 
 _LANGUAGES = ("rw", "en", "fr")
 
 
-def _once(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return table(spark, folder, name).dropDuplicates(["id"])
-
-
 def cited_headings(spark: SparkSession, folder: str) -> DataFrame:
     """Every citation with the English heading it leads to, whatever the status of the law."""
-    laws = _once(spark, folder, "laws").select(F.col("id").alias("law_id"), law_key("law_number").alias("law"))
-    articles = _once(spark, folder, "articles").select(F.col("id").alias("article_id"), "law_id", article_key("article_number").alias("article"))
-    texts = _once(spark, folder, "article_texts").where("language = 'en'").select("article_id", "heading")
+    laws = records(spark, folder, "laws").select(F.col("id").alias("law_id"), law_key("law_number").alias("law"))
+    articles = records(spark, folder, "articles").select(F.col("id").alias("article_id"), "law_id", article_key("article_number").alias("article"))
+    texts = records(spark, folder, "article_texts").where("language = 'en'").select("article_id", "heading")
     named = laws.join(articles, "law_id").join(texts, "article_id").groupBy("law", "article").agg(F.min("heading").alias("heading"))
-    cited = _once(spark, folder, "case_statute_citations").select("id", law_key("law_number").alias("law"), article_key("article_number").alias("article")).where("law IS NOT NULL AND article IS NOT NULL")
+    cited = records(spark, folder, "case_statute_citations").select("id", law_key("law_number").alias("law"), article_key("article_number").alias("article")).where("law IS NOT NULL AND article IS NOT NULL")
     return hot_key_join(cited, named, ["law", "article"]).select("id", "heading")
 
 
 def number_taken(spark: SparkSession, folder: str) -> DataFrame:
-    laws = _once(spark, folder, "laws").select("id", law_key("law_number").alias("law"))
+    laws = records(spark, folder, "laws").select("id", law_key("law_number").alias("law"))
     shared = laws.groupBy("law").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return laws.join(shared, "law", "left_semi").select("id", "law")
 
 
 def visible_articles(spark: SparkSession, folder: str) -> DataFrame:
-    laws = _once(spark, folder, "laws").where("deleted_at IS NULL").select(F.col("id").alias("law_id"), "law_number")
-    articles = _once(spark, folder, "articles").where("deleted_at IS NULL")
+    laws = records(spark, folder, "laws").where("deleted_at IS NULL").select(F.col("id").alias("law_id"), "law_number")
+    articles = records(spark, folder, "articles").where("deleted_at IS NULL")
     return articles.join(laws, "law_id", "left").groupBy("law_id", "law_number").agg(F.count(F.lit(1)).alias("n"))
 
 
 def numeric_article_order(spark: SparkSession, folder: str) -> DataFrame:
-    numbers = _once(spark, folder, "articles").where(~F.col("article_number").contains(" ")).groupBy("law_id").agg(F.collect_set("article_number").alias("n"))
+    numbers = records(spark, folder, "articles").where(~F.col("article_number").contains(" ")).groupBy("law_id").agg(F.collect_set("article_number").alias("n"))
     return numbers.select("law_id", F.array_join(T.numeric_order("n"), ",").alias("numbers"))
 
 
 def languages_reconciled(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _once(spark, folder, "article_texts").join(_once(spark, folder, "articles").select(F.col("id").alias("article_id"), "law_id", "article_number"), "article_id")
+    texts = records(spark, folder, "article_texts").join(records(spark, folder, "articles").select(F.col("id").alias("article_id"), "law_id", "article_number"), "article_id")
     held = texts.groupBy("law_id").agg(*(F.collect_set(F.when(F.col("language") == c, F.col("article_number"))).alias(c) for c in _LANGUAGES))
     gap = lambda a, b: F.size(F.array_except(a, b)).cast("long")
     return held.select("law_id", gap("rw", "en").alias("rw_only"), gap("en", "fr").alias("en_not_fr"), F.size(F.array_union(F.array_union("rw", "en"), "fr")).cast("long").alias("all_numbers"), F.size(F.array_intersect("rw", "fr")).cast("long").alias("rw_and_fr"))
 
 
 def status_counts(spark: SparkSession, folder: str) -> DataFrame:
-    laws = _once(spark, folder, "laws").select(law_key("law_number").alias("law"), "status", "created_at")
+    laws = records(spark, folder, "laws").select(law_key("law_number").alias("law"), "status", "created_at")
     per = laws.groupBy("law").agg(F.countDistinct("status").alias("n_statuses"), F.min_by("status", F.struct("created_at", "status")).alias("first"))
     return per.groupBy("first").agg(F.count(F.lit(1)).alias("n_laws"), F.count_if(F.col("n_statuses") > 1).alias("conflicting"))
 
@@ -64,17 +61,17 @@ def status_counts(spark: SparkSession, folder: str) -> DataFrame:
 def severity_ranked(spark: SparkSession, folder: str) -> DataFrame:
     order = F.array_position(F.array(*map(F.lit, ("repealed", "amended", "active"))), F.col("status"))
     place = Window.partitionBy("origin").orderBy(order, "id")
-    return _once(spark, folder, "laws").select("id", F.row_number().over(place).alias("place"))
+    return records(spark, folder, "laws").select("id", F.row_number().over(place).alias("place"))
 
 
 def audit_projection(spark: SparkSession, folder: str) -> DataFrame:
-    cited = _once(spark, folder, "case_statute_citations").where("law_number IS NOT NULL")
+    cited = records(spark, folder, "case_statute_citations").where("law_number IS NOT NULL")
     gathered = cited.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("law_number", "article_number", "id"))).alias("c"))
     return gathered.select("case_id", F.size("c").cast("long").alias("n"), F.to_json(F.slice(F.transform("c", lambda c: F.struct(c["law_number"].alias("law"))), 1, 3)).alias("first"))
 
 
 def best_per_source(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("doc"), "source")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "source")
     top = R.search(_documents(spark, folder), _items(spark, folder), 10, T.word_tokens)
     return top.join(docs, "doc").groupBy("q", "source").agg(F.max("score").alias("score"))
 
@@ -108,14 +105,14 @@ _NAMES = (cited_headings, number_taken, visible_articles, numeric_article_order,
 QUERIES = {f.__name__: f for f in _NAMES}
 _LAW = r"regexp_replace(regexp_replace(lower(law_number), '[\s\p{Z}.]+', '', 'g'), '^[^0-9]*0*([0-9]+[a-z]*/[0-9]+[a-z]*)[^a-z0-9]*$', '\1')"
 _ARTICLE = r"nullif(regexp_replace(regexp_replace(lower(article_number), '[\s\p{Z}.]+', '', 'g'), '^[^0-9]*0*([0-9]+[a-z]*)[^a-z0-9]*$', '\1'), '')"
-_ALL_DOCS = _DOCS.replace("lower(lang)", "'all'")
+_ALL_DOCS = "SELECT 'all' AS language, doc_id AS doc, text FROM documents"
 _ALL_ITEMS = _ITEMS.replace("language,", "'all' AS language,")
 ORACLES = {
-    "cited_headings": f"WITH n AS (SELECT law, article, min(heading) AS heading FROM (SELECT DISTINCT id, {_LAW} AS law FROM laws) l JOIN (SELECT DISTINCT id, law_id, {_ARTICLE} AS article FROM articles) a ON a.law_id = l.id JOIN (SELECT DISTINCT article_id, id, heading FROM article_texts WHERE language = 'en') t ON t.article_id = a.id GROUP BY law, article) SELECT c.id, n.heading FROM (SELECT DISTINCT id, {_LAW} AS law, {_ARTICLE} AS article FROM case_statute_citations) c JOIN n ON n.law = c.law AND n.article = c.article",
+    "cited_headings": f"WITH n AS (SELECT law, article, min(heading) AS heading FROM (SELECT DISTINCT id, {_LAW} AS law FROM laws) l JOIN (SELECT DISTINCT id, law_id, {_ARTICLE} AS article FROM articles) a ON a.law_id = l.id JOIN (SELECT DISTINCT article_id, id, heading FROM article_texts WHERE {label_sql('language')} = 'en') t ON t.article_id = a.id GROUP BY law, article) SELECT c.id, n.heading FROM (SELECT DISTINCT id, {_LAW} AS law, {_ARTICLE} AS article FROM case_statute_citations) c JOIN n ON n.law = c.law AND n.article = c.article",
     "number_taken": f"SELECT id, law FROM (SELECT *, count(*) OVER (PARTITION BY law) AS n FROM (SELECT DISTINCT id, {_LAW} AS law FROM laws)) WHERE n > 1",
     "visible_articles": "SELECT a.law_id, l.law_number, count(*) AS n FROM (SELECT DISTINCT * FROM articles WHERE deleted_at IS NULL) a LEFT JOIN (SELECT DISTINCT * FROM laws WHERE deleted_at IS NULL) l ON l.id = a.law_id GROUP BY ALL",
     "numeric_article_order": "SELECT law_id, string_agg(n::VARCHAR, ',' ORDER BY n) AS numbers FROM (SELECT DISTINCT law_id, article_number::INT AS n FROM articles WHERE NOT contains(article_number, ' ')) GROUP BY law_id",
-    "languages_reconciled": """WITH t AS (SELECT DISTINCT a.law_id, a.article_number AS n, t.language FROM article_texts t JOIN articles a ON a.id = t.article_id), p AS (SELECT law_id, n, bool_or(language = 'rw') AS rw, bool_or(language = 'en') AS en, bool_or(language = 'fr') AS fr FROM (SELECT law_id, n, coalesce(language, '') AS language FROM t) GROUP BY law_id, n)
+    "languages_reconciled": "WITH t AS (SELECT DISTINCT a.law_id, a.article_number AS n, " + label_sql("t.language") + """ AS language FROM article_texts t JOIN articles a ON a.id = t.article_id), p AS (SELECT law_id, n, bool_or(language = 'rw') AS rw, bool_or(language = 'en') AS en, bool_or(language = 'fr') AS fr FROM (SELECT law_id, n, coalesce(language, '') AS language FROM t) GROUP BY law_id, n)
  SELECT law_id, count(*) FILTER (WHERE rw AND NOT en) AS rw_only, count(*) FILTER (WHERE en AND NOT fr) AS en_not_fr, count(*) FILTER (WHERE rw OR en OR fr) AS all_numbers, count(*) FILTER (WHERE rw AND fr) AS rw_and_fr FROM p GROUP BY law_id""",
     "status_counts": f"WITH p AS (SELECT law, count(DISTINCT status) AS k, first(status ORDER BY created_at, status) AS first FROM (SELECT DISTINCT id, {_LAW} AS law, status, created_at FROM laws) GROUP BY law) SELECT first, count(*) AS n_laws, count(*) FILTER (WHERE k > 1) AS conflicting FROM p GROUP BY first",
     "severity_ranked": "SELECT id, row_number() OVER (PARTITION BY origin ORDER BY CASE status WHEN 'repealed' THEN 1 WHEN 'amended' THEN 2 WHEN 'active' THEN 3 ELSE 0 END, id) AS place FROM (SELECT DISTINCT * FROM laws)",

@@ -10,93 +10,90 @@ from strataquill.functions import dates as D
 from strataquill.functions.keys import law_key
 from strataquill.operators import lines as L
 from strataquill.operators import loads, paging
-from strataquill.sources.tables import table
+from strataquill.functions.labels import label_sql
+from strataquill.sources.tables import records, table
 
 _LANGUAGES = ("rw", "en", "fr")
 
 
-def _once(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return table(spark, folder, name).dropDuplicates(["id"])
-
-
 def statute_reach(spark: SparkSession, folder: str) -> DataFrame:
-    cited = _once(spark, folder, "case_statute_citations").select(law_key("law_number").alias("law")).where("law IS NOT NULL").groupBy("law").agg(F.count(F.lit(1)).alias("n"))
-    known = _once(spark, folder, "laws").select(law_key("law_number").alias("law"), F.lit(1).alias("known")).distinct()
+    cited = records(spark, folder, "case_statute_citations").select(law_key("law_number").alias("law")).where("law IS NOT NULL").groupBy("law").agg(F.count(F.lit(1)).alias("n"))
+    known = records(spark, folder, "laws").select(law_key("law_number").alias("law"), F.lit(1).alias("known")).distinct()
     return cited.join(known, "law", "left").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)).alias("resolved"))
 
 
 def law_reliance(spark: SparkSession, folder: str) -> DataFrame:
-    cited = _once(spark, folder, "case_statute_citations").withColumn("law", law_key("law_number")).where("law IS NOT NULL")
+    cited = records(spark, folder, "case_statute_citations").withColumn("law", law_key("law_number")).where("law IS NOT NULL")
     # Two steps, so that a law cited by a tenth of all rows is combined before it is shuffled.
     return cited.groupBy("law", "case_id").agg(F.count(F.lit(1)).alias("n")).groupBy("law").agg(F.count(F.lit(1)).alias("n_cases"), F.sum("n").alias("n_citations"))
 
 
 def partial_law_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    laws = _once(spark, folder, "laws").where("coverage = 'partial'").select(F.col("id").alias("law_id"), "law_number")
-    articles = _once(spark, folder, "articles").select(F.col("id").alias("article_id"), "law_id")
-    texts = _once(spark, folder, "article_texts").groupBy("article_id").agg(F.count(F.lit(1)).alias("n_texts"))
+    laws = records(spark, folder, "laws").where("coverage = 'partial'").select(F.col("id").alias("law_id"), "law_number")
+    articles = records(spark, folder, "articles").select(F.col("id").alias("article_id"), "law_id")
+    texts = records(spark, folder, "article_texts").groupBy("article_id").agg(F.count(F.lit(1)).alias("n_texts"))
     joined = laws.join(articles, "law_id", "left").join(texts, "article_id", "left")
     return joined.groupBy("law_id", "law_number").agg(F.count("article_id").alias("articles"), F.coalesce(F.sum("n_texts"), F.lit(0)).alias("texts"))
 
 
 def cited_laws_known(spark: SparkSession, folder: str) -> DataFrame:
-    cited = _once(spark, folder, "case_statute_citations").select(law_key("law_number").alias("law")).where("law IS NOT NULL").distinct()
-    known = _once(spark, folder, "laws").where("deleted_at IS NULL").select(law_key("law_number").alias("law"))
+    cited = records(spark, folder, "case_statute_citations").select(law_key("law_number").alias("law")).where("law IS NOT NULL").distinct()
+    known = records(spark, folder, "laws").where("deleted_at IS NULL").select(law_key("law_number").alias("law"))
     return cited.join(known, "law", "left_semi").withColumn("state", F.lit("present")).unionByName(cited.join(known, "law", "left_anti").withColumn("state", F.lit("missing")))
 
 
 def heading_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _once(spark, folder, "article_texts")
+    texts = records(spark, folder, "article_texts")
     return texts.groupBy("article_id").agg(*(F.max(F.when(F.col("language") == c, F.col("heading"))).alias(f"heading_{c}") for c in _LANGUAGES), F.count(F.lit(1)).alias("n"))
 
 
 def body_map(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _once(spark, folder, "article_texts").where(F.col("language").isin(*_LANGUAGES)).groupBy("article_id", "language").agg(F.max("body").alias("body"))
+    texts = records(spark, folder, "article_texts").where(F.col("language").isin(*_LANGUAGES)).groupBy("article_id", "language").agg(F.max("body").alias("body"))
     mapped = texts.groupBy("article_id").agg(F.map_from_entries(F.collect_list(F.struct("language", "body"))).alias("m"))
     return mapped.select("article_id", *(F.length(F.col("m")[c]).cast("long").alias(f"n_{c}") for c in _LANGUAGES))
 
 
 def language_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _once(spark, folder, "article_texts").where(F.col("language").isin(*_LANGUAGES)).groupBy("article_id").pivot("language", list(_LANGUAGES)).agg(F.count(F.lit(1)))
-    articles = _once(spark, folder, "articles").select(F.col("id").alias("article_id"), "law_id", "article_number")
+    texts = records(spark, folder, "article_texts").where(F.col("language").isin(*_LANGUAGES)).groupBy("article_id").pivot("language", list(_LANGUAGES)).agg(F.count(F.lit(1)))
+    articles = records(spark, folder, "articles").select(F.col("id").alias("article_id"), "law_id", "article_number")
     aligned = articles.join(texts, "article_id", "left").groupBy("law_id", "article_number").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _LANGUAGES))
     return aligned
 
 
 def usable_everywhere(spark: SparkSession, folder: str) -> DataFrame:
-    good = _once(spark, folder, "article_texts").where(F.col("language").isin(*_LANGUAGES) & (F.length("heading") > 6) & (F.length("body") > 200))
+    good = records(spark, folder, "article_texts").where(F.col("language").isin(*_LANGUAGES) & (F.length("heading") > 6) & (F.length("body") > 200))
     return good.groupBy("article_id").agg(F.countDistinct("language").alias("languages")).where("languages = 3").select("article_id")
 
 
 def coverage_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return L.missing_runs(_once(spark, folder, "articles").where("deleted_at IS NULL").select("law_id", "ordinal").distinct(), "law_id", "ordinal")
+    return L.missing_runs(records(spark, folder, "articles").where("deleted_at IS NULL").select("law_id", "ordinal").distinct(), "law_id", "ordinal")
 
 
 def field_discovery(spark: SparkSession, folder: str) -> DataFrame:
-    laws = _once(spark, folder, "laws")
+    laws = records(spark, folder, "laws")
     columns = ["law_number", "origin", "status", "coverage", "gazette_ref"]
     long = laws.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")).select("x.field", "x.value")
     return long.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("value").rlike(r"\d{1,4}(bis|ter)?/\d{2,4}"), 1.0).otherwise(0.0)), 6).alias("share"))
 
 
 def agreement_by_law(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _once(spark, folder, "article_texts").join(_once(spark, folder, "articles").select(F.col("id").alias("article_id"), "law_id"), "article_id")
+    texts = records(spark, folder, "article_texts").join(records(spark, folder, "articles").select(F.col("id").alias("article_id"), "law_id"), "article_id")
     return texts.groupBy("law_id").agg(F.countDistinct("source").alias("n_sources"), (F.countDistinct("source") <= 1).alias("agree"), F.min("source").alias("first_source"))
 
 
 def health_counts(spark: SparkSession, folder: str) -> DataFrame:
-    counts = [_once(spark, folder, t).agg(F.count(F.lit(1)).alias("n")) for t in ("laws", "articles", "article_texts")]
+    counts = [records(spark, folder, t).agg(F.count(F.lit(1)).alias("n")) for t in ("laws", "articles", "article_texts")]
     return spark.range(1).select(*(c.scalar().alias(n) for c, n in zip(counts, ("laws", "articles", "texts"))))
 
 
 def loadable_laws(spark: SparkSession, folder: str) -> DataFrame:
-    laws = _once(spark, folder, "laws")
+    laws = records(spark, folder, "laws")
     _, bad = loads.quarantine(laws, {"no number": F.col("law_number").rlike(r"\d/\d"), "no date": F.col("published_at").isNotNull(), "no reference": F.col("gazette_ref").isNotNull(), "deleted": F.col("deleted_at").isNull()})
     return bad.select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
 def source_lengths(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _once(spark, folder, "article_texts")
+    texts = records(spark, folder, "article_texts")
     return texts.groupBy("source", "is_official").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("body"))).cast("long").alias("mean_chars"))
 
 
@@ -106,40 +103,40 @@ def vocabulary_size(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def combo_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    combos = _once(spark, folder, "article_texts").where(F.col("language").isin(*_LANGUAGES)).groupBy("article_id").agg(F.array_join(F.array_sort(F.collect_set("language")), "+").alias("combo"))
+    combos = records(spark, folder, "article_texts").where(F.col("language").isin(*_LANGUAGES)).groupBy("article_id").agg(F.array_join(F.array_sort(F.collect_set("language")), "+").alias("combo"))
     return combos.groupBy("combo").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "combo").limit(8)
 
 
 def sections_union(spark: SparkSession, folder: str) -> DataFrame:
-    t = _once(spark, folder, "article_texts")
+    t = records(spark, folder, "article_texts")
     heads = t.where("heading IS NOT NULL").select("id", F.lit("heading").alias("kind"), F.length("heading").cast("long").alias("n"))
     return heads.unionByName(t.where("body IS NOT NULL").select("id", F.lit("body").alias("kind"), F.length("body").cast("long").alias("n")))
 
 
 def floor_pairing(spark: SparkSession, folder: str) -> DataFrame:
-    laws = _once(spark, folder, "articles").select("law_id", "id", "ordinal")
+    laws = records(spark, folder, "articles").select("law_id", "id", "ordinal")
     order = Window.partitionBy("law_id").orderBy("ordinal", "id")
     return laws.select("id", F.coalesce(F.lead("id").over(order), F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("other"))
 
 
 def article_order(spark: SparkSession, folder: str) -> DataFrame:
     order = Window.partitionBy("law_id").orderBy("article_number", "id")
-    return _once(spark, folder, "articles").select("id", F.row_number().over(order).alias("place"))
+    return records(spark, folder, "articles").select("id", F.row_number().over(order).alias("place"))
 
 
 def newest_laws(spark: SparkSession, folder: str) -> DataFrame:
     order = Window.partitionBy("origin").orderBy(F.desc_nulls_first("published_at"), "id")
-    return _once(spark, folder, "laws").withColumn("place", F.row_number().over(order)).where("place <= 3").select("origin", "place", "id")
+    return records(spark, folder, "laws").withColumn("place", F.row_number().over(order)).where("place <= 3").select("origin", "place", "id")
 
 
 def golden_diff(spark: SparkSession, folder: str) -> DataFrame:
-    laws = _once(spark, folder, "laws").select("id", "law_number", "status", "coverage")
+    laws = records(spark, folder, "laws").select("id", "law_number", "status", "coverage")
     fresh = laws.where("status <> 'repealed' OR status IS NULL").withColumn("coverage", F.when(F.col("status") == "amended", F.lit("complete")).otherwise(F.col("coverage")))
     return loads.full_diff(laws, fresh, "id")
 
 
 def upsert_coalesce_laws(spark: SparkSession, folder: str) -> DataFrame:
-    laws = _once(spark, folder, "laws").select("id", "law_number", "gazette_ref", "coverage")
+    laws = records(spark, folder, "laws").select("id", "law_number", "gazette_ref", "coverage")
     incoming = laws.where("coverage = 'partial'").select("id", "law_number", F.lit(None).cast("string").alias("gazette_ref"), F.lit("complete").alias("coverage"))
     return loads.upsert_coalesce(laws, incoming, ["id"])
 
@@ -151,32 +148,32 @@ def upsert_newest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def insert_ignore_edges(spark: SparkSession, folder: str) -> DataFrame:
-    c = _once(spark, folder, "case_statute_citations")
+    c = records(spark, folder, "case_statute_citations")
     early, late = c.where("created_at < '2021-01-01'"), c.where("created_at >= '2021-01-01'")
     keys = ["case_id", "law_number", "article_number"]
     return loads.insert_ignore(early.select(*keys).distinct(), late.select(*keys), keys).groupBy("law_number").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 def cascade_delete_laws(spark: SparkSession, folder: str) -> DataFrame:
-    laws, articles = _once(spark, folder, "laws"), _once(spark, folder, "articles")
+    laws, articles = records(spark, folder, "laws"), records(spark, folder, "articles")
     kept, (articles_kept,) = loads.cascade_delete(laws, [(articles, "law_id")], "id", F.col("coverage") == "partial")
     return kept.join(articles_kept.withColumnRenamed("id", "a_id"), kept["id"] == articles_kept["law_id"], "left").groupBy(kept["id"].alias("law_id")).agg(F.count("a_id").alias("n_articles"))
 
 
 def replaced_edges(spark: SparkSession, folder: str) -> DataFrame:
-    c = _once(spark, folder, "case_statute_citations").select("case_id", "law_number", "created_at")
+    c = records(spark, folder, "case_statute_citations").select("case_id", "law_number", "created_at")
     fresh = c.where("created_at >= '2024-01-01'")
     return loads.replace_edges(c, fresh, "case_id").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def soft_deleted_counts(spark: SparkSession, folder: str) -> DataFrame:
-    articles = loads.soft_delete(_once(spark, folder, "articles"), F.col("article_number").contains("bis"), F.lit("2025-01-01").cast("timestamp"))
+    articles = loads.soft_delete(records(spark, folder, "articles"), F.col("article_number").contains("bis"), F.lit("2025-01-01").cast("timestamp"))
     return articles.groupBy("law_id").agg(F.count("deleted_at").alias("n_deleted"), F.count_if(F.col("deleted_at").isNull()).alias("n_visible"))
 
 
 def case_tree(spark: SparkSession, folder: str) -> DataFrame:
-    cases = _once(spark, folder, "cases").select("id", "case_number", "court")
-    tree = paging.nest(cases, _once(spark, folder, "case_statute_citations").select("case_id", "law_number", "article_number"), "id", "case_id", "citations", ["law_number", "article_number"])
+    cases = records(spark, folder, "cases").select("id", "case_number", "court")
+    tree = paging.nest(cases, records(spark, folder, "case_statute_citations").select("case_id", "law_number", "article_number"), "id", "case_id", "citations", ["law_number", "article_number"])
     return tree.select("id", "case_number", F.size("citations").cast("long").alias("n_citations"), F.size(F.array_distinct(F.transform("citations", lambda c: c["law_number"]))).cast("long").alias("n_laws"))
 
 
@@ -250,7 +247,7 @@ def age_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def law_ages(spark: SparkSession, folder: str) -> DataFrame:
-    laws = _once(spark, folder, "laws")
+    laws = records(spark, folder, "laws")
     return laws.select("id", F.date_format(D.effective_date(F.col("coverage") == "complete", F.col("published_at"), F.col("effective_from")), "yyyy-MM-dd").alias("effective"), F.date_format(D.expiry(F.col("created_at"), F.lit(400)), "yyyy-MM-dd").alias("expires"))
 
 
@@ -276,7 +273,7 @@ _KEY = r"regexp_replace(regexp_replace(lower(law_number), '[\s\p{Z}.]+', '', 'g'
 _C = "(SELECT DISTINCT * FROM case_statute_citations)"
 _L = "(SELECT DISTINCT * FROM laws)"
 _A = "(SELECT DISTINCT * FROM articles)"
-_T = "(SELECT DISTINCT * FROM article_texts)"
+_T = f"(SELECT DISTINCT * REPLACE ({label_sql('language')} AS language) FROM article_texts)"
 _MISSING = """SELECT law_id, n - row_number() OVER (PARTITION BY law_id ORDER BY n) AS island, n FROM (SELECT law_id, unnest(range(1, max(ordinal) + 1)) AS n FROM a GROUP BY law_id) x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.law_id = x.law_id AND a.ordinal = x.n)"""
 ORACLES = {
     "statute_reach": f"SELECT count(*) AS total, count(*) FILTER (WHERE {_KEY} IN (SELECT {_KEY} FROM laws)) AS resolved FROM {_C} WHERE law_number IS NOT NULL",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strataquill.functions import text as T
 from strataquill.operators import evaluation as E
 from strataquill.operators import retrieval as R
-from strataquill.sources.tables import table
+from strataquill.functions.labels import label_language, label_sql
+from strataquill.sources.tables import records, table
 
 _AS_OF = "2015-01-01"
 _LANGUAGES = ("rw", "en", "fr")
@@ -16,7 +17,7 @@ _LANGUAGES = ("rw", "en", "fr")
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents", spread=True)
-    return d.where(F.col("lang").isNotNull()).select(F.lower("lang").alias("language"), F.col("doc_id").alias("doc"), "text")
+    return d.select(F.coalesce(label_language("lang"), F.lit("und")).alias("language"), F.col("doc_id").alias("doc"), "text")
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,7 +25,7 @@ def _items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _served(spark: SparkSession, folder: str) -> DataFrame:
-    return R.served_corpus(*(table(spark, folder, t) for t in ("article_texts", "articles", "laws")))
+    return R.served_corpus(*(records(spark, folder, t) for t in ("article_texts", "articles", "laws")))
 
 
 def _served_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,7 +184,7 @@ def grounding_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 def score_medians(spark: SparkSession, folder: str) -> DataFrame:
     best = R.search(_documents(spark, folder), _items(spark, folder), 1)
-    return best.groupBy("language").agg(E.upper_median(F.col("score")).alias("median"), E.lower_quantile(F.col("score"), 0.1).alias("p10"))
+    return best.groupBy("language").agg(E.upper_median("score").alias("median"), E.lower_quantile("score", 0.1).alias("p10"))
 
 
 def question_augmented(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,10 +204,10 @@ def _words(text: str) -> str:
     return f"list_filter(string_split(regexp_replace(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) > 2)"
 
 
-_DOCS = "SELECT lower(lang) AS language, doc_id AS doc, text FROM documents WHERE lang IS NOT NULL"
+_DOCS = f"SELECT {label_sql('lang')} AS language, doc_id AS doc, text FROM documents"
 _ITEMS = "SELECT item_id AS q, language, text FROM benchmark"
-_SERVED = """SELECT t.id, t.language, t.heading, t.body, a.article_number, a.ordinal, l.law_number, l.status, l.coverage, l.effective_from
- FROM (SELECT DISTINCT id, article_id, language, heading, body FROM article_texts) t
+_SERVED = f"""SELECT t.id, t.language, t.heading, t.body, a.article_number, a.ordinal, l.law_number, l.status, l.coverage, l.effective_from
+ FROM (SELECT DISTINCT id, article_id, {label_sql('language')} AS language, heading, body FROM article_texts) t
  JOIN (SELECT DISTINCT id, law_id, article_number, ordinal FROM articles WHERE deleted_at IS NULL) a ON t.article_id = a.id
  JOIN (SELECT DISTINCT id, law_number, status, coverage, effective_from FROM laws WHERE deleted_at IS NULL AND status IN ('active', 'amended')) l ON a.law_id = l.id"""
 _SERVED_TEXTS = f"SELECT language, id AS doc, coalesce(heading, '') || ' ' || coalesce(body, '') AS text FROM ({_SERVED}) WHERE language IN ('rw', 'en', 'fr')"

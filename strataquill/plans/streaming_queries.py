@@ -9,21 +9,21 @@ from strataquill.streaming import audit
 
 
 def stream_rate_limit(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.drain(audit.rate_limit(audit.events_stream(spark, folder), 2))
+    return audit.drain(audit.rate_limit(audit.events_stream(spark, folder), 2), ["user_id", "start"])
 
 
 def stream_rolling_30d(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.drain(audit.rolling_counts(audit.events_stream(spark, folder)))
+    return audit.drain(audit.rolling_counts(audit.events_stream(spark, folder)), ["event_type", "start"])
 
 
 def stream_once(spark: SparkSession, folder: str) -> DataFrame:
     stream = audit.once(audit.events_stream(spark, folder)).select("event_id", "user_id", "event_type")
-    return audit.drain(stream, "append").select("event_id", "user_id", "event_type")
+    return audit.drain(stream).select("event_id", "user_id", "event_type")
 
 
 def stream_audit_append(spark: SparkSession, folder: str) -> DataFrame:
     stream = audit.events_stream(spark, folder).select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    return audit.drain(stream, "append").select("event_id", "k")
+    return audit.drain(stream).select("event_id", "k")
 
 
 QUERIES = {f.__name__: f for f in (stream_rate_limit, stream_rolling_30d, stream_once, stream_audit_append)}

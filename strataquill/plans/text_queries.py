@@ -11,11 +11,12 @@ from strataquill.functions import lawnumbers as N
 from strataquill.functions import text as T
 from strataquill.functions import vectors as V
 from strataquill.operators import lines as L
-from strataquill.sources.tables import table
+from strataquill.functions.labels import label_sql
+from strataquill.sources.tables import records, table
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "article_texts", spread=True).dropDuplicates(["id"])
+    return records(spark, folder, "article_texts", spread=True)
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,7 +151,7 @@ _NAMES = (
     caps_ratios, fnv_labels, prose_dates, cleaned, vector_lengths, carried_headings, line_spans, furniture_lines, question_lists, warning_triage,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
-_T = "(SELECT DISTINCT * FROM article_texts)"
+_T = f"(SELECT DISTINCT * REPLACE ({label_sql('language')} AS language) FROM article_texts)"
 
 
 def _n(pattern: str, text: str = "text") -> str:

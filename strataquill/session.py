@@ -26,23 +26,36 @@ def local_session(cores: int = 8, memory: str = "8g", shuffle_partitions: int |
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) does a temporary folder take its place.
+    Only a local session without the setting (tests, a laptop) takes a temporary folder; on a cluster
+    a folder of one machine would be lost with it, so a missing setting is an error there.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strataquill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="strataquill-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def run_sql(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
-    """The result of ``sql`` in which every ``@name@`` stands for a DataFrame."""
-    for name, frame in frames.items():
-        view = f"{name}_{uuid.uuid4().hex}"
-        frame.createOrReplaceTempView(view)
+    """The result of ``sql`` in which every ``@name@`` stands for a DataFrame; no view is left behind."""
+    views = {name: f"{name}_{uuid.uuid4().hex}" for name in frames}
+    for name, view in views.items():
+        frames[name].createOrReplaceTempView(view)
         sql = sql.replace(f"@{name}@", view)
-    return spark.sql(sql)
+    result = spark.sql(sql)
+    for view in views.values():
+        spark.catalog.dropTempView(view)
+    return result

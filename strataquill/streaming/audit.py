@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from strataquill.session import checkpoint
+from strataquill.session import shared_folder
 
 
 def events_stream(spark: SparkSession, folder: str, name: str = "events", files_per_trigger: int = 50) -> DataFrame:
@@ -42,21 +43,25 @@ def retained(events: DataFrame, days: int, now: F.Column) -> DataFrame:
     return events.where(F.col("ts").cast("timestamp") > now - F.make_dt_interval(F.lit(min(max(days, 1), 365))))
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def drain(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """What a stream has to say about all data that is there now, read back as a batch.
 
-    Each trigger's result is written by ``foreachBatch`` into the shared checkpoint folder (a complete
-    result replaces the one before, appended rows are added), so a lost executor loses nothing.
+    Each trigger adds its rows by ``foreachBatch`` to the shared checkpoint folder, so a lost executor
+    loses nothing and no result is written twice. With ``keys`` a trigger writes only the groups that
+    changed (update mode, in which the watermark evicts closed windows from the state), and the newest
+    row of each key counts.
     """
     spark = stream.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        checkpoint(spark.range(1))
-    folder = f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update" if keys else "append").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    if not keys:
+        return rows.drop("batch")
+    others = [c for c in stream.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("newest"))
+    return newest.select(*(c if c in keys else F.col(f"newest.{c}").alias(c) for c in stream.columns))

@@ -59,7 +59,7 @@ def test_evaluation(spark):
     known = spark.createDataFrame([(1, "alpha words")], "id int, text string")
     assert E.grounding(said, known, content_words("text", 4)).first()["rate"] == 0.5
     assert E.recall_at(spark.createDataFrame([(1,), (3,), (None,), (9,)], "rank int")).first().asDict() == {"n": 4, "recall_1": 25.0, "recall_5": 50.0}
-    row = spark.createDataFrame([(float(x),) for x in range(4)], "v double").agg(E.upper_median(F.col("v")).alias("m"), E.lower_quantile(F.col("v"), 0.5).alias("q")).first()
+    row = spark.createDataFrame([(float(x),) for x in range(4)], "v double").agg(E.upper_median("v").alias("m"), E.lower_quantile("v", 0.5).alias("q")).first()
     assert row["m"] == 2 and row["q"] == 2
 
 
