@@ -196,7 +196,7 @@ def test_language_accuracy_and_runs(spark, labelled):
 
 
 def test_restored_page():
-    known = dict.fromkeys("the court examines document of tenant vice-president and pays notary employer non-resident".split(), 50)
+    known = scanned.Vocabulary(dict.fromkeys("the court examines document of tenant vice-president and pays notary employer non-resident".split(), 50))
     page = "The court exa-\n— 7 —\n    Bulletin n° 2 du 01/02/2003\nmines the docurnent of the vice-\npresident and\n— 8 —\n    Bulletin n° 2 du 01/02/2003\nthe em¬\nployer pays."
     text, noise = scanned.restore_text(page, known, frozenset())
     assert text == "The court examines the document of the vice-president and the employer pays."
@@ -205,6 +205,31 @@ def test_restored_page():
     assert scanned.restore_text(plain, known, frozenset()) == ("The court examines the document.\n\nThe notary pays.", [])
 
 
+def test_page_matter_at_the_edges():
+    body = ["the court examines the document of the", "tenant and the vice-president pays the", "notary before the employer asks the", "court for the document of the tenant"]
+    title = "THE OFFICIAL GAZETTE"
+    text = [title, *body, "10432", title, *body, "10433", "THE 0FFICIAL GAZETTE", *body[:3], "court for it.", "10434"]
+    assert scanned.page_matter(text, frozenset()) == {0: "header", 6: "header", 12: "header", 5: "page", 11: "page", 17: "page"}
+    fees = ["Fees of the office", "CIVIL STATUS", "12", "LAND TITLES", "40", "Companies and associations", "13", "Notaries in the districts", "55"]
+    assert scanned.page_matter(fees, frozenset({"9"})) == {}
+    single = [*body, "7", *body[:3], "court for it."]
+    assert scanned.page_matter(single, frozenset({"9"})) == {4: "page"} and scanned.page_matter(single, frozenset()) == {}
+    refrain = ["The tenant pays the notary 3", "times a year.", "It is so.", "The tenant pays the notary 4", "times a year."]
+    assert scanned.page_matter(refrain, frozenset()) == {}
+
+
+def test_long_words_are_corrected():
+    long = "incompatibilités-électroniques-interministérielles-extraordinairement"
+    known = scanned.Vocabulary({long: 9, "court": 5})
+    assert scanned.corrected(long.replace("m", "rn", 1).replace("l", "1", 1), known) == long
+    assert scanned.corrected("x" * 5000, known) is None and known.begins("cou") and not known.begins("cow")
+
+
+def test_every_text_is_restored(spark):
+    frame = spark.createDataFrame([("a", "body", "The court\npays."), ("b", "body", "The notary."), ("c", "body", None)], "id string, field string, value string")
+    assert {r["id"]: r["text"] for r in scanned.restore_pages(frame, everything=True).collect()} == {"a": "The court pays.", "b": "The notary."}
+
+
 def test_restore_pages(spark):
     rng = random.Random(2)
     rows = [(f"w{k}", "body", " ".join(sentence(EN, rng) for _ in range(4))) for k in range(120)]
