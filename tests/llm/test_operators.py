@@ -262,6 +262,25 @@ def translated(spark):
     return spark.createDataFrame(rows, "id string, article_id string, language string, body string, is_official boolean"), truth
 
 
+def test_long_texts_are_aligned_from_anchors():
+    """3,000 sentences (30,000 words) a side: without chaining first, all pairs of words would be 9e8."""
+    rng = random.Random(4)
+    left = [f"{sentence(EN, rng)[:-1]} {1000 + k}." for k in range(3000)]
+    right = [f"{sentence(FR, rng)[:-1]} {1000 + k}." for k in range(3000)]
+    del right[700]
+    pairs_ = bilingual.align(left, right, bilingual.Lexicon(), least=0.2)
+    assert [p for p in pairs_ if p[0] < 700] == [(k, k) for k in range(700)] and (2999, 2998) in pairs_ and len(pairs_) == 2999
+
+
+def test_coverage_is_the_same_in_parts():
+    rng = random.Random(5)
+    left, right = [sentence(EN, rng) for _ in range(9)], [sentence(EN, rng) for _ in range(7)]
+    whole, parts = bilingual.Comparison(left, right, bilingual.Lexicon()), bilingual.Comparison(left, right, bilingual.Lexicon(), cells=200)
+    assert whole.whole is not None and parts.whole is None
+    for a, b in zip(whole.coverage(np.arange(9), np.arange(7)), parts.coverage(np.arange(9), np.arange(7))):
+        assert np.allclose(a, b)
+
+
 def test_alignment(spark):
     texts, truth = translated(spark)
     noise = spark.createDataFrame([("z1", "zz", "en", None, True), ("z2", "zz", "fr", "Le juge.", False), (None, "zy", "fr", "x.", False), ("b0", "t0", "fr", texts.where("id = 'b0'").first()["body"], False)], texts.schema)
