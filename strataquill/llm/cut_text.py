@@ -12,42 +12,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquill.session import run_sql
+from strataquill.session import checkpoint, run_sql
 from strataquill.sources.tables import table
 
 # What a sender puts behind a cut, and what ends a sentence.
 _MARK = r"(\\s*(\\.\\.+|…|&hellip;|[\\[(<](\\.\\.+|…|more|suite|cont[a-z.]*|truncated|cut|ibikurikira)[\\])>]))+$"
 _STOP = r"[.!?][\"»”’)\\]]*$"
+# All white space and invisible characters that may stand behind a value.
+_BLANK = r"concat(' \t\n\r\u000c\u000b\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\ufeff')"
 _STEPS = r"""
 WITH prepared AS (
-  SELECT id, field, source, rtrim(value) AS value, right(rtrim(value), 240) AS behind FROM @values@ WHERE id IS NOT NULL AND value IS NOT NULL
+  SELECT id, field, source, value, rtrim(@blank@, value) AS whole FROM @values@ WHERE id IS NOT NULL AND value IS NOT NULL
 ), quick AS (
-  SELECT id, field, source, length(value) AS chars, octet_length(value) AS bytes, value LIKE '%\n%' AS many_lines, behind FROM prepared
-  WHERE value <> '' AND (field = 'heading' OR NOT (endswith(value, '.') AND NOT endswith(value, '..') OR endswith(value, '!') OR endswith(value, '?')))
+  SELECT id, field, source, length(rtrim(value)) AS chars, octet_length(rtrim(value)) AS bytes, value LIKE '%\n%' AS many_lines, whole, substring_index(whole, ' ', -12) AS behind FROM prepared
+  WHERE whole <> '' AND (field = 'heading' OR NOT (endswith(whole, '.') AND NOT endswith(whole, '..') OR endswith(whole, '!') OR endswith(whole, '?')))
 ), ends AS ( -- each LATERAL VIEW keeps the optimizer from repeating the patterns above it
-  SELECT id, field, source, chars, bytes, many_lines, kept, whole <> kept AS marked, stopped, tail FROM quick
-  LATERAL VIEW inline(array(struct(regexp_replace(behind, '[\\s\\p{Z}\\u200b\\ufeff]+$', '') AS whole))) v1
-  LATERAL VIEW inline(array(struct(regexp_replace(whole, '(?i)@mark@', '') AS kept))) v2
-  LATERAL VIEW inline(array(struct(kept RLIKE '@stop@' AS stopped, substring_index(kept, '\n', -1) AS tail))) v3
-  WHERE whole <> ''
+  SELECT id, field, source, chars, bytes, many_lines, kept, behind <> kept AS marked, stopped, tail FROM quick
+  LATERAL VIEW inline(array(struct(regexp_replace(behind, '(?i)@mark@', '') AS short))) v2
+  LATERAL VIEW inline(array(struct(if(short = '', regexp_replace(whole, '(?i)@mark@', ''), short) AS kept))) v2b -- nothing but marks in the last words
+  LATERAL VIEW inline(array(struct(kept RLIKE '@stop@' AS stopped, if(kept LIKE '%\n%', substring_index(kept, '\n', -1), concat(left(substring_index(whole, '\n', -1), greatest(0, length(substring_index(whole, '\n', -1)) - length(behind))), kept)) AS tail))) v3
 ), tailed AS (
   SELECT * FROM ends
   LATERAL VIEW inline(array(struct(field <> 'heading' AND NOT stopped AND NOT marked AND many_lines AND (
       tail RLIKE '^\\s*\\(s\\)' OR length(tail) < 60 AND tail RLIKE '[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}$'
       OR upper(tail) = tail AND tail RLIKE '\\p{L}') AS signed))) v4
-), open AS (
-  SELECT id, field, source, chars, bytes, marked, kept, w FROM tailed
-  LATERAL VIEW inline(array(struct(regexp_replace(trim(kept), '\\s+', ' ') AS value))) v5
-  LATERAL VIEW inline(array(struct(split(concat('^ ^ ', @words@), ' ') AS w))) v6
-  WHERE marked AND NOT (stopped AND field <> 'heading') OR NOT stopped AND NOT signed
 )
+SELECT id, field, source, chars, bytes, marked, kept, w FROM tailed
+LATERAL VIEW inline(array(struct(regexp_replace(trim(kept), '\\s+', ' ') AS value))) v5
+LATERAL VIEW inline(array(struct(split(concat('^ ^ ', @words@), ' ') AS w))) v6
+WHERE marked AND NOT (stopped AND field <> 'heading') OR NOT stopped AND NOT signed
 """
 # The words of a value: lower case, digits alike, every stop a point, no commas and colons.
 _WORDS = r"translate(lower(value), '0123456789!?;\n:,', '9999999999... ')"
 _LIMITS = r"""
-, lengths AS (
+WITH lengths AS (
   SELECT source, field, unit, n, count(*) AS pile FROM (
-    SELECT DISTINCT @one@ AS one, source, field, u.unit, u.n FROM open LATERAL VIEW inline(array(named_struct('unit', 'chars', 'n', chars), named_struct('unit', 'bytes', 'n', bytes))) u)
+    SELECT DISTINCT @one@ AS one, source, field, u.unit, u.n FROM @open@ LATERAL VIEW inline(array(named_struct('unit', 'chars', 'n', chars), named_struct('unit', 'bytes', 'n', bytes))) u)
   GROUP BY source, field, unit, n
 ), near AS (
   SELECT *, sum(pile) OVER (PARTITION BY source, field, unit ORDER BY n RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) - pile AS around,
@@ -67,16 +67,29 @@ SELECT k3, k1, sum(1 - terminal - cut) AS inside, sum(terminal) AS terminal FROM
 GROUP BY k3, k1
 """
 _DECIDE = r"""
-, last AS (
+WITH last AS (
   SELECT *, field = 'heading' AS heading, element_at(w, -3) AS a, element_at(w, -2) AS b, element_at(w, -1) AS c, @at_limit_cand@ AS at_limit
-  FROM open v LEFT JOIN @flags@ USING (source, field)
+  FROM @open@ v LEFT JOIN @flags@ USING (source, field)
 ), cand AS (
   SELECT *, xxhash64(heading, a, b, if(endswith(c, '.'), left(c, length(c) - 1), c)) AS k3, xxhash64(heading, if(endswith(c, '.'), left(c, length(c) - 1), c)) AS k1 FROM last
-)@settled@, by3 AS (SELECT k3, sum(inside) AS i3, sum(terminal) AS t3 FROM @counts@ GROUP BY k3),
-by1 AS (SELECT k1, sum(inside) AS i1, sum(terminal) AS t1 FROM @counts@ GROUP BY k1)
-SELECT DISTINCT id, field, source FROM (
-  SELECT c.*, coalesce(i3, 0) AS i3, coalesce(t3, 0) AS t3, coalesce(i1, 0) AS i1, coalesce(t1, 0) AS t1, @begin@ AS begin
-  FROM settled c LEFT JOIN by3 ON c.k3 = by3.k3 LEFT JOIN by1 ON c.k1 = by1.k1@begun@)
+)@settled@
+SELECT c.id, c.field, c.source, heading, at_limit, marked, right(kept, 1) AS kept, brief, phrase, @begin@ AS begin, k3, k1 FROM settled c@begun@
+"""
+# What the counts say about each distinct ending, and back to the values: the endings of more than 1/200
+# of all values, fewer than 200, are broadcast, and the others meet in a shuffle.
+_VERDICT = r"""
+WITH keys AS (SELECT k3, k1, count(*) AS n FROM @settled@ GROUP BY k3, k1),
+by3 AS (SELECT k3, sum(inside) AS i3, sum(terminal) AS t3 FROM @counts@ GROUP BY k3),
+by1 AS (SELECT k1, sum(inside) AS i1, sum(terminal) AS t1 FROM @counts@ GROUP BY k1),
+evidence AS (
+  SELECT k.k3, k.k1, coalesce(i3, 0) AS i3, coalesce(t3, 0) AS t3, coalesce(i1, 0) AS i1, coalesce(t1, 0) AS t1, n * 200 > (SELECT sum(n) FROM keys) AS hot
+  FROM keys k LEFT JOIN by3 ON k.k3 = by3.k3 LEFT JOIN by1 ON k.k1 = by1.k1
+), hot AS (SELECT k3, k1 FROM keys WHERE n * 200 > (SELECT sum(n) FROM keys)), judged AS (
+  SELECT /*+ BROADCAST(e) */ c.*, i3, t3, i1, t1 FROM @settled@ c JOIN (SELECT * FROM evidence WHERE hot) e ON c.k3 = e.k3 AND c.k1 = e.k1
+  UNION ALL
+  SELECT /*+ BROADCAST(h) */ c.*, i3, t3, i1, t1 FROM (SELECT c.* FROM @settled@ c LEFT ANTI JOIN hot h ON c.k3 = h.k3 AND c.k1 = h.k1) c JOIN (SELECT * FROM evidence WHERE NOT hot) e ON c.k3 = e.k3 AND c.k1 = e.k1
+)
+SELECT DISTINCT id, field, source FROM judged
 WHERE marked OR kept RLIKE '\\x{FFFD}$' OR kept RLIKE '[,(«“]$' OR NOT heading AND (at_limit OR kept RLIKE '[;:]$')
   OR CASE WHEN phrase THEN false
           WHEN i3 + t3 >= 5 THEN t3 < @share@ * (i3 + t3) AND (NOT heading OR at_limit OR i3 >= 20)
@@ -119,18 +132,20 @@ def cut_values(values: DataFrame, share: float = 0.02, short: int = 0) -> DataFr
     """
     spark = values.sparkSession
     values = values.select("id", "field", F.coalesce("source", F.lit("")).alias("source"), "value")
-    steps = _STEPS.replace("@mark@", _MARK).replace("@stop@", _STOP).replace("@words@", _WORDS)
+    steps = _STEPS.replace("@mark@", _MARK).replace("@stop@", _STOP).replace("@words@", _WORDS).replace("@blank@", _BLANK)
+    unfinished = checkpoint(run_sql(spark, steps, values=values))
     one = f"if(size(w) - 2 < {short}, xxhash64(w), xxhash64(id))" if short else "id"
-    flags = run_sql(spark, steps + _LIMITS.replace("@one@", one), values=values).groupBy("source", "field").agg(
+    flags = run_sql(spark, _LIMITS.replace("@one@", one), open=unfinished).groupBy("source", "field").agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("at"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("at"))).alias("byte_limits")
     )
     at_limit = "coalesce(array_contains(char_limits, {}) OR array_contains(byte_limits, {}), false)"
-    flags = F.broadcast(flags)  # a limit piles up 1/100000 of all unfinished values, so there are at most 200000
+    flags = F.broadcast(checkpoint(flags))  # a limit piles up 1/100000 of all unfinished values, so there are at most 200000
     known = values.join(flags, ["source", "field"], "left")
     counts = run_sql(spark, _COUNTS.replace("@words@", _WORDS).replace("@at_limit@", at_limit.format("length(value)", "octet_length(value)")), values=known)
-    decide = _DECIDE.replace("@share@", str(share)).replace("@at_limit_cand@", at_limit.format("chars", "bytes"))
-    decide = decide.replace("@settled@", _SETTLED.replace("@short@", str(short)).replace("@share@", str(share)).replace("@words@", _WORDS) if short else _UNSETTLED).replace("@begun@", _BEGUN if short else "").replace("@begin@", "begun.begin" if short else "NULL")
-    return run_sql(spark, steps + decide, values=values, counts=counts, flags=flags)
+    settled = _SETTLED.replace("@short@", str(short)).replace("@share@", str(share)).replace("@words@", _WORDS) if short else _UNSETTLED
+    decide = _DECIDE.replace("@at_limit_cand@", at_limit.format("chars", "bytes")).replace("@settled@", settled).replace("@begun@", _BEGUN if short else "").replace("@begin@", "begun.begin" if short else "NULL")
+    candidates = checkpoint(run_sql(spark, decide, values=values, open=unfinished, flags=flags))
+    return run_sql(spark, _VERDICT.replace("@share@", str(share)), settled=candidates, counts=counts)
 
 
 def article_values(texts: DataFrame) -> DataFrame:
