@@ -4,43 +4,28 @@ One interpolated Kneser-Ney model per language is fitted on a bounded sample of
 n-grams stand as sorted 64-bit hashes beside their log-probabilities, and the contexts beside their
 back-off weights, so that a lookup is a binary search. The texts are cut into sentences and words
 by Arrow kernels, every distinct word of a batch is scored once, and sums per sentence decide; in
-bodies whose sentences disagree the best sequence of languages with a price on each change wins.
+bodies whose sentences disagree the best sequence of languages with a price on each change wins. What
+cross-entropy is too high for any language, and how sure a difference makes, is read off held-out text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataquill.functions.labels import LANGUAGES, label_language
 from strataquill.sources.tables import table
 
-LANGUAGES = ("rw", "en", "fr")
-#: Names and codes of the languages, without accents, lower case.
-LABELS = {
-    "rw": ("rw", "kin", "kinyarwanda", "ikinyarwanda", "rwanda"),
-    "en": ("en", "eng", "english", "anglais", "icyongereza", "cyongereza"),
-    "fr": ("fr", "fra", "fre", "french", "francais", "igifaransa", "gifaransa"),
-}
 _PRIME = np.uint64(1099511628211)
 
 
-def label_language(label: Column | str) -> Column:
-    """The language a label names (``rw``, ``en``, ``fr``), or null: any case, code, region or name."""
-    plain = F.translate(F.lower(F.trim(label)), "ç", "c")
-    plain = F.regexp_replace(plain, r"[\s\p{Z}]+", "")
-    stem = F.regexp_replace(plain, r"[-_(].*$", "")
-    result = F.lit(None).cast("string")
-    for language, names in LABELS.items():
-        result = F.when(stem.isin(*names), language).otherwise(result)
-    return result
-
-
 class CharModel:
     """An interpolated Kneser-Ney model of the characters of words, in sorted hash arrays."""
 
@@ -152,38 +137,92 @@ def best_runs(scores: np.ndarray, price: float) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def fit_models(labelled: DataFrame, text_col: str, label_col: str, rows_per_language: int = 1500, longest: int = 20_000, order: int = 5) -> tuple[list[CharModel], float]:
-    """One model per language and the cross-entropy (nats a character) beyond which none is named.
+@dataclass
+class Fitted:
+    """The models, the cross-entropy (nats a character) beyond which no language is named, and the
+    temperature (in characters, as a share of the text) at which differences turn into confidence."""
+
+    models: list[CharModel]
+    limit: float
+    temperature: float
+
+    def confidence(self, totals: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Posterior of each language (columns) for texts (rows) of ``sizes`` characters."""
+        scaled = totals / np.maximum(self.temperature * sizes, 1.0)[:, None]
+        power = np.exp(np.clip(scaled - scaled.max(1, keepdims=True), -50, 0))
+        return power / power.sum(1, keepdims=True)
+
+
+def _totals(models: list[CharModel], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of each sentence with words under each model, and its characters."""
+    _, per_sentence, words = _pieces(pa.array(texts, pa.string()))
+    vocabulary = words.dictionary.to_pylist()
+    each, sizes = score_words(models, vocabulary), np.array([len(w) + 1 if w else 0 for w in vocabulary])
+    each[sizes == 0] = 0
+    ends = np.concatenate([[0], np.cumsum(per_sentence)])
+    codes = words.indices.to_numpy()
+    sums = np.concatenate([np.zeros((1, len(models))), np.cumsum(each[codes], axis=0)])
+    chars = np.concatenate([[0], np.cumsum(sizes[codes])])
+    totals, chars = sums[ends[1:]] - sums[ends[:-1]], chars[ends[1:]] - chars[ends[:-1]]
+    return totals[chars > 0], chars[chars > 0]
 
-    The sample is ``rows_per_language`` rows of each language with a clear label, first by a hash of
-    their text, each no longer than ``longest`` characters; this bounds what reaches the driver.
+
+def calibrate(models: list[CharModel], held_out: list[list[str]], kept: float = 0.999, slack: float = 1.5) -> Fitted:
+    """Limit and temperature from held-out texts of each model's language.
+
+    ``kept`` of the held-out sentences lie below the limit before ``slack`` is given for damaged text;
+    the temperature is the one under which the held-out labels (some of them wrong) are most likely.
+    """
+    parts = [(k, *_totals(models, texts)) for k, texts in enumerate(held_out) if texts]
+    if not parts:
+        return Fitted(models, np.inf, 0.125)
+    totals, sizes = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    labels = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+    if not len(totals):
+        return Fitted(models, np.inf, 0.125)
+    entropy = -totals.max(1) / sizes
+    fitted = [Fitted(models, slack * float(np.quantile(entropy, kept)), t) for t in np.geomspace(0.002, 1.0, 28)]
+    return min(fitted, key=lambda f: float(-np.log(np.maximum(f.confidence(totals, sizes)[np.arange(len(labels)), labels], 1e-12)).sum()))
+
+
+def fit_models(labelled: DataFrame, text_col: str, label_col: str, rows_per_language: int = 1500, longest: int = 20_000, order: int = 5, held_out: int = 5) -> Fitted:
+    """One calibrated model per language.
+
+    The sample is about ``rows_per_language`` rows of each language with a clear label (never more),
+    first by a hash of their text, each no longer than ``longest`` characters; this bounds what reaches
+    the driver. Every ``held_out``-th row is kept for the calibration. One scan counts the labels, and
+    one takes the rows.
     """
-    named = labelled.select(F.col(text_col).alias("text"), label_language(label_col).alias("language")).where(F.length("text").between(20, longest))
-    models, sampled = [], []
+    named = labelled.select(F.col(text_col).alias("text"), label_language(label_col).alias("language"))
+    counts = {r["language"]: r["n"] for r in named.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    drawn = F.lit(False)
     for language in LANGUAGES:
-        rows = named.where(F.col("language") == language).orderBy(F.xxhash64("text"), "text").limit(rows_per_language).collect()
-        _, _, words = _pieces(pa.array([r["text"] for r in rows], pa.string()))
-        sampled.append(Counter(w for w in words.to_pylist() if w))
-        models.append(CharModel(sampled[-1], order))
-    limit = 0.0
-    for model, words in zip(models, sampled):
-        size = sum((len(w) + 1) * n for w, n in words.items())
-        keys = list(words)
-        own = score_words([model], keys)[:, 0]
-        limit = max(limit, -float(sum(s * words[w] for s, w in zip(own, keys))) / max(size, 1))
-    return models, 2.5 * limit if limit else np.inf
-
-
-def detect_languages(texts: DataFrame, id_col: str, text_col: str, models: list[CharModel], limit: float, price: float = 14.0) -> DataFrame:
+        share = 1.2 * rows_per_language / max(counts.get(language, 0), 1)
+        drawn = drawn | (F.col("language") == language) & (place < min(1 << 30, int(share * (1 << 30))))
+    rows = named.where(drawn & F.length("text").between(20, longest)).withColumn("place", place).toArrow().sort_by([("place", "ascending"), ("text", "ascending")])
+    sample = {language: rows.filter(pc.equal(rows.column("language"), language)).column("text").to_pylist()[:rows_per_language] for language in LANGUAGES}
+    models = []
+    for texts in sample.values():
+        _, _, words = _pieces(pa.array([t for k, t in enumerate(texts) if k % held_out], pa.string()))
+        models.append(CharModel(Counter(w for w in words.to_pylist() if w), order))
+    return calibrate(models, [texts[::held_out] for texts in sample.values()])
+
+
+def detect_languages(texts: DataFrame, id_col: str, text_col: str, fitted: Fitted, price: float = 14.0) -> DataFrame:
     """Rows (id, segment, language, confidence): one row of segment 0 for a text in one language, one
     row per longest run of sentences of one language (segment 1, 2, ...) for a mixed one.
 
-    Confidence is the model posterior of the run at a temperature of one word. A run whose
-    cross-entropy lies beyond ``limit`` gets a null language. Null, empty and letterless texts give
+    Confidence is the posterior of the run's language at the calibrated temperature. A run whose
+    cross-entropy lies beyond the calibrated limit gets a null language. Null, empty and letterless texts give
     no row; repeated rows give repeated rows; other columns are ignored.
     """
 
+    held = texts.sparkSession.sparkContext.broadcast(fitted)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = held.value
+        models, limit = fitted.models, fitted.limit
         for batch in batches:
             per_text, per_sentence, words = _pieces(batch.column("text"))
             if not len(words):
@@ -214,9 +253,9 @@ def detect_languages(texts: DataFrame, id_col: str, text_col: str, models: list[
                 for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
                     total, size = sums[a + x : a + y].sum(0), chars[a + x : a + y].sum()
                     language = int(path[x])
-                    power = np.exp(np.clip((total - total[language]) / max(1.0, size / 8), -50, 50))
+                    sure = float(fitted.confidence(total[None, :], np.array([size]))[0, language])
                     named = size and -total[language] / size <= limit
-                    rows.append((ids[t], s + 1 if len(cuts) > 2 else 0, LANGUAGES[language] if named else None, float(1 / power.sum())))
+                    rows.append((ids[t], s + 1 if len(cuts) > 2 else 0, LANGUAGES[language] if named else None, sure))
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (batch.schema.field("id").type, pa.int32(), pa.string(), pa.float64()))], ["id", "segment", "language", "confidence"])
 
@@ -227,9 +266,9 @@ def detect_languages(texts: DataFrame, id_col: str, text_col: str, models: list[
 def label_faults(texts: DataFrame, id_col: str = "id", text_col: str = "body", label_col: str = "language") -> DataFrame:
     """Rows (id, segment, language, confidence) of the texts whose label is absent or wrong, and of
     all mixed texts. Redelivered rows count once; an unnamed language is no case."""
-    models, limit = fit_models(texts, text_col, label_col)
+    fitted = fit_models(texts, text_col, label_col)
     labels = F.col(id_col).isNotNull()
-    found = detect_languages(texts.where(labels).withColumn("__key", F.struct(F.col(id_col).alias("id"), label_language(label_col).alias("label"))), "__key", text_col, models, limit)
+    found = detect_languages(texts.where(labels).withColumn("__key", F.struct(F.col(id_col).alias("id"), label_language(label_col).alias("label"))), "__key", text_col, fitted)
     wrong = (F.col("segment") > 0) | ~F.col("language").eqNullSafe(F.col("id.label"))
     return found.where(F.col("language").isNotNull() & wrong).select(F.col("id.id").alias("id"), "segment", "language", "confidence").dropDuplicates(["id", "segment"])
 
@@ -239,5 +278,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return label_faults(table(spark, folder, "article_texts")).select(F.col("id").alias("text_id"), "segment", "language")
 
 
-QUERIES = {"p5_found": p5_found}
+def p5_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every body, or of each run of a mixed one, with its confidence; null where none is clear."""
+    texts = table(spark, folder, "article_texts").dropDuplicates(["id"])
+    return detect_languages(texts, "id", "body", fit_models(texts, "body", "language")).select(F.col("id").alias("text_id"), "segment", "language", F.round("confidence", 6).alias("confidence"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_languages": p5_languages}
 ORACLES: dict[str, str] = {}

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataquill.functions.labels import LANGUAGES
 from strataquill.llm.cut_text import cut_values
-from strataquill.llm.languages import LANGUAGES, CharModel, fit_models, score_words
+from strataquill.llm.languages import CharModel, fit_models, score_words
 from strataquill.sources.tables import table
 
 _WORD = re.compile(r"[^\W_]+")
@@ -232,10 +233,10 @@ def defective_pairs(records: DataFrame, labelled: DataFrame, text_col: str = "bo
     language models are fitted on a bounded sample of ``labelled`` texts.
     """
     records = records.where(F.col("id").isNotNull()).select("id", "question", "answer", "source").dropDuplicates(["id"])
-    models, _ = fit_models(labelled, text_col, label_col)
+    held = records.sparkSession.sparkContext.broadcast(fit_models(labelled, text_col, label_col).models)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(models)
+        scores = WordScores(held.value)
         for batch in batches:
             verdicts = []
             for question, answer in zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist()):

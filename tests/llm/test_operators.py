@@ -179,10 +179,10 @@ def test_kneser_ney_is_a_distribution():
 
 
 def test_language_accuracy_and_runs(spark, labelled):
-    models, limit = languages.fit_models(labelled, "body", "language")
+    fitted = languages.fit_models(labelled, "body", "language")
     rng = random.Random(9)
     truth = [(k, lang, sentence(words, rng)) for k, (lang, words) in enumerate([("en", EN), ("fr", FR), ("rw", RW)] * 40)]
-    found = languages.detect_languages(spark.createDataFrame(truth, "id long, l string, text string"), "id", "text", models, limit)
+    found = languages.detect_languages(spark.createDataFrame(truth, "id long, l string, text string"), "id", "text", fitted)
     got = {r["id"]: r["language"] for r in found.collect()}
     assert sum(got[k] == lang for k, lang, _ in truth) >= 118
     en, fr, rw = (" ".join(sentence(w, rng) for _ in range(3)) for w in (EN, FR, RW))
@@ -192,6 +192,20 @@ def test_language_accuracy_and_runs(spark, labelled):
     assert result == [("b", 0, "en"), ("c", 0, "rw"), ("d", 1, "en"), ("d", 2, "fr"), ("d", 3, "rw")]
 
 
+def test_confidence_and_rejection_are_calibrated(spark, labelled):
+    fitted = languages.fit_models(labelled, "body", "language")
+    rng = random.Random(10)
+    texts = [(k, lang, sentence(words, rng, 1 + k % 4)) for k, (lang, words) in enumerate([("en", EN), ("fr", FR), ("rw", RW)] * 120)]
+    noise = [(10_000 + k, "en", "".join(rng.choice("qxzjvkw") for _ in range(40))) for k in range(20)]
+    got = {r["id"]: r for r in languages.detect_languages(spark.createDataFrame(texts + noise, "id long, l string, text string"), "id", "text", fitted).collect()}
+    assert all(got[k]["language"] is None for k, _, _ in noise)
+    named = [(got[k]["confidence"], got[k]["language"] == lang) for k, lang, _ in texts if got[k]["language"]]
+    assert len(named) >= 0.97 * len(texts) and all(1 / 3 <= c <= 1 for c, _ in named)
+    assert abs(np.mean([c for c, _ in named]) - np.mean([right for _, right in named])) < 0.05
+    empty = languages.fit_models(labelled.limit(0), "body", "language")
+    assert languages.detect_languages(spark.createDataFrame(texts[:3], "id long, l string, text string"), "id", "text", empty).count() == 3
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 
