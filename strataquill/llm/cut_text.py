@@ -73,28 +73,36 @@ WITH last AS (
 ), cand AS (
   SELECT *, xxhash64(heading, a, b, if(endswith(c, '.'), left(c, length(c) - 1), c)) AS k3, xxhash64(heading, if(endswith(c, '.'), left(c, length(c) - 1), c)) AS k1 FROM last
 )@settled@
-SELECT c.id, c.field, c.source, heading, at_limit, marked, right(kept, 1) AS kept, brief, phrase, @begin@ AS begin, k3, k1 FROM settled c@begun@
+SELECT c.id, c.field, c.source, heading, at_limit, marked, right(kept, 1) AS kept, brief, phrase, rtrim('.', c) AS ending, k3, k1 FROM settled c
 """
 # What the counts say about each distinct ending, and back to the values: the endings of more than 1/200
 # of all values, fewer than 200, are broadcast, and the others meet in a shuffle.
 _VERDICT = r"""
-WITH keys AS (SELECT k3, k1, count(*) AS n FROM @settled@ GROUP BY k3, k1),
+WITH keys AS (SELECT k3, k1, min(ending) AS ending, count(*) AS n FROM @settled@ GROUP BY k3, k1),
+endings AS (SELECT DISTINCT ending FROM @settled@ WHERE (heading OR brief) AND ending <> ''),
+longer AS ( -- how often words begin with an ending; only lengths that endings have are cut off
+  SELECT left(word, i) AS begin, sum(n) AS n FROM (
+    SELECT rtrim('.', word) AS word, count(*) AS n FROM @values@ LATERAL VIEW explode(split(@words@, ' ')) e AS word GROUP BY 1)
+  LATERAL VIEW explode(filter(array(@lengths@), l -> l < length(word))) l AS i GROUP BY 1
+),
+begun AS (SELECT ending, n AS n_begun FROM endings JOIN longer ON ending = begin),
 by3 AS (SELECT k3, sum(inside) AS i3, sum(terminal) AS t3 FROM @counts@ GROUP BY k3),
 by1 AS (SELECT k1, sum(inside) AS i1, sum(terminal) AS t1 FROM @counts@ GROUP BY k1),
 evidence AS (
-  SELECT k.k3, k.k1, coalesce(i3, 0) AS i3, coalesce(t3, 0) AS t3, coalesce(i1, 0) AS i1, coalesce(t1, 0) AS t1, n * 200 > (SELECT sum(n) FROM keys) AS hot
-  FROM keys k LEFT JOIN by3 ON k.k3 = by3.k3 LEFT JOIN by1 ON k.k1 = by1.k1
+  SELECT k.k3, k.k1, coalesce(i3, 0) AS i3, coalesce(t3, 0) AS t3, coalesce(i1, 0) AS i1, coalesce(t1, 0) AS t1, coalesce(n_begun, 0) AS n_begun, n * 200 > (SELECT sum(n) FROM keys) AS hot
+  FROM keys k LEFT JOIN by3 ON k.k3 = by3.k3 LEFT JOIN by1 ON k.k1 = by1.k1 LEFT JOIN begun ON k.ending = begun.ending
 ), hot AS (SELECT k3, k1 FROM keys WHERE n * 200 > (SELECT sum(n) FROM keys)), judged AS (
-  SELECT /*+ BROADCAST(e) */ c.*, i3, t3, i1, t1 FROM @settled@ c JOIN (SELECT * FROM evidence WHERE hot) e ON c.k3 = e.k3 AND c.k1 = e.k1
+  SELECT /*+ BROADCAST(e) */ c.*, i3, t3, i1, t1, n_begun FROM @settled@ c JOIN (SELECT * FROM evidence WHERE hot) e ON c.k3 = e.k3 AND c.k1 = e.k1
   UNION ALL
-  SELECT /*+ BROADCAST(h) */ c.*, i3, t3, i1, t1 FROM (SELECT c.* FROM @settled@ c LEFT ANTI JOIN hot h ON c.k3 = h.k3 AND c.k1 = h.k1) c JOIN (SELECT * FROM evidence WHERE NOT hot) e ON c.k3 = e.k3 AND c.k1 = e.k1
+  SELECT /*+ BROADCAST(h) */ c.*, i3, t3, i1, t1, n_begun FROM (SELECT c.* FROM @settled@ c LEFT ANTI JOIN hot h ON c.k3 = h.k3 AND c.k1 = h.k1) c JOIN (SELECT * FROM evidence WHERE NOT hot) e ON c.k3 = e.k3 AND c.k1 = e.k1
 )
 SELECT DISTINCT id, field, source FROM judged
 WHERE marked OR kept RLIKE '\\x{FFFD}$' OR kept RLIKE '[,(«“]$' OR NOT heading AND (at_limit OR kept RLIKE '[;:]$')
   OR CASE WHEN phrase THEN false
           WHEN i3 + t3 >= 5 THEN t3 < @share@ * (i3 + t3) AND (NOT heading OR at_limit OR i3 >= 20)
-          WHEN i1 + t1 >= 5 THEN t1 < @share@ * (i1 + t1) AND (NOT heading OR at_limit)
-          ELSE (NOT heading OR at_limit) AND (NOT brief OR begin IS NOT NULL AND i1 + t1 = 0) END
+          WHEN i1 + t1 >= 5 THEN t1 < @share@ * (i1 + t1) AND (NOT heading OR at_limit OR i1 >= 100)
+          WHEN heading AND NOT at_limit THEN i1 = 0 AND n_begun >= 5 AND t1 < 10 * @share@ * n_begun
+          ELSE NOT brief OR n_begun > 0 AND i1 + t1 = 0 END
 """
 # Short values that recur, digits alike, are set phrases, unless they are the beginnings of a text that is common in full.
 _SETTLED = r"""
@@ -106,13 +114,8 @@ _SETTLED = r"""
   LATERAL VIEW explode(sequence(3, least(size(w) - 1, @short@ + 1))) s AS i WHERE size(w) > 3 GROUP BY 1
 ), settled AS (
   SELECT a.*, brief AND n_alike >= 2 AND n_alike >= @share@ * (n_alike + coalesce(n_going, 0)) AS phrase FROM alike a LEFT JOIN going ON if(brief, xxhash64(w), xxhash64(id)) = form
-), begun AS ( -- what longer words begin with, up to 60 letters
-  SELECT DISTINCT left(word, i) AS begin FROM (
-    SELECT DISTINCT rtrim('.', word) AS word FROM @values@ LATERAL VIEW explode(split(@words@, ' ')) e AS word)
-  LATERAL VIEW explode(sequence(1, least(length(word) - 1, 60))) s AS i WHERE length(word) > 1
 )"""
 _UNSETTLED = ", settled AS (SELECT *, false AS brief, false AS phrase FROM cand)"
-_BEGUN = " LEFT JOIN begun ON if(c.brief, rtrim('.', c.c), concat(' ', c.id)) = begun.begin"
 
 
 def cut_values(values: DataFrame, share: float = 0.02, short: int = 0) -> DataFrame:
@@ -123,7 +126,8 @@ def cut_values(values: DataFrame, share: float = 0.02, short: int = 0) -> DataFr
     sentence; if it is unfinished at a length where its source piles up unfinished values; or if its
     last trigram (where rarer than 5, its last word) ends less than ``share`` of its occurrences,
     or no text uses its last word. Values of field ``heading`` need no stop, so they must also stand
-    at a field limit or behind a trigram seen 20 times. A signature line, a line in capitals and a
+    at a field limit, behind a trigram seen 20 times or on a word seen 100 times, or on one that no text
+    uses inside and with which words begin that are far more frequent than itself. A signature line, a line in capitals and a
     place with date end a text. Null, empty and blank values and null ids are no case; repeated rows
     count once in the result; a null source is a source of its own; empty input gives no rows.
     Values of fewer than ``short`` words may be set phrases without a stop: those that differ in
@@ -143,9 +147,12 @@ def cut_values(values: DataFrame, share: float = 0.02, short: int = 0) -> DataFr
     known = values.join(flags, ["source", "field"], "left")
     counts = run_sql(spark, _COUNTS.replace("@words@", _WORDS).replace("@at_limit@", at_limit.format("length(value)", "octet_length(value)")), values=known)
     settled = _SETTLED.replace("@short@", str(short)).replace("@share@", str(share)).replace("@words@", _WORDS) if short else _UNSETTLED
-    decide = _DECIDE.replace("@at_limit_cand@", at_limit.format("chars", "bytes")).replace("@settled@", settled).replace("@begun@", _BEGUN if short else "").replace("@begin@", "begun.begin" if short else "NULL")
+    decide = _DECIDE.replace("@at_limit_cand@", at_limit.format("chars", "bytes")).replace("@settled@", settled)
     candidates = checkpoint(run_sql(spark, decide, values=values, open=unfinished, flags=flags))
-    return run_sql(spark, _VERDICT.replace("@share@", str(share)), settled=candidates, counts=counts)
+    # Distinct lengths, not words: a few dozen.
+    lengths = sorted(r["n"] for r in candidates.where("(heading OR brief) AND ending <> ''").select(F.length("ending").alias("n")).distinct().collect())
+    verdict = _VERDICT.replace("@share@", str(share)).replace("@words@", _WORDS).replace("@lengths@", ", ".join(map(str, lengths)) or "0")
+    return run_sql(spark, verdict, settled=candidates, counts=counts, values=values)
 
 
 def article_values(texts: DataFrame) -> DataFrame:
