@@ -73,6 +73,11 @@ def stem_tokens(column: Column | str) -> Column:
     return F.flatten(F.transform(word_tokens(column), lambda w: F.when(stem_word(w) == w, F.array(w)).otherwise(F.array(w, stem_word(w)))))
 
 
+def stem_and_char_tokens(column: Column | str) -> Column:
+    """The bag of words with their roots and of character 4-grams."""
+    return F.concat(stem_tokens(column), char_ngrams(column))
+
+
 def excerpt(column: Column | str, longest: int) -> Column:
     """The first ``longest`` characters, with an ellipsis where more followed."""
     text = _col(column)
@@ -108,6 +113,12 @@ def fnv1a(column: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(folded), 8, "0"))
 
 
+def fnv1a_sql(text: str) -> str:
+    """``fnv1a`` in SQL."""
+    codes = f"list_transform(list_filter(string_split({text}, ''), lambda c: c <> ''), lambda c: unicode(c)::HUGEINT)"
+    return f"lower(lpad(to_hex(list_reduce(list_prepend(2166136261::HUGEINT, {codes}), lambda h, c: ((xor(h, c)) * 16777619) % 4294967296)::BIGINT), 8, '0'))"
+
+
 def caps_ratio(column: Column | str) -> Column:
     """Share of capitals among Latin letters; 0 where there are fewer than four letters."""
     letters = F.regexp_replace(_col(column), "[^A-Za-zÀ-ÿ]", "")
@@ -204,11 +215,12 @@ SYNONYMS = {
 }
 
 
-def expand_query(query: Column | str, language: Column | str) -> Column:
-    """The query followed by the other phrasings of every concept it mentions in its language."""
+def expand_query(query: Column | str, language: Column | str, groups: dict[str, dict[str, tuple[str, ...]]] | None = None) -> Column:
+    """The query followed by the other phrasings of every concept it mentions in its language; the
+    concepts of ``groups`` (name -> language -> phrasings), ``SYNONYMS`` where none are given."""
     text, lang = _col(query), _col(language)
     parts = []
-    for phrasings in SYNONYMS.values():
+    for phrasings in (SYNONYMS if groups is None else groups).values():
         for code, phrases in phrasings.items():
             present = [F.contains(F.lower(text), F.lit(p.lower())) for p in phrases]
             hit = present[0]

@@ -46,11 +46,21 @@ def two_sided_binomial(n: int, k: int) -> float:
     return min(1.0, 2 * tail)
 
 
+def even_odds(n: Column, k: Column) -> Column:
+    """``two_sided_binomial`` of columns: each term of the tail from the one before, in logarithms."""
+    tail = F.sequence(F.lit(0).cast("long"), F.least(k, n - k))
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.lit(0.0).alias("total"))
+    step = lambda s, i: F.struct((s["term"] + F.log((n - i).cast("double")) - F.log((i + 1).cast("double"))).alias("term"), (s["total"] + F.exp(s["term"])).alias("total"))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(tail, start, step, lambda s: s["total"])))
+
+
 def mcnemar(hits_a: DataFrame, hits_b: DataFrame, key: str = "q") -> DataFrame:
-    """(only_a, only_b, both) of two sets of keys that were answered."""
+    """(only_a, only_b, both, p) of two sets of keys that were answered; ``p`` is the exact two-sided
+    probability of a split at least as uneven where the sets differ by chance."""
     a, b = hits_a.select(key).distinct().withColumn("a", F.lit(True)), hits_b.select(key).distinct().withColumn("b", F.lit(True))
     joined = a.join(b, key, "full_outer")
-    return joined.agg(F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
+    counted = joined.agg(F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
+    return counted.withColumn("p", even_odds(F.col("only_a") + F.col("only_b"), F.col("only_a")))
 
 
 def _ngrams(items: Column, n: int) -> Column:

@@ -69,3 +69,27 @@ def full_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     differing = F.array_compact(F.array(*(F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in columns)))
     change = F.when(F.col("b.__new").isNull(), "missing").when(F.col("a.__old").isNull(), "added").when(F.size(differing) > 0, "changed")
     return joined.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), change.alias("change"), F.when(change == "changed", F.array_join(differing, ",")).otherwise("").alias("columns")).where(F.col("change").isNotNull())
+
+
+def delete_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those whose ``key`` stands in ``keys``; a null key is never deleted."""
+    return rows.join(keys.select(key).distinct(), key, "left_anti").select(*rows.columns)
+
+
+def resolve_status(rows: DataFrame, statuses: DataFrame | None, key: str, default: str | None = None) -> DataFrame:
+    """``rows`` with the ``status`` of their ``key`` in ``statuses`` (key, status), and whether it was
+    ``assumed``: the default where there is none. Without statuses and default nothing is known: an error."""
+    if statuses is None and default is None:
+        raise ValueError("a status source or a default status is needed")
+    bare = rows.drop("status", "assumed")
+    known = bare.withColumn("__s", F.lit(None).cast("string")) if statuses is None else bare.join(statuses.groupBy(key).agg(F.min("status").alias("__s")), key, "left")
+    return known.select(*bare.columns, F.coalesce("__s", F.lit(default)).alias("status"), F.col("__s").isNull().alias("assumed"))
+
+
+def pending_migrations(wanted: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(version, name, digest, state) of migrations: ``pending`` where the ledger lacks the version,
+    ``changed`` where it holds another digest, and ``unknown`` where only the ledger has it."""
+    a, b = wanted.alias("a"), ledger.alias("b")
+    joined = a.join(b, F.col("a.version") == F.col("b.version"), "full_outer")
+    state = F.when(F.col("b.version").isNull(), "pending").when(F.col("a.version").isNull(), "unknown").when(F.col("a.digest") != F.col("b.digest"), "changed")
+    return joined.select(*(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("version", "name", "digest")), state.alias("state")).where(F.col("state").isNotNull())

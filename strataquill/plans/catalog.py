@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataquill.plans import lookup_queries, orphan_queries, relational_queries, retrieval_queries, streaming_queries, text_queries
+from strataquill.plans import composite_queries, lookup_queries, orphan_queries, relational_queries, retrieval_queries, streaming_queries, text_queries
 
-_MODULES = (lookup_queries, orphan_queries, relational_queries, retrieval_queries, streaming_queries, text_queries)
+_MODULES = (composite_queries, lookup_queries, orphan_queries, relational_queries, retrieval_queries, streaming_queries, text_queries)
 
 
 def queries() -> dict:

@@ -28,12 +28,6 @@ def cited_headings(spark: SparkSession, folder: str) -> DataFrame:
     return hot_key_join(cited, named, ["law", "article"]).select("id", "heading")
 
 
-def number_taken(spark: SparkSession, folder: str) -> DataFrame:
-    laws = records(spark, folder, "laws").select("id", law_key("law_number").alias("law"))
-    shared = laws.groupBy("law").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return laws.join(shared, "law", "left_semi").select("id", "law")
-
-
 def visible_articles(spark: SparkSession, folder: str) -> DataFrame:
     laws = records(spark, folder, "laws").where("deleted_at IS NULL").select(F.col("id").alias("law_id"), "law_number")
     articles = records(spark, folder, "articles").where("deleted_at IS NULL")
@@ -65,9 +59,10 @@ def severity_ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_projection(spark: SparkSession, folder: str) -> DataFrame:
+    """Citations of each case: their number, and all of them as JSON in the order of their ids."""
     cited = records(spark, folder, "case_statute_citations").where("law_number IS NOT NULL")
-    gathered = cited.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("law_number", "article_number", "id"))).alias("c"))
-    return gathered.select("case_id", F.size("c").cast("long").alias("n"), F.to_json(F.slice(F.transform("c", lambda c: F.struct(c["law_number"].alias("law"))), 1, 3)).alias("first"))
+    gathered = cited.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("id", "law_number", F.coalesce("article_number", F.lit("")).alias("article_number")))).alias("c"))
+    return gathered.select("case_id", F.size("c").cast("long").alias("n"), F.to_json(F.transform("c", lambda c: F.struct(c["law_number"].alias("law"), c["article_number"].alias("article")))).alias("cited"))
 
 
 def best_per_source(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +96,7 @@ def duplicate_uploads(spark: SparkSession, folder: str) -> DataFrame:
     return uploads.groupBy(T.digest12("content").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
 
 
-_NAMES = (cited_headings, number_taken, visible_articles, numeric_article_order, languages_reconciled, status_counts, severity_ranked, audit_projection, best_per_source, peak_ratios, mixed_index, label_similarity, duplicate_uploads)
+_NAMES = (cited_headings, visible_articles, numeric_article_order, languages_reconciled, status_counts, severity_ranked, audit_projection, best_per_source, peak_ratios, mixed_index, label_similarity, duplicate_uploads)
 QUERIES = {f.__name__: f for f in _NAMES}
 _LAW = r"regexp_replace(regexp_replace(lower(law_number), '[\s\p{Z}.]+', '', 'g'), '^[^0-9]*0*([0-9]+[a-z]*/[0-9]+[a-z]*)[^a-z0-9]*$', '\1')"
 _ARTICLE = r"nullif(regexp_replace(regexp_replace(lower(article_number), '[\s\p{Z}.]+', '', 'g'), '^[^0-9]*0*([0-9]+[a-z]*)[^a-z0-9]*$', '\1'), '')"
@@ -109,13 +104,13 @@ _ALL_DOCS = "SELECT 'all' AS language, doc_id AS doc, text FROM documents"
 _ALL_ITEMS = _ITEMS.replace("language,", "'all' AS language,")
 ORACLES = {
     "cited_headings": f"WITH n AS (SELECT law, article, min(heading) AS heading FROM (SELECT DISTINCT id, {_LAW} AS law FROM laws) l JOIN (SELECT DISTINCT id, law_id, {_ARTICLE} AS article FROM articles) a ON a.law_id = l.id JOIN (SELECT DISTINCT article_id, id, heading FROM article_texts WHERE {label_sql('language')} = 'en') t ON t.article_id = a.id GROUP BY law, article) SELECT c.id, n.heading FROM (SELECT DISTINCT id, {_LAW} AS law, {_ARTICLE} AS article FROM case_statute_citations) c JOIN n ON n.law = c.law AND n.article = c.article",
-    "number_taken": f"SELECT id, law FROM (SELECT *, count(*) OVER (PARTITION BY law) AS n FROM (SELECT DISTINCT id, {_LAW} AS law FROM laws)) WHERE n > 1",
     "visible_articles": "SELECT a.law_id, l.law_number, count(*) AS n FROM (SELECT DISTINCT * FROM articles WHERE deleted_at IS NULL) a LEFT JOIN (SELECT DISTINCT * FROM laws WHERE deleted_at IS NULL) l ON l.id = a.law_id GROUP BY ALL",
     "numeric_article_order": "SELECT law_id, string_agg(n::VARCHAR, ',' ORDER BY n) AS numbers FROM (SELECT DISTINCT law_id, article_number::INT AS n FROM articles WHERE NOT contains(article_number, ' ')) GROUP BY law_id",
     "languages_reconciled": "WITH t AS (SELECT DISTINCT a.law_id, a.article_number AS n, " + label_sql("t.language") + """ AS language FROM article_texts t JOIN articles a ON a.id = t.article_id), p AS (SELECT law_id, n, bool_or(language = 'rw') AS rw, bool_or(language = 'en') AS en, bool_or(language = 'fr') AS fr FROM (SELECT law_id, n, coalesce(language, '') AS language FROM t) GROUP BY law_id, n)
  SELECT law_id, count(*) FILTER (WHERE rw AND NOT en) AS rw_only, count(*) FILTER (WHERE en AND NOT fr) AS en_not_fr, count(*) FILTER (WHERE rw OR en OR fr) AS all_numbers, count(*) FILTER (WHERE rw AND fr) AS rw_and_fr FROM p GROUP BY law_id""",
     "status_counts": f"WITH p AS (SELECT law, count(DISTINCT status) AS k, first(status ORDER BY created_at, status) AS first FROM (SELECT DISTINCT id, {_LAW} AS law, status, created_at FROM laws) GROUP BY law) SELECT first, count(*) AS n_laws, count(*) FILTER (WHERE k > 1) AS conflicting FROM p GROUP BY first",
     "severity_ranked": "SELECT id, row_number() OVER (PARTITION BY origin ORDER BY CASE status WHEN 'repealed' THEN 1 WHEN 'amended' THEN 2 WHEN 'active' THEN 3 ELSE 0 END, id) AS place FROM (SELECT DISTINCT * FROM laws)",
+    "audit_projection": "SELECT case_id, count(*) AS n, to_json(list({'law': law_number, 'article': coalesce(article_number, '')} ORDER BY id))::VARCHAR AS cited FROM (SELECT DISTINCT * FROM case_statute_citations) WHERE law_number IS NOT NULL GROUP BY case_id",
     "best_per_source": f"WITH {_bm25(_DOCS, _ITEMS, _words, 10)} SELECT q, source, max(score) AS score FROM top JOIN documents ON doc_id = doc GROUP BY q, source",
     "peak_ratios": f"WITH {_bm25(_DOCS, _ITEMS, _words, 10)}, pk AS (SELECT q, max(score) FILTER (WHERE rank = 1) AS t, coalesce(avg(score) FILTER (WHERE rank BETWEEN 2 AND 10), 0) AS r FROM top GROUP BY q) SELECT q, round(CASE WHEN r > 0 THEN t / r WHEN t > 0 THEN 99 ELSE 0 END, 6) AS ratio FROM pk",
     "mixed_index": f"WITH {_bm25(_ALL_DOCS, _ALL_ITEMS, _words, 3)} SELECT q, doc, score, rank FROM top",

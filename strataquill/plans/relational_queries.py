@@ -143,8 +143,9 @@ def upsert_coalesce_laws(spark: SparkSession, folder: str) -> DataFrame:
 
 def upsert_newest(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    current = o.where("o_orderpriority IS NULL") if "o_orderpriority" in o.columns else o.where("o_totalprice < 0")
-    return loads.upsert(current, o, ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey")
+    old, new = o.where("o_orderdate < '1998-01-01'"), o.where("o_orderdate >= '1998-01-01'")
+    current = old.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
+    return loads.upsert(current, new.select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey")
 
 
 def insert_ignore_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,8 +214,8 @@ def dry_run_end(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def every_nth(spark: SparkSession, folder: str) -> DataFrame:
-    order = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
-    return table(spark, folder, "orders").withColumn("n", F.row_number().over(order)).where((F.col("n") - 1) % 7 == 0).select("o_orderkey")
+    numbered = paging.numbered(table(spark, folder, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey")
+    return numbered.where((F.col("n") - 1) % 7 == 0).select("o_orderkey")
 
 
 def audit_stats_30d(spark: SparkSession, folder: str) -> DataFrame:
@@ -298,7 +299,7 @@ ORACLES = {
     "newest_laws": f"SELECT origin, place, id FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY published_at DESC NULLS FIRST, id) AS place FROM {_L}) WHERE place <= 3",
     "golden_diff": f"SELECT id, CASE WHEN status = 'repealed' THEN 'missing' ELSE 'changed' END AS change, CASE WHEN status = 'repealed' THEN '' ELSE 'coverage' END AS columns FROM {_L} WHERE status = 'repealed' OR status = 'amended' AND coverage IS DISTINCT FROM 'complete'",
     "upsert_coalesce_laws": f"SELECT id, law_number, gazette_ref, CASE WHEN coverage = 'partial' THEN 'complete' ELSE coverage END AS coverage FROM {_L}",
-    "upsert_newest": "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey",
+    "upsert_newest": "SELECT o_custkey, coalesce(max(o_orderkey) FILTER (WHERE o_orderdate >= '1998-01-01'), max(o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey",
     "insert_ignore_edges": "SELECT law_number, count(*) AS n_edges FROM (SELECT DISTINCT case_id, law_number, article_number FROM case_statute_citations) GROUP BY law_number",
     "cascade_delete_laws": f"SELECT l.id AS law_id, count(a.id) AS n_articles FROM {_L} l LEFT JOIN {_A} a ON a.law_id = l.id WHERE l.coverage IS DISTINCT FROM 'partial' GROUP BY l.id",
     "replaced_edges": f"WITH f AS (SELECT DISTINCT case_id FROM case_statute_citations WHERE created_at >= TIMESTAMPTZ '2024-01-01 00:00:00+00') SELECT case_id, count(*) AS n FROM {_C} c WHERE case_id NOT IN (SELECT case_id FROM f) OR created_at >= TIMESTAMPTZ '2024-01-01 00:00:00+00' GROUP BY case_id",

@@ -100,8 +100,12 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return R.top_k(fused, 5, 9).select("q", "doc", F.round("score", 9).alias("score"), "rank")
 
 
+def _headed(spark: SparkSession, folder: str) -> DataFrame:
+    return _served(spark, folder).where(F.col("language").isin(*_LANGUAGES) & (F.length("heading") > 6) & (F.length("body") > 200))
+
+
 def _heading_ranks(spark: SparkSession, folder: str, tokenizer) -> DataFrame:
-    served = _served(spark, folder).where(F.col("language").isin(*_LANGUAGES) & (F.length("heading") > 6) & (F.length("body") > 200))
+    served = _headed(spark, folder)
     docs = served.select("language", F.col("id").alias("doc"), F.col("body").alias("text"))
     queries = served.select(F.col("id").alias("q"), "language", F.col("heading").alias("text"))
     found = R.search(docs, queries, 5, tokenizer).where(F.col("q") == F.col("doc")).select("q", "rank")
@@ -114,16 +118,15 @@ def recall_at_k(spark: SparkSession, folder: str) -> DataFrame:
 
 def tokenizer_mcnemar(spark: SparkSession, folder: str) -> DataFrame:
     a, b = (_heading_ranks(spark, folder, t).where("rank = 1").select("q") for t in (T.char_ngrams, T.word_tokens))
-    return E.mcnemar(a, b)
+    return E.mcnemar(a, b).withColumn("p", F.round("p", 6))
 
 
 def _contained(spark: SparkSession, folder: str) -> DataFrame:
-    """Best score of each item, and whether a document of its language holds it word for word."""
+    """Best score of each item, and whether the document of that score holds it word for word."""
     docs, items = _documents(spark, folder), _items(spark, folder)
-    best = R.search(docs, items, 1)
     whole = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", "")
-    held = docs.select("language", whole.alias("d")).join(F.broadcast(items.select("q", "language", whole.alias("t"))), "language").where(F.contains("d", F.col("t"))).select("q").distinct().withColumn("signal", F.lit(True))
-    return best.join(held, "q", "left").select("language", "q", "score", F.coalesce("signal", F.lit(False)).alias("signal"))
+    best = R.search(docs, items, 1).join(items.select("q", whole.alias("t")), "q").join(docs.select("doc", whole.alias("d")), "doc")
+    return best.select("language", "q", "score", F.contains("d", F.col("t")).alias("signal"))
 
 
 def best_cut_floor(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,11 +138,6 @@ def noise_ceiling(spark: SparkSession, folder: str) -> DataFrame:
     return noise.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("peak"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-def expansion_gain(spark: SparkSession, folder: str) -> DataFrame:
-    items = _items(spark, folder)
-    return items.select("q", F.length(T.expand_query("text", "language")).cast("long").alias("expanded"), F.length("text").cast("long").alias("plain"))
-
-
 def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"), "label")
     return e.where(F.col("doc") % 100 == 0).select(F.col("doc").alias("q"), "vector", "label"), e
@@ -187,14 +185,6 @@ def score_medians(spark: SparkSession, folder: str) -> DataFrame:
     return best.groupBy("language").agg(E.upper_median("score").alias("median"), E.lower_quantile("score", 0.1).alias("p10"))
 
 
-def question_augmented(spark: SparkSession, folder: str) -> DataFrame:
-    """Each cited law's article texts with the case numbers that cite the law, gathered first."""
-    cited = table(spark, folder, "case_statute_citations").dropDuplicates(["id"]).where("law_number IS NOT NULL").join(table(spark, folder, "cases").dropDuplicates(["id"]).select(F.col("id").alias("case_id"), "case_number"), "case_id")
-    gathered = cited.groupBy("law_number").agg(F.array_join(F.array_sort(F.collect_set("case_number")), " ").alias("cases"))
-    served = _served(spark, folder).join(gathered, "law_number", "left")
-    return served.select("id", T.digest12(F.concat_ws(" ", "heading", "body", "cases")).alias("digest"))
-
-
 def _grams(text: str) -> str:
     split = f"string_split(regexp_replace(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '')"
     return f"list_transform([{split}], lambda c: list_transform(range(1, len(c) - 2), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3]))[1]"
@@ -233,9 +223,8 @@ def _ranks(tokens, prefix: str = "") -> str:
     return _bm25(f"SELECT language, id AS doc, body AS text FROM ({_HEADED})", f"SELECT id AS q, language, heading AS text FROM ({_HEADED})", tokens, 5, prefix)
 
 
-_CONTAINED = f"""WITH {_bm25(_DOCS, _ITEMS, _grams, 1)}, norm AS (SELECT language, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS t FROM d),
-held AS (SELECT DISTINCT q.q FROM q JOIN norm ON norm.language = q.language AND contains(norm.t, regexp_replace(lower(q.text), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))),
-x AS (SELECT top.language, top.q, top.score, held.q IS NOT NULL AS signal FROM top LEFT JOIN held ON top.q = held.q)"""
+_CONTAINED = f"""WITH {_bm25(_DOCS, _ITEMS, _grams, 1)}, norm AS (SELECT doc, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS t FROM d),
+x AS (SELECT top.language, top.q, top.score, contains(norm.t, regexp_replace(lower(q.text), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS signal FROM top JOIN q ON q.q = top.q JOIN norm ON norm.doc = top.doc)"""
 _DENSE = """WITH e AS (SELECT vec_id AS doc, embedding::DOUBLE[] AS v, label FROM embeddings),
 s AS (SELECT a.doc AS q, a.label AS ql, b.doc, b.label, round({0}, 6) AS score FROM e a JOIN e b ON a.doc <> b.doc WHERE a.doc % 100 = 0),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 5)"""
@@ -243,7 +232,7 @@ _COS = "list_dot_product(a.v, b.v) / coalesce(nullif(sqrt(list_dot_product(a.v,
 
 _NAMES = (
     char_ngrams_tf, bm25_index_terms, bm25_index_docs, bm25_char_topk, bm25_word_topk, served_corpus, ask_shortlist, ask_limitations, unanswered_guard, corpus_shape, corpus_fingerprint, rrf_fusion, recall_at_k,
-    tokenizer_mcnemar, best_cut_floor, noise_ceiling, expansion_gain, dense_topk, inner_product_topk, dense_label_recall, rag_context, chrf_official_rough, grounding_rate, score_medians, question_augmented,
+    tokenizer_mcnemar, best_cut_floor, noise_ceiling, dense_topk, inner_product_topk, dense_label_recall, rag_context, chrf_official_rough, grounding_rate, score_medians,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 ORACLES = {
@@ -259,9 +248,10 @@ ORACLES = {
  concat_ws(',', max(CASE WHEN kept AND status = 'amended' THEN 'amended_law' END), max(CASE WHEN kept AND coverage = 'partial' THEN 'partial_coverage' END), max(CASE WHEN effective_from IS NULL THEN 'undated_law' END)) AS limitations FROM c GROUP BY q""",
     "unanswered_guard": f"WITH {_bm25(_SERVED_TEXTS, _ITEMS, _grams, 1)} SELECT q, language FROM q WHERE NOT EXISTS (SELECT 1 FROM top JOIN {_FLOORS} ON f.language = top.language AND top.score >= f.floor WHERE top.q = q.q)",
     "corpus_shape": f"SELECT law_number, language, count(*) AS texts FROM ({_SERVED}) GROUP BY ALL",
+    "corpus_fingerprint": f"SELECT law_number, texts, {T.fnv1a_sql('shape')} AS fingerprint FROM (SELECT law_number, string_agg(law_number || ':' || language || ':' || n, '|' ORDER BY list_position(['rw', 'en', 'fr'], language)) AS shape, sum(n)::BIGINT AS texts FROM (SELECT law_number, language, count(*) AS n FROM ({_SERVED}) WHERE language IN ('rw', 'en', 'fr') GROUP BY ALL) GROUP BY law_number)",
     "rrf_fusion": f"WITH {_bm25(_DOCS, _ITEMS, _grams, 10, 'u')}, {_bm25(_DOCS, _ITEMS, _words, 10, 'v')}, f AS (SELECT q, doc, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT q, doc, rank FROM utop UNION ALL SELECT q, doc, rank FROM vtop) GROUP BY q, doc) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM f) WHERE rank <= 5",
     "recall_at_k": f"WITH {_ranks(_grams)} SELECT count(*) AS n, round(100 * avg(CASE WHEN top.rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(100 * avg(CASE WHEN top.rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5 FROM q LEFT JOIN top ON top.q = q.q AND top.doc = q.q",
-    "tokenizer_mcnemar": f"WITH {_ranks(_grams, 'u')}, {_ranks(_words, 'v')}, x AS (SELECT q FROM utop WHERE q = doc AND rank = 1), y AS (SELECT q FROM vtop WHERE q = doc AND rank = 1) SELECT count(*) FILTER (WHERE y.q IS NULL) AS only_a, count(*) FILTER (WHERE x.q IS NULL) AS only_b, count(*) FILTER (WHERE x.q IS NOT NULL AND y.q IS NOT NULL) AS both FROM x FULL JOIN y ON x.q = y.q",
+    "tokenizer_mcnemar": f"WITH {_ranks(_grams, 'u')}, {_ranks(_words, 'v')}, x AS (SELECT q FROM utop WHERE q = doc AND rank = 1), y AS (SELECT q FROM vtop WHERE q = doc AND rank = 1) SELECT count(*) FILTER (WHERE y.q IS NULL) AS only_a, count(*) FILTER (WHERE x.q IS NULL) AS only_b, count(*) FILTER (WHERE x.q IS NOT NULL AND y.q IS NOT NULL) AS both, round(CASE WHEN only_a + only_b = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2.0))))) END, 6) AS p FROM x FULL JOIN y ON x.q = y.q",
     "best_cut_floor": _CONTAINED
     + """, cuts AS (SELECT DISTINCT language, score FROM x), v AS (SELECT c.language, c.score, round(count(*) FILTER (WHERE x.signal AND x.score >= c.score) / greatest(count(*) FILTER (WHERE x.signal), 1) + 2.0 * count(*) FILTER (WHERE NOT x.signal AND x.score < c.score) / greatest(count(*) FILTER (WHERE NOT x.signal), 1), 9) AS value
  FROM cuts c JOIN x ON x.language = c.language GROUP BY c.language, c.score) SELECT language, score AS cut, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY value DESC, score) AS n FROM v) WHERE n = 1""",
@@ -274,6 +264,4 @@ ORACLES = {
  k AS (SELECT DISTINCT id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(question, '')), '[^\p{L}\p{N}\s''’]+', ' ', 'g'), '\s+'), lambda w: length(w) >= 5)) AS w FROM h)
  SELECT w.id, round(avg(CASE WHEN k.w IS NULL THEN 0.0 ELSE 1.0 END), 6) AS rate FROM w LEFT JOIN k ON w.id = k.id AND w.w = k.w GROUP BY w.id""",
     "score_medians": f"WITH {_bm25(_DOCS, _ITEMS, _grams, 1)}, l AS (SELECT language, list_sort(list(score)) AS s FROM top GROUP BY language) SELECT language, s[(len(s) // 2) + 1] AS median, s[least(len(s) - 1, floor(0.1 * len(s))::BIGINT) + 1] AS p10 FROM l",
-    "question_augmented": f"""WITH g AS (SELECT c.law_number, string_agg(DISTINCT k.case_number, ' ' ORDER BY k.case_number) AS cases FROM (SELECT DISTINCT id, case_id, law_number FROM case_statute_citations WHERE law_number IS NOT NULL) c JOIN (SELECT DISTINCT id, case_number FROM cases) k ON c.case_id = k.id GROUP BY c.law_number)
- SELECT s.id, left(sha256(concat_ws(' ', s.heading, s.body, g.cases)), 12) AS digest FROM ({_SERVED}) s LEFT JOIN g ON g.law_number = s.law_number""",
 }

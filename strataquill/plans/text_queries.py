@@ -174,6 +174,7 @@ _LAW = r"(?i)\b(?:N\s*[°ºo]?\s*)?(\d{1,4})\s*(bis|ter)?\s*/\s*(\d{2,4})(\.OL)?
 _CANON = f"regexp_replace(CASE WHEN length(regexp_replace(a, '^0+(\\d)', '\\1')) < 2 THEN '0' ELSE '' END || regexp_replace(a, '^0+(\\d)', '\\1') || lower(b) || '/' || CASE WHEN length(c) = 4 THEN c WHEN c::INT >= 30 THEN '19' || lpad(c, 2, '0') ELSE '20' || lpad(c, 2, '0') END || CASE WHEN d <> '' THEN '.OL' ELSE '' END, 'x^', '')"
 _STEP = "250"
 ORACLES = {
+    "fnv_labels": f"SELECT id, {T.fnv1a_sql('law_number')} AS hash FROM (SELECT DISTINCT id, law_number FROM laws)",
     "classify_language": f"SELECT doc_id, {_n(C.MARKERS['rw'])} AS n_rw, {_n(C.MARKERS['en'])} AS n_en, {_n(C.MARKERS['fr'])} AS n_fr, {_argmax(C.MARKERS)} AS language, CASE WHEN {_n(C.MARKERS['en'])} > {_n(C.MARKERS['fr'])} THEN 'en' WHEN {_n(C.MARKERS['fr'])} > {_n(C.MARKERS['en'])} THEN 'fr' END AS latin FROM documents WHERE text IS NOT NULL",
     "judgment_language": f"SELECT doc_id, {_argmax(C.JUDGMENT_MARKERS)} AS language FROM documents WHERE text IS NOT NULL",
     "status_words": f"SELECT id, {_case(list(C.STATUS_WORDS), 'status')} AS status FROM (SELECT DISTINCT * FROM laws)",

@@ -24,6 +24,12 @@ def parsed_documents(spark: SparkSession, folder: str, kind: str | None = None,
     return rows.where(F.col("kind").isNotNull() if kind is None else F.col("kind") == kind)
 
 
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest written by ``sinks.write_manifest``, with ``n_warnings``."""
+    rows = spark.read.schema("file string, kind string, law_number string, n_articles long, warnings array<string>").json(folder)
+    return rows.withColumn("n_warnings", F.size("warnings").cast("long"))
+
+
 def article_rows(parsed: DataFrame) -> DataFrame:
     """(file, law_number, number, language, heading, body) of parsed documents."""
     articles = parsed.select("file", F.col("source.lawNumber").alias("law_number"), F.explode("articles").alias("a"))

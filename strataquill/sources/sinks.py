@@ -21,6 +21,16 @@ def write_documents(documents: DataFrame, folder: str) -> None:
     documents.write.mode("overwrite").partitionBy("file").json(folder)
 
 
+def write_manifest(parsed: DataFrame, folder: str) -> None:
+    """One JSON line a parsed document (file, kind, law_number, n_articles, warnings), replacing what was there."""
+    parsed.select("file", "kind", F.col("source.lawNumber").alias("law_number"), F.coalesce(F.size("articles"), F.lit(0)).cast("long").alias("n_articles"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings")).write.mode("overwrite").json(folder)
+
+
+def write_provisions(provisions: DataFrame, folder: str) -> None:
+    """The provisions report as JSON lines, replacing what was there."""
+    provisions.write.mode("overwrite").json(folder)
+
+
 def aligned_pairs(texts: DataFrame) -> DataFrame:
     """(article_id, from, to, source, target) of articles held in both languages: en-rw, fr-rw, en-fr."""
     wide = texts.groupBy("article_id").pivot("language", ["rw", "en", "fr"]).agg(F.first("body"))

@@ -43,7 +43,7 @@ def test_fusion_and_dense(spark):
     assert R.top_k(R.fuse(a, b), 1).first()["doc"] == 2
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "doc long, vector array<double>")
     q = v.where("doc = 1").select(F.col("doc").alias("q"), "vector")
-    assert [r["doc"] for r in R.top_k(R.dense_scores(q, v), 2).orderBy("rank").collect()] == [2, 3]
+    assert [r["doc"] for r in R.dense_search(q, v, 2).orderBy("rank").collect()] == [2, 3]
 
 
 def test_evaluation(spark):
@@ -51,7 +51,7 @@ def test_evaluation(spark):
     assert E.best_cut(scores).first()["cut"] == 3.0 and E.floors(scores).first()["floor"] == 3
     assert E.two_sided_binomial(10, 2) == pytest.approx(0.109375) and E.two_sided_binomial(0, 0) == 1
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "q int")
-    assert tuple(E.mcnemar(ids(1, 2, 3), ids(3, 4)).first()) == (2, 1, 1)
+    assert tuple(E.mcnemar(ids(1, 2, 3), ids(3, 4)).first()) == (2, 1, 1, 1.0)
     pairs = spark.createDataFrame([(1, "the cat sat", "the cat sat"), (2, "the cat sits", "the cat sat"), (3, "", "the cat"), (4, None, "x"), (5, "zzz", "the cat sat")], "id int, hypothesis string, reference string")
     got = {r["id"]: r["chrf"] for r in E.chrf(pairs).collect()}
     assert got[1] == pytest.approx(100) and 50 < got[2] < 100 and got[3] == got[4] == 0 and got[5] < 25
@@ -219,3 +219,114 @@ def test_word_index_is_the_same_whatever_the_partitions(spark):
     queries = spark.createDataFrame([("q", "en", "beta1 gamma2")], "q string, language string, text string")
     results = [[tuple(r) for r in R.search(docs.repartition(n), queries, 3, word_tokens).orderBy("rank").collect()] for n in (1, 7)]
     assert results[0] == results[1]
+
+
+def test_stored_index_reads_only_the_buckets_of_the_terms(spark, tmp_path):
+    docs = spark.createDataFrame([("en", k, f"alpha w{k % 7} w{k % 5} omega{k}") for k in range(60)] + [("fr", 100, None), (None, 101, "alpha")], "language string, doc long, text string")
+    queries = spark.createDataFrame([(1, "en", "omega7 alpha alpha"), (2, "en", "absent"), (3, None, "alpha"), (4, "fr", "alpha")], "q long, language string, text string")
+    index = R.build_index(docs, word_tokens)
+    R.store_index(index, str(tmp_path), buckets=8)
+    loaded = R.load_index(spark, str(tmp_path), word_tokens)
+    scored = R.score(loaded, queries)
+    assert "PartitionFilters" in scored._jdf.queryExecution().toString() and "bucket" in scored._jdf.queryExecution().toString()
+    rows = {(r["q"], r["doc"], round(r["score"], 6)) for r in R.top_k(scored, 60).collect()}
+    assert rows == {(r["q"], r["doc"], round(r["score"], 6)) for r in R.search(docs, queries, 60, word_tokens).collect()}
+    assert {r[0] for r in rows} == {1} and len(rows) == 60
+
+
+def test_search_in_blocks_of_queries(spark):
+    docs = spark.createDataFrame([("en", k, f"common word{k % 3} with{k % 4}") for k in range(40)], "language string, doc long, text string")
+    queries = spark.createDataFrame([(k, "en", f"common word{k % 3}") for k in range(9)], "q long, language string, text string")
+    runs = [sorted(tuple(r) for r in R.search(docs, queries, 4, word_tokens, block=n).collect()) for n in (2, 100)]
+    assert runs[0] == runs[1] and len(runs[0]) == 36
+    assert [r[2] for r in runs[0] if r[0] == 1] == sorted(d for d in range(40) if d % 3 == 1)[:4]  # ties by document
+    assert R.search(docs.limit(0), queries).count() == 0 and R.search(docs, queries.limit(0)).count() == 0
+
+
+def test_dense_search(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, 1.0, 1.0]), (7, [1.0, 1.0])], "doc long, vector array<float>")
+    queries = vectors.where("doc IN (1, 5, 7)").withColumnRenamed("doc", "q")
+    for block in (1, 10):
+        got = {(r["q"], r["doc"], r["rank"]): r["score"] for r in R.dense_search(queries, vectors, 2, block=block).collect()}
+        assert got == {(1, 2, 1): 1.0, (1, 7, 2): 0.707107, (7, 1, 1): 0.707107, (7, 2, 2): 0.707107}
+    assert {(r["q"], r["doc"]): r["score"] for r in R.dense_search(queries, vectors, 1, "inner").collect()} == {(1, 2): 2.0, (7, 2): 2.0}
+    assert R.dense_search(queries.limit(0), vectors).count() == 0
+
+
+def test_numbers_over_ranges(spark):
+    rows = spark.createDataFrame([("a" if k % 10 else "b", k, "x") for k in range(500)] + [(None, 1000, "y"), (None, 1001, "z")], "p string, o long, n0 string")
+    got = {r["o"]: r["n"] for r in paging.numbered(rows.repartition(7), "p", "o").collect()}
+    parts = {}
+    for p, o in [("a" if k % 10 else "b", k) for k in range(500)] + [(None, 1000), (None, 1001)]:
+        parts.setdefault(p, []).append(o)
+    assert got == {o: i + 1 for values in parts.values() for i, o in enumerate(sorted(values))}
+    assert paging.numbered(rows.limit(0), "p", "o").count() == 0
+
+
+def test_even_odds(spark):
+    rows = [(n, k) for n in (0, 1, 7, 10, 300, 3000) for k in (0, 1, n // 2, n) if k <= n]
+    got = spark.createDataFrame(rows, "n long, k long").select("n", "k", E.even_odds(F.col("n"), F.col("k")).alias("p")).collect()
+    assert all(abs(r["p"] - E.two_sided_binomial(r["n"], r["k"])) < 1e-9 for r in got)
+
+
+def test_status_resolution(spark):
+    rows = spark.createDataFrame([(1, "a", "old"), (2, "b", "old"), (3, None, "old")], "id long, law string, status string")
+    statuses = spark.createDataFrame([("a", "repealed"), ("a", "repealed"), (None, "amended")], "law string, status string")
+    got = {r["id"]: (r["status"], r["assumed"]) for r in loads.resolve_status(rows, statuses, "law", "active").collect()}
+    assert got == {1: ("repealed", False), 2: ("active", True), 3: ("active", True)}
+    assert {r["status"] for r in loads.resolve_status(rows, None, "law", "active").collect()} == {"active"}
+    with pytest.raises(ValueError):
+        loads.resolve_status(rows, None, "law")
+    assert [r["id"] for r in loads.delete_keys(rows, statuses, "law").orderBy("id").collect()] == [2, 3]
+
+
+def test_pending_migrations(spark):
+    wanted = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], "version long, name string, digest string")
+    ledger = spark.createDataFrame([(1, "a", "x"), (2, "b", "other"), (9, "q", "w")], "version long, name string, digest string")
+    assert {(r["version"], r["state"]) for r in loads.pending_migrations(wanted, ledger).collect()} == {(2, "changed"), (3, "pending"), (9, "unknown")}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    from types import SimpleNamespace
+
+    from strataquill import session
+
+    for master, fails in (("local", False), ("local[4]", False), ("local-cluster[2,1,512]", True), ("spark://x:7077", True)):
+        folders = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda f=folders: f[0] if f else None, setCheckpointDir=folders.append)
+        fake = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
+        if fails:
+            with pytest.raises(RuntimeError):
+                session.shared_folder(fake)
+        else:
+            assert session.shared_folder(fake)
+
+
+def test_no_views_are_left_behind(spark):
+    from strataquill.session import run_sql
+
+    before = {t.name for t in spark.catalog.listTables()}
+    assert run_sql(spark, "SELECT count(*) AS n FROM @a@ JOIN @b@ USING (id)", a=spark.range(5), b=spark.range(3)).first()["n"] == 3
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_manifest(spark, tmp_path):
+    from strataquill.sources import readers, sinks
+
+    parsed = spark.createDataFrame([("a.json", "law", {"lawNumber": "1/2000"}, [{"number": 1}, {"number": 2}], ["w"]), ("b.json", "law", {"lawNumber": None}, None, None)], "file string, kind string, source struct<lawNumber:string>, articles array<struct<number:int>>, warnings array<string>")
+    for _ in range(2):  # replaces what was there
+        sinks.write_manifest(parsed, str(tmp_path / "m"))
+    got = {r["file"]: (r["law_number"], r["n_articles"], r["n_warnings"]) for r in readers.manifest(spark, str(tmp_path / "m")).collect()}
+    assert got == {"a.json": ("1/2000", 2, 1), "b.json": (None, 0, 0)}
+    sinks.write_provisions(spark.range(3), str(tmp_path / "p"))
+    assert spark.read.json(str(tmp_path / "p")).count() == 3
+
+
+def test_the_index_scores_as_worked_out_by_hand(spark):
+    """Two texts of 8 and 4 four-grams: idf ln(1.2), and the share of a term in the shorter text."""
+    docs = spark.createDataFrame([("en", 1, "abcdefghijk"), ("en", 2, "abcdxyz")], "language string, doc long, text string")
+    got = {r["doc"]: r["score"] for r in R.search(docs, spark.createDataFrame([(1, "en", "abcd")], "q long, language string, text string")).collect()}
+    import math
+
+    idf = math.log((2 - 2 + 0.5) / (2 + 0.5) + 1)
+    assert got == {d: round(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * n / 6)), 6) for d, n in ((1, 8), (2, 4))}

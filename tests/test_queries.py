@@ -37,8 +37,9 @@ def test_query(spark, duck, name):
     frame = catalog.queries()[name](spark, str(DATA))
     columns = sorted(frame.columns)
     got = sorted((tuple(map(plain, r)) for r in frame.select(*columns).collect()), key=repr)
+    assert len(set(columns)) == len(columns)
     if name not in catalog.oracles():
-        return
+        pytest.skip("no SQL: pinned by cases elsewhere")
     result = duck.execute(catalog.oracles()[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == columns
