@@ -43,6 +43,7 @@ _STOP = r"[.!?…][\"'»”)\]]*$"
 _SEPARATOR = r"\t|\||;|  +|,[^\s,]"
 _ENDS = r"(?:[\p{L}]{2}|\d)[\"'»”)\]]*[.!?](?:\s|$)"
 _MARKUP = r"<[^<>]+>"
+_WIDE_BLANK = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _spans(lists: pa.ListArray) -> np.ndarray:
@@ -72,6 +73,32 @@ def _left(values: pa.Array, dropped: str) -> np.ndarray:
     return _numbers(pc.utf8_length(pc.replace_substring_regex(values, dropped, "")))
 
 
+def _left_of(values: pa.Array, dropped: str, *signs: str) -> np.ndarray:
+    """``_left`` where only texts that hold one of ``signs`` can hold the pattern."""
+    result = _numbers(pc.utf8_length(values))
+    held = np.zeros(len(values), bool)
+    for sign in signs:
+        held |= _flags(pc.match_substring(values, sign))
+    if held.any():
+        result[held] = _left(values.filter(pa.array(held)), dropped)
+    return result
+
+
+def _byte_counts(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Digits and white space of each value, from its bytes."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(values) and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    starts = offsets - offsets[0] if len(values) else np.zeros(1, np.int64)
+    digits, blanks = (np.diff(np.searchsorted(np.flatnonzero(kind), starts)) for kind in (data - np.uint8(48) < 10, (data == 32) | (data - np.uint8(9) < 5)))
+    wide = pc.count_substring_regex(values, _WIDE_BLANK) if (data > 127).any() else None
+    return digits.astype(float), blanks + (_numbers(wide) if wide is not None else 0.0)
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    codes = np.sort(codes)
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
+
+
 def words_of(texts: pa.Array) -> pa.ListArray:
     """The words of each text in lower case: runs of letters (with an empty one where there is none)."""
     return pc.split_pattern(pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " ")), " ")
@@ -106,7 +133,8 @@ def _line_shares(texts: pa.Array) -> dict[str, np.ndarray]:
     flowed = follows & lower & ~np.roll(stop, 1) & np.roll(upper, 1)
     flows = np.roll(follows & lower, -1) & upper
     several = lines[of] >= 3
-    row = several & ((separators >= 2) & (words <= 4 * (separators + 1)) & (ends == 0) | (words >= 2) & (_left(line, r"[^\d]+") > 0.5 * _left(line, r"\s+")))
+    digits, blanks = _byte_counts(line)
+    row = several & ((separators >= 2) & (words <= 4 * (separators + 1)) & (ends == 0) | (words >= 2) & (digits > 0.5 * (_numbers(pc.utf8_length(line)) - blanks)))
     short = (count <= 7) & ~stop & ~flows & ~flowed
     numbered = (marked | digit & (count > 1)) & (~stop | (count <= 6)) & (ends == 0)
     entry = several & ~row & (leader & (count <= 16) | short | numbered)
@@ -121,7 +149,9 @@ def measure(texts: pa.Array, common: pa.Array) -> dict[str, np.ndarray]:
     """The statistics of texts that have at least one character that is not white space."""
     n = len(texts)
     lines = _line_shares(texts)
-    visible = np.maximum(_left(texts, r"[\s\p{Z}]+"), 1)
+    chars = _numbers(pc.utf8_length(texts))
+    digits, blanks = _byte_counts(texts)
+    visible = np.maximum(chars - blanks, 1)
     found = words_of(texts)
     starts, kinds = _spans(found), found.flatten().dictionary_encode()
     size, at = _numbers(pc.utf8_length(kinds.dictionary)), kinds.indices.to_numpy()
@@ -130,14 +160,13 @@ def measure(texts: pa.Array, common: pa.Array) -> dict[str, np.ndarray]:
     whole = np.maximum(_sums((size > 1)[at], starts), 1)
     tokens = pc.utf8_split_whitespace(texts)
     spans, kinds = _spans(tokens), tokens.flatten().dictionary_encode()
-    codes = np.unique(np.repeat(np.arange(n), np.diff(spans)) * (len(kinds.dictionary) + 1) + kinds.indices.to_numpy())
+    codes = _distinct(np.repeat(np.arange(n), np.diff(spans)) * (len(kinds.dictionary) + 1) + kinds.indices.to_numpy())
     distinct = np.bincount(codes // (len(kinds.dictionary) + 1), minlength=n)
-    digits, chars = _left(texts, r"[^\d]+"), _numbers(pc.utf8_length(texts))
-    fill = chars - _left(texts, r"\.{4,}|_{4,}|…{2,}")  # leaders are no symbols
+    fill = chars - _left_of(texts, r"\.{4,}|_{4,}|…{2,}", "....", "____", "……")  # leaders are no symbols
     words = lines["words"]
     return {
         "words": words, "mean_word_length": visible / words, "entry_words": lines["entry_words"], "row_words": lines["row_words"], "digit_ratio": digits / visible,
-        "unknown_letters": np.maximum(letters - known_letters, 0) / visible, "symbol_ratio": np.maximum(visible - letters - digits - fill, 0) / visible, "markup": 1 - _left(texts, _MARKUP) / np.maximum(chars, 1),
+        "unknown_letters": np.maximum(letters - known_letters, 0) / visible, "symbol_ratio": np.maximum(visible - letters - digits - fill, 0) / visible, "markup": 1 - _left_of(texts, _MARKUP, "<") / np.maximum(chars, 1),
         "punctuated_lines": lines["punctuated_lines"], "common_words": np.where(runs > 0, _sums(known[at], starts) / whole, 1.0), "log_word_length": np.log(np.maximum(visible / words, 1)),
         # The variety of a text is its different words against those that 30 words could be.
         # Figures without any word say nothing about the length of words: they count as words of five letters.
@@ -158,7 +187,7 @@ def common_words(documents: DataFrame, text_col: str = "text", share: float = 0.
             found = words_of(batch.column("text"))
             kinds = found.flatten().dictionary_encode()
             size = len(kinds.dictionary)
-            codes = np.unique(np.repeat(np.arange(len(found)), np.diff(_spans(found))) * max(size, 1) + kinds.indices.to_numpy())
+            codes = _distinct(np.repeat(np.arange(len(found)), np.diff(_spans(found))) * max(size, 1) + kinds.indices.to_numpy())
             n = np.bincount(codes % max(size, 1), minlength=size)
             words = pa.concat_arrays([kinds.dictionary, pa.array([None], pa.string())])  # null stands for the number of texts
             yield pa.RecordBatch.from_arrays([words, pa.array(np.append(n, batch.num_rows).astype(np.int64))], ["word", "n"])
