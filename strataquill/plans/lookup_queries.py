@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from strataquill.functions import text as T
 from strataquill.functions.keys import article_key, law_key
 from strataquill.operators import retrieval as R
+from strataquill.operators.lines import column_bands
 from strataquill.operators.parsing import peak_ratio
 from strataquill.operators.skew import hot_key_join
 from strataquill.plans.retrieval_queries import _DOCS, _ITEMS, _bm25, _documents, _items, _words
@@ -96,13 +97,20 @@ def duplicate_uploads(spark: SparkSession, folder: str) -> DataFrame:
     return uploads.groupBy(T.digest12("content").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
 
 
-_NAMES = (cited_headings, visible_articles, numeric_article_order, languages_reconciled, status_counts, severity_ranked, audit_projection, best_per_source, peak_ratios, mixed_index, label_similarity, duplicate_uploads)
+def item_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items of an order as items on pages, in three bands of equal width."""
+    items = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") % 2).alias("page"), F.col("l_extendedprice").cast("double").alias("x"))
+    return column_bands(items, 3).groupBy("doc", "page", "band").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 2).alias("first"))
+
+
+_NAMES = (item_bands, cited_headings, visible_articles, numeric_article_order, languages_reconciled, status_counts, severity_ranked, audit_projection, best_per_source, peak_ratios, mixed_index, label_similarity, duplicate_uploads)
 QUERIES = {f.__name__: f for f in _NAMES}
 _LAW = r"regexp_replace(regexp_replace(lower(law_number), '[\s\p{Z}.]+', '', 'g'), '^[^0-9]*0*([0-9]+[a-z]*/[0-9]+[a-z]*)[^a-z0-9]*$', '\1')"
 _ARTICLE = r"nullif(regexp_replace(regexp_replace(lower(article_number), '[\s\p{Z}.]+', '', 'g'), '^[^0-9]*0*([0-9]+[a-z]*)[^a-z0-9]*$', '\1'), '')"
 _ALL_DOCS = "SELECT 'all' AS language, doc_id AS doc, text FROM documents"
 _ALL_ITEMS = _ITEMS.replace("language,", "'all' AS language,")
 ORACLES = {
+    "item_bands": "WITH i AS (SELECT l_orderkey AS doc, l_linenumber % 2 AS page, l_extendedprice::DOUBLE AS x FROM lineitem), b AS (SELECT *, min(x) OVER w AS lo, max(x) OVER w AS hi FROM i WINDOW w AS (PARTITION BY doc, page)) SELECT doc, page, CASE WHEN hi > lo THEN least(2, floor((x - lo) / ((hi - lo) / 3)))::INT ELSE 0 END AS band, count(*) AS n, round(min(x), 2) AS first FROM b GROUP BY ALL",
     "cited_headings": f"WITH n AS (SELECT law, article, min(heading) AS heading FROM (SELECT DISTINCT id, {_LAW} AS law FROM laws) l JOIN (SELECT DISTINCT id, law_id, {_ARTICLE} AS article FROM articles) a ON a.law_id = l.id JOIN (SELECT DISTINCT article_id, id, heading FROM article_texts WHERE {label_sql('language')} = 'en') t ON t.article_id = a.id GROUP BY law, article) SELECT c.id, n.heading FROM (SELECT DISTINCT id, {_LAW} AS law, {_ARTICLE} AS article FROM case_statute_citations) c JOIN n ON n.law = c.law AND n.article = c.article",
     "visible_articles": "SELECT a.law_id, l.law_number, count(*) AS n FROM (SELECT DISTINCT * FROM articles WHERE deleted_at IS NULL) a LEFT JOIN (SELECT DISTINCT * FROM laws WHERE deleted_at IS NULL) l ON l.id = a.law_id GROUP BY ALL",
     "numeric_article_order": "SELECT law_id, string_agg(n::VARCHAR, ',' ORDER BY n) AS numbers FROM (SELECT DISTINCT law_id, article_number::INT AS n FROM articles WHERE NOT contains(article_number, ' ')) GROUP BY law_id",

@@ -45,7 +45,7 @@ def law_number_normalise(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cited_laws(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _docs(spark, folder).where("text IS NOT NULL").withColumn("text", F.regexp_replace("text", r"(?i)\b(law number|loi numéro|itegeko nimero) ", "Law N° "))
+    docs = _docs(spark, folder).where("text IS NOT NULL").withColumn("text", F.regexp_replace("text", r"(?iu)\b(law number|loi numéro|itegeko nimero) ", "Law N° "))
     found = docs.select(F.explode(N.cited_laws(F.col("text"))).alias("law"))
     return found.groupBy("law").agg(F.count(F.lit(1)).alias("n"))
 
@@ -173,7 +173,28 @@ _PROVISION = [(k, p) for k, ps in C.PROVISIONS[:3] for p in ps]
 _LAW = r"(?i)\b(?:N\s*[°ºo]?\s*)?(\d{1,4})\s*(bis|ter)?\s*/\s*(\d{2,4})(\.OL)?\b"
 _CANON = f"regexp_replace(CASE WHEN length(regexp_replace(a, '^0+(\\d)', '\\1')) < 2 THEN '0' ELSE '' END || regexp_replace(a, '^0+(\\d)', '\\1') || lower(b) || '/' || CASE WHEN length(c) = 4 THEN c WHEN c::INT >= 30 THEN '19' || lpad(c, 2, '0') ELSE '20' || lpad(c, 2, '0') END || CASE WHEN d <> '' THEN '.OL' ELSE '' END, 'x^', '')"
 _STEP = "250"
+_MONTH_CASES = " ".join("WHEN lower({0}) IN (" + ", ".join(f"'{n}'" for n, m in D.MONTHS.items() if m == month) + f") THEN '{month:02d}'" for month in range(1, 13))
+
+
+def _named(pattern: str, day: int, month: int, year: int) -> str:
+    part = lambda k: f"regexp_extract(text, '(?i){pattern}', {k})"
+    return f"CASE WHEN {part(year)} <> '' THEN concat_ws('-', {part(year)}, CASE {_MONTH_CASES.format(part(month))} END, lpad({part(day)}, 2, '0')) END"
+
+
+_MONTHS = "|".join(D.MONTHS)
+_DMY = r"\b(\d{1,2})\s*/\s*(\d{1,2})\s*/\s*(\d{4})\b"
+_FIRST_DATE = f"CASE WHEN regexp_extract(text, '{_DMY}', 3) <> '' THEN concat_ws('-', regexp_extract(text, '{_DMY}', 3), lpad(regexp_extract(text, '{_DMY}', 2), 2, '0'), lpad(regexp_extract(text, '{_DMY}', 1), 2, '0')) END"
+_DAY_NAMED, _MONTH_NAMED = rf"\b(\d{{1,2}})\s+({_MONTHS})\s+(\d{{4}})\b", rf"\b({_MONTHS})\s+(\d{{1,2}})\s*,?\s*(\d{{4}})\b"
+_CASE = r"\b((?:[A-Z]+\s*/\s*)*[A-Z]{2,8})\s*(\d{4,6})\s*/\s*(\d{4})\s*/\s*([A-Z]{2,3}(?:/[A-Z]{2,4})?)\b"
+_COURTS = " ".join(f"WHEN '{code}' THEN '{court}'" for code, court in C.COURT_BY_CODE.items())
+_COURT_NAMES = " ".join(f"WHEN regexp_matches(court, '(?i){pattern.replace(chr(39), chr(39) * 2)}') THEN '{court}'" for court, pattern in C.COURT_BY_NAME)
 ORACLES = {
+    "prose_dates": f"SELECT doc_id, {_FIRST_DATE} AS first_date, coalesce({_named(_DAY_NAMED, 1, 2, 3)}, {_named(_MONTH_NAMED, 2, 1, 3)}) AS named FROM documents WHERE text IS NOT NULL",
+    "question_lists": r"""SELECT id, array_to_string(list_filter(list_transform(string_split(concat_ws(chr(10), '- ' || question, answer), chr(10)), lambda s: trim(regexp_replace(s, '^\s*(?:[-*•]|\d+[.)])\s*', ''))), lambda s: length(s) > 12 AND length(s) < 240 AND contains(s, '?'))[1:3], '|') AS questions FROM (SELECT DISTINCT id, question, answer FROM history)""",
+    "case_numbers": rf"""SELECT id, CASE WHEN regexp_extract(case_number, '{_CASE}', 2) <> '' THEN regexp_replace(regexp_extract(case_number, '{_CASE}', 1), '\s+', '', 'g') || ' ' || regexp_extract(case_number, '{_CASE}', 2) || '/' || regexp_extract(case_number, '{_CASE}', 3) || '/' || regexp_extract(case_number, '{_CASE}', 4) END AS canonical,
+ coalesce(CASE regexp_extract(case_number, '/([A-Z]{{2,3}})(?:/[A-Z]{{2,4}})?$', 1) {_COURTS} END, CASE {_COURT_NAMES} END) AS court FROM (SELECT DISTINCT id, case_number, court FROM cases)""",
+    "cited_laws": f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(?i)\\b(law number|loi numéro|itegeko nimero) ', 'Law N° ', 'g'), '(?i)\\bN\\s*[°ºo]\\s*(\\d{{1,4}})\\s*(bis|ter)?\\s*/\\s*(\\d{{2,4}})\\b')) AS law_number FROM documents WHERE text IS NOT NULL),
+ c AS (SELECT doc_id, {_CANON} AS law FROM (SELECT doc_id, law_number, regexp_extract(law_number, '{_LAW}', 1) AS a, regexp_extract(law_number, '{_LAW}', 2) AS b, regexp_extract(law_number, '{_LAW}', 3) AS c, regexp_extract(law_number, '{_LAW}', 4) AS d FROM m)) SELECT law, count(DISTINCT doc_id) AS n FROM c WHERE law IS NOT NULL GROUP BY law""",
     "fnv_labels": f"SELECT id, {T.fnv1a_sql('law_number')} AS hash FROM (SELECT DISTINCT id, law_number FROM laws)",
     "classify_language": f"SELECT doc_id, {_n(C.MARKERS['rw'])} AS n_rw, {_n(C.MARKERS['en'])} AS n_en, {_n(C.MARKERS['fr'])} AS n_fr, {_argmax(C.MARKERS)} AS language, CASE WHEN {_n(C.MARKERS['en'])} > {_n(C.MARKERS['fr'])} THEN 'en' WHEN {_n(C.MARKERS['fr'])} > {_n(C.MARKERS['en'])} THEN 'fr' END AS latin FROM documents WHERE text IS NOT NULL",
     "judgment_language": f"SELECT doc_id, {_argmax(C.JUDGMENT_MARKERS)} AS language FROM documents WHERE text IS NOT NULL",
