@@ -40,8 +40,11 @@ PROVISIONS = (
     ("repeal", (r"\b(is|are)\s+(hereby\s+)?(repealed|abrogated)\b", r"\b(est|sont)\s+abrogée?s?\b", r"\bzivanyweho\b", r"\bivanyweho\b")),
     ("commencement", (r"\bthis\s+(organic\s+)?law\s+(shall\s+)?comes?\s+into\s+force\b", r"\bla\s+présente\s+loi\s+(organique\s+)?entre\s+en\s+vigueur\b", r"\biri\s+tegeko\s+(ngenga\s+)?ritangira\s+gukurikizwa\b")),
 )
+# Fixed value: what makes a mention of commencement a reference.
 BEFORE_COMMENCEMENT = r"\b(before|prior\s+to|avant|mbere)\b[^.]{0,40}$"
+# Blanket repeals.
 BLANKET = (r"\ball\s+(previous\s+)?(legal\s+)?provisions\s+contrary\b", r"\ball\s+prior\s+(legal\s+)?provisions\b", r"\btoutes\s+les\s+dispositions\s+(légales\s+)?(antérieures\s+)?(et\s+)?contraires\b", r"\bingingo\s+zose\s+z[’']amategeko\b", r"\bin\s+all\s+the\s+legislative\s+texts\b")
+# Commencement on publication.
 ON_PUBLICATION = (r"\bday\s+of\s+(its\s+)?publication\b", r"\bdate\s+of\s+its\s+publication\b", r"\bjour\s+de\s+sa\s+publication\b", r"\bku\s+munsi\s+ritangarijweho\b")
 # Words for a status, negations first.
 STATUS_WORDS = (
@@ -53,18 +56,33 @@ STATUS_WORDS = (
 # Courts by the code that ends a case number, and by name.
 COURT_BY_CODE = {"SC": "supreme_court", "CS": "supreme_court", "CA": "court_of_appeal", "HC": "high_court", "TC": "commercial_court", "TGI": "intermediate_court"}
 COURT_BY_NAME = (
-    ("supreme_court", r"URUKIKO\s+RW?\s*[’'‚]?\s*IKIRENGA|SUPREME\s+COURT|COUR\s+SUPR[ÊE]ME"),
-    ("court_of_appeal", r"URUKIKO\s+RW?\s*[’'‚]?\s*UBUJURIRE|COURT\s+OF\s+APPEAL|COUR\s+D[’']APPEL"),
-    ("high_court", r"URUKIKO\s+RUKURU|HIGH\s+COURT"),
-    ("commercial_court", r"URUKIKO\s+RW?\s*[’'‚]?\s*UBUCURUZI|COMMERCIAL\s+COURT"),
+    ("supreme_court", r"URUKIKO\s+RW?\s*[’'‚]?\s*IKIRENGA"),
+    ("supreme_court", r"SUPREME\s+COURT"),
+    ("supreme_court", r"COUR\s+SUPR[ÊE]ME"),
+    ("court_of_appeal", r"URUKIKO\s+RW?\s*[’'‚]?\s*UBUJURIRE"),
+    ("court_of_appeal", r"COURT\s+OF\s+APPEAL"),
+    ("court_of_appeal", r"COUR\s+D[’']APPEL"),
+    ("high_court", r"URUKIKO\s+RUKURU"),
+    ("high_court", r"HIGH\s+COURT"),
+    ("commercial_court", r"URUKIKO\s+RW?\s*[’'‚]?\s*UBUCURUZI"),
+    ("commercial_court", r"COMMERCIAL\s+COURT"),
 )
 # Markers that open the sections of a judgment (apostrophes read as blanks).
 SECTIONS = (
-    ("facts", r"^(facts|incamake y ?(ikibazo|icyibazo|kibazo)|les faits)$"),
-    ("held", r"^(held|incamake y ?icyemezo|decision)$"),
-    ("statutes_cited", r"^(statutes?( and statutory[a-z ]*)? referred to|statutory and statutes referred to|amategeko (yashingiweho|yakoreshejwe|yifashishijwe))$"),
-    ("cases_cited", r"^(cases? (laws? )?referred to|reference cases|imanza (zifashishijwe|zakoreshejwe))$"),
-    ("writings_cited", r"^(legal writings referred to|inyandiko z abahanga( zifashishijwe)?)$"),
+    ("facts", r"^facts$"),
+    ("facts", r"^incamake y ?(ikibazo|icyibazo|kibazo)$"),
+    ("facts", r"^les faits$"),
+    ("held", r"^held$"),
+    ("held", r"^incamake y ?icyemezo$"),
+    ("held", r"^decision$"),
+    ("statutes_cited", r"^statutes?( and statutory[a-z ]*)? referred to$"),
+    ("statutes_cited", r"^statutory and statutes referred to$"),
+    ("statutes_cited", r"^amategeko (yashingiweho|yakoreshejwe|yifashishijwe)$"),
+    ("cases_cited", r"^cases? (laws? )?referred to$"),
+    ("cases_cited", r"^reference cases$"),
+    ("cases_cited", r"^imanza (zifashishijwe|zakoreshejwe)$"),
+    ("writings_cited", r"^legal writings referred to$"),
+    ("writings_cited", r"^inyandiko z abahanga( zifashishijwe)?$"),
 )
 # Words of an instrument, entries and headings of an index, furniture of a page.
 INSTRUMENT_WORD = r"(?<![A-Za-zÀ-ÿ])(ITEGEKO|LAW|LOI|ITEKA|ORDER|ARR[ÊE]T[ÉE]|AMABWIRIZA|REGULATIONS?|R[ÈE]GLEMENT|D[ÉE]CRET|DECREE)(?![A-Za-zÀ-ÿ])"

@@ -11,6 +11,10 @@ from strataquill.functions.patterns import ascii_borders
 LAW_NUMBER = r"\b(?:N\s*[°ºo]?\s*)?(\d{1,4})\s*(bis|ter)?\s*/\s*(\d{2,4})(\.OL)?\b"
 CITED_LAW = r"\bN\s*[°ºo]\s*(\d{1,4})\s*(bis|ter)?\s*/\s*(\d{2,4})\b"
 CASE_NUMBER = r"\b((?:[A-Z]+\s*/\s*)*[A-Z]{2,8})\s*(\d{4,6})\s*/\s*(\d{4})\s*/\s*([A-Z]{2,3}(?:/[A-Z]{2,4})?)\b"
+# Fixed value: how an entry of a citation list names its law.
+STATUTE_ENTRY = r"\b(?:law|itegeko|loi)\b[^.;\n]{0,40}?\bn\s*[°ºo0]?\s*(\d{1,4}\s*/\s*\d{2,4})"
+#: A list of article numbers behind the word for article: numbers, joined by commas and words for "and".
+ARTICLE_LIST = r"\b(?:articles?|ingingo(?: ya| za)?)\s+(\d+(?:\s*(?:,|&|\band\b|\bet\b|\bna\b)\s*\d+)*)"
 CENTURY_PIVOT = 30
 CATEGORY_NUMBERED = ("presidential_order", "ministerial_order", "prime_ministerial_order")
 
@@ -62,8 +66,7 @@ def cited_statutes(text: Column) -> Column:
     """Array of (law_number, articles) of a citation list: entries start at the word for law, the first
     number of an entry is its law, article numbers merge per law in numeric order."""
     entries = F.split(text, ascii_borders(r"(?=\b(?:Law|Itegeko|Loi)\b)"))
-    law = ascii_borders(r"\b(?:law|itegeko|loi)\b[^.;\n]{0,40}?\bn\s*[°ºo0]?\s*(\d{1,4}\s*/\s*\d{2,4})")
-    articles = ascii_borders(r"\b(?:articles?|ingingo(?: ya| za)?)\s+([\d\s,and&na]+)")
+    law, articles = ascii_borders(STATUTE_ENTRY), ascii_borders(ARTICLE_LIST)
     pairs = F.transform(
         entries,
         lambda e: F.struct(
