@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.functions.keys import article_key, law_key
+from strataquill.session import checkpoint
 
 _NO_ARTICLE = "\u0000"
 
@@ -97,7 +98,7 @@ def orphan_references(citations: DataFrame, laws: DataFrame, articles: DataFrame
     return _orphans(by_heavy).unionByName(_orphans(by_light)).dropDuplicates(["citation_id"])
 
 
-def orphan_counts(citations: DataFrame, laws: DataFrame, articles: DataFrame, heavy_share: int = 200) -> DataFrame:
+def orphan_counts(citations: DataFrame, laws: DataFrame, articles: DataFrame, heavy_share: int = 200, most_mixed: int = 1_000_000) -> DataFrame:
     """Orphans (target, reason, month, n_orphans) per table, reason and month of the reference; the
     references are those of ``orphan_references``, counted once however often they were delivered."""
     refs = _references(citations)
@@ -107,12 +108,17 @@ def orphan_counts(citations: DataFrame, laws: DataFrame, articles: DataFrame, he
     state = _with_state(periods, laws, articles)
     latest = F.greatest("law_first", "article_first")
     target = F.when(F.col("law_first") > F.col("last_at"), "laws").when((F.col("law_first") <= F.col("first_at")) & (F.col("article_first") > F.col("last_at")), "articles")
-    suspect = state.where(latest > F.col("first_at")).withColumn("target", target)
+    suspect = checkpoint(state.where(latest > F.col("first_at")).withColumn("target", target))
     reason = F.when(F.col("target") == "laws", F.col("law_reason")).otherwise(F.col("article_reason"))
     whole = suspect.where(F.col("target").isNotNull()).groupBy("target", reason.alias("reason"), "month").agg(F.sum("n").alias("n_orphans"))
-    # A month in which the record came into being between two references is looked at row by row.
+    # A month in which the record came into being between two references is looked at row by row: there
+    # are few such months (counted before they are broadcast), so the references need no shuffle.
     mixed = suspect.where(F.col("target").isNull()).drop("target", "n", "first_at", "last_at")
     dated = refs.where(F.col("month").isNotNull())
-    parts = [_orphans(p) for p in _skew_join(dated, mixed, _heavy(periods, names, heavy_share), names)]
-    single = parts[0].unionByName(parts[1]).dropDuplicates(["citation_id"]).groupBy("target", "reason", "month").agg(F.count(F.lit(1)).alias("n_orphans"))
+    if mixed.count() <= most_mixed:
+        found = _orphans(dated.join(F.broadcast(mixed), names))
+    else:
+        parts = [_orphans(p) for p in _skew_join(dated, mixed, _heavy(periods, names, heavy_share), names)]
+        found = parts[0].unionByName(parts[1])
+    single = found.dropDuplicates(["citation_id"]).groupBy("target", "reason", "month").agg(F.count(F.lit(1)).alias("n_orphans"))
     return whole.unionByName(single).groupBy("target", "reason", "month").agg(F.sum("n_orphans").alias("n_orphans"))

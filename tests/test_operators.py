@@ -153,8 +153,8 @@ def test_orphans_of_a_month_in_which_the_record_came(spark):
     articles = spark.createDataFrame([], "id string, law_id string, article_number string, created_at timestamp, deleted_at timestamp")
     rows = [(f"c{k}", "1/2000", None, day(k)) for k in range(2, 20)] + [("c2", "1/2000", None, day(2)), ("cn", "1/2000", None, None), ("cm", "2/2000", None, None)]
     cited = spark.createDataFrame(rows, "id string, law_number string, article_number string, created_at timestamp")
-    for share in (1, 200):
-        assert {tuple(r) for r in orphans.orphan_counts(cited, laws, articles, share).collect()} == {("laws", "late", day(1), 8), ("laws", "missing", None, 1)}
+    for share, most in ((1, 0), (200, 0), (200, 1000)):
+        assert {tuple(r) for r in orphans.orphan_counts(cited, laws, articles, share, most).collect()} == {("laws", "late", day(1), 8), ("laws", "missing", None, 1)}
 
 
 def test_rows_of_heavy_keys_never_enter_the_shuffle(spark):
