@@ -8,12 +8,13 @@ from pyspark.sql.window import Window
 
 from strataquill.functions import text as T
 from strataquill.functions.keys import article_key, law_key
+from strataquill.functions.labels import label_sql
 from strataquill.operators import retrieval as R
 from strataquill.operators.lines import column_bands
+from strataquill.operators.paging import numbered
 from strataquill.operators.parsing import peak_ratio
 from strataquill.operators.skew import hot_key_join
 from strataquill.plans.retrieval_queries import _DOCS, _ITEMS, _bm25, _documents, _items, _words
-from strataquill.functions.labels import label_sql
 from strataquill.sources.tables import records, table
 
 _LANGUAGES = ("rw", "en", "fr")
@@ -60,10 +61,10 @@ def severity_ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_projection(spark: SparkSession, folder: str) -> DataFrame:
-    """Citations of each case: their number, and all of them as JSON in the order of their ids."""
-    cited = records(spark, folder, "case_statute_citations").where("law_number IS NOT NULL")
-    gathered = cited.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("id", "law_number", F.coalesce("article_number", F.lit("")).alias("article_number")))).alias("c"))
-    return gathered.select("case_id", F.size("c").cast("long").alias("n"), F.to_json(F.transform("c", lambda c: F.struct(c["law_number"].alias("law"), c["article_number"].alias("article")))).alias("cited"))
+    """Each citation as JSON with its place among those of its case: no case is gathered in one cell."""
+    cited = records(spark, folder, "case_statute_citations").where("law_number IS NOT NULL").select("case_id", "id", "law_number", "article_number")
+    placed = numbered(cited, "case_id", "id", "place")
+    return placed.select("case_id", "id", F.col("place").cast("long").alias("place"), F.to_json(F.struct(F.col("law_number").alias("law"), F.coalesce("article_number", F.lit("")).alias("article"))).alias("cited"))
 
 
 def best_per_source(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +119,7 @@ ORACLES = {
  SELECT law_id, count(*) FILTER (WHERE rw AND NOT en) AS rw_only, count(*) FILTER (WHERE en AND NOT fr) AS en_not_fr, count(*) FILTER (WHERE rw OR en OR fr) AS all_numbers, count(*) FILTER (WHERE rw AND fr) AS rw_and_fr FROM p GROUP BY law_id""",
     "status_counts": f"WITH p AS (SELECT law, count(DISTINCT status) AS k, first(status ORDER BY created_at, status) AS first FROM (SELECT DISTINCT id, {_LAW} AS law, status, created_at FROM laws) GROUP BY law) SELECT first, count(*) AS n_laws, count(*) FILTER (WHERE k > 1) AS conflicting FROM p GROUP BY first",
     "severity_ranked": "SELECT id, row_number() OVER (PARTITION BY origin ORDER BY CASE status WHEN 'repealed' THEN 1 WHEN 'amended' THEN 2 WHEN 'active' THEN 3 ELSE 0 END, id) AS place FROM (SELECT DISTINCT * FROM laws)",
-    "audit_projection": "SELECT case_id, count(*) AS n, to_json(list({'law': law_number, 'article': coalesce(article_number, '')} ORDER BY id))::VARCHAR AS cited FROM (SELECT DISTINCT * FROM case_statute_citations) WHERE law_number IS NOT NULL GROUP BY case_id",
+    "audit_projection": "SELECT case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY id) AS place, to_json({'law': law_number, 'article': coalesce(article_number, '')})::VARCHAR AS cited FROM (SELECT DISTINCT * FROM case_statute_citations) WHERE law_number IS NOT NULL",
     "best_per_source": f"WITH {_bm25(_DOCS, _ITEMS, _words, 10)} SELECT q, source, max(score) AS score FROM top JOIN documents ON doc_id = doc GROUP BY q, source",
     "peak_ratios": f"WITH {_bm25(_DOCS, _ITEMS, _words, 10)}, pk AS (SELECT q, max(score) FILTER (WHERE rank = 1) AS t, coalesce(avg(score) FILTER (WHERE rank BETWEEN 2 AND 10), 0) AS r FROM top GROUP BY q) SELECT q, round(CASE WHEN r > 0 THEN t / r WHEN t > 0 THEN 99 ELSE 0 END, 6) AS ratio FROM pk",
     "mixed_index": f"WITH {_bm25(_ALL_DOCS, _ALL_ITEMS, _words, 3)} SELECT q, doc, score, rank FROM top",

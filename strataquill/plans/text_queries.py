@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataquill.functions import classify as C
 from strataquill.functions import dates as D
@@ -142,7 +143,11 @@ def question_lists(spark: SparkSession, folder: str) -> DataFrame:
 def warning_triage(spark: SparkSession, folder: str) -> DataFrame:
     laws = table(spark, folder, "laws").dropDuplicates(["id"])
     warnings = laws.select("id", F.explode(F.array_compact(F.array(F.when(F.col("gazette_ref").isNull(), "no text layer on 3 pages"), F.when(F.col("published_at").isNull(), "no promulgation date found"), F.when(F.col("coverage") == "partial", F.concat(F.lit("missing articles 2-"), F.length("law_number").cast("string")))))).alias("warning"))
-    by = warnings.groupBy(C.warning_family(F.col("warning")).alias("family")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("warning")), 1, 3), ";").alias("examples"))
+    distinct = warnings.groupBy(C.warning_family(F.col("warning")).alias("family"), "warning").agg(F.count(F.lit(1)).alias("n"))
+    # The three first of a family are taken before they are gathered.
+    place = F.row_number().over(Window.partitionBy("family").orderBy("warning"))
+    examples = distinct.select("family", "warning").withColumn("place", place).where("place <= 3").groupBy("family").agg(F.array_join(F.array_sort(F.collect_list("warning")), ";").alias("examples"))
+    by = distinct.groupBy("family").agg(F.sum("n").alias("n")).join(examples, "family")
     return by.withColumn("severity", C.severity_of(F.col("family")))
 
 
