@@ -70,7 +70,8 @@ def stem_word(column: Column | str) -> Column:
 
 def stem_tokens(column: Column | str) -> Column:
     """Every word of more than two letters, each followed by its root where that differs."""
-    return F.flatten(F.transform(word_tokens(column), lambda w: F.when(stem_word(w) == w, F.array(w)).otherwise(F.array(w, stem_word(w)))))
+    pairs = F.transform(word_tokens(column), lambda w: F.struct(w.alias("word"), stem_word(w).alias("root")))
+    return F.flatten(F.transform(pairs, lambda p: F.when(p["root"] == p["word"], F.array(p["word"])).otherwise(F.array(p["word"], p["root"]))))
 
 
 def stem_and_char_tokens(column: Column | str) -> Column:
