@@ -70,11 +70,22 @@ _ASKS = {
 }
 
 
+class _Unmarked(dict):
+    """Translation of code points that drops combining and invisible characters, filled as they come."""
+
+    def __missing__(self, code: int) -> int | None:
+        char = chr(code)
+        self[code] = None if unicodedata.combining(char) or unicodedata.category(char) == "Cf" else code
+        return self[code]
+
+
+_UNMARKED = _Unmarked()
+
+
 def bare_words(text: str) -> list[str]:
     """Words and numbers without case, accents, markup and invisible characters."""
-    plain = re.sub(r"<[^<>]*>", " ", html.unescape(text))
-    folded = unicodedata.normalize("NFKD", plain.casefold())
-    return _WORD.findall("".join(c for c in folded if not unicodedata.combining(c) and unicodedata.category(c) != "Cf"))
+    folded = re.sub(r"<[^<>]*>", " ", html.unescape(text)).casefold()
+    return _WORD.findall(folded if folded.isascii() else unicodedata.normalize("NFKD", folded).translate(_UNMARKED))
 
 
 def says_nothing(answer: str | None) -> bool:
