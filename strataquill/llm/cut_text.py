@@ -99,6 +99,7 @@ evidence AS (
 SELECT DISTINCT id, field, source FROM judged
 WHERE marked OR kept RLIKE '\\x{FFFD}$' OR kept RLIKE '[,(«“]$' OR NOT heading AND (at_limit OR kept RLIKE '[;:]$')
   OR CASE WHEN phrase THEN false
+          WHEN heading AND n_begun >= 5 AND i1 <= @share@ * t1 AND t1 < @share@ * n_begun THEN true -- shares only: cuts recur as the table grows
           WHEN i3 + t3 >= 5 THEN t3 < @share@ * (i3 + t3) AND (NOT heading OR at_limit OR i3 >= 20)
           WHEN i1 + t1 >= 5 THEN t1 < @share@ * (i1 + t1) AND (NOT heading OR at_limit OR i1 >= 100)
           WHEN heading AND NOT at_limit THEN i1 = 0 AND n_begun >= 5 AND t1 < 10 * @share@ * n_begun
@@ -126,8 +127,9 @@ def cut_values(values: DataFrame, share: float = 0.02, short: int = 0) -> DataFr
     sentence; if it is unfinished at a length where its source piles up unfinished values; or if its
     last trigram (where rarer than 5, its last word) ends less than ``share`` of its occurrences,
     or no text uses its last word. Values of field ``heading`` need no stop, so they must also stand
-    at a field limit, behind a trigram seen 20 times or on a word seen 100 times, or on one that no text
-    uses inside and with which words begin that are far more frequent than itself. A signature line, a line in capitals and a
+    at a field limit, behind a trigram seen 20 times or on a word seen 100 times, or on one that (but for
+    ``share`` of its ends, however often it was cut there) no text uses inside and with which words begin
+    that are far more frequent than itself. A signature line, a line in capitals and a
     place with date end a text. Null, empty and blank values and null ids are no case; repeated rows
     count once in the result; a null source is a source of its own; empty input gives no rows.
     Values of fewer than ``short`` words may be set phrases without a stop: those that differ in

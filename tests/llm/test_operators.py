@@ -161,6 +161,15 @@ def test_cut_values(spark):
     assert cut_text.cut_values(frame.limit(0)).count() == 0
 
 
+def test_headings_cut_often_at_the_same_place(spark):
+    rng = random.Random(9)
+    nouns = ["lease", "court", "notary", "budget", "school", "road", "permit", "tax"]
+    rows = [(f"w{k}", "heading", "s", f"Duties of the {rng.choice(nouns)} and conditions for the {rng.choice(nouns)}") for k in range(2000)]
+    rows += [(f"c{k}", "heading", "s", f"Duties of the {nouns[k % 8]} and condit") for k in range(16)]
+    frame = spark.createDataFrame(rows, "id string, field string, source string, value string")
+    assert {r["id"] for r in cut_text.cut_values(frame).collect()} == {f"c{k}" for k in range(16)}
+
+
 # 5 -----------------------------------------------------------------------------------------------
 
 
