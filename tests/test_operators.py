@@ -339,3 +339,12 @@ def test_batches_are_scanned_in_pieces_of_bounded_tokens():
     pieces = list(R._pieces(batch.slice(0), rows=3, tokens=7))
     assert [[len(t) for t in p.column("tokens").to_pylist()] for p in pieces] == [[3, 0, 4], [900], [1, 1, 1], [1, 0]]
     assert [p.num_rows for p in R._pieces(batch.slice(2, 3), tokens=4)] == [1, 1, 1] and not list(R._pieces(batch.slice(0, 0)))
+
+
+def test_best_score_of_each_query_whatever_the_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", k, " ".join(["word", "term", "leaf", f"own{k}"][k % 3 :] * (1 + 40 * (k == 5)))) for k in range(12)], "language string, doc long, text string").coalesce(1)
+    queries = spark.createDataFrame([(k, "en", f"leaf term own{k}") for k in range(12)], "q long, language string, text string")
+    search = lambda: sorted(tuple(r) for r in R.search(docs, queries, 1, word_tokens).collect())
+    whole = search()
+    monkeypatch.setattr(R._pieces, "__defaults__", (2, 3))
+    assert search() == whole and len(whole) == 12
