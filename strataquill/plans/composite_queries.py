@@ -11,7 +11,7 @@ from strataquill.functions.labels import label_sql
 from strataquill.operators import evaluation as E
 from strataquill.operators import loads
 from strataquill.operators import retrieval as R
-from strataquill.plans.retrieval_queries import _CONTAINED, _DOCS, _HEADED, _ITEMS, _bm25, _contained, _documents, _grams, _headed, _heading_ranks, _items, _served, _words
+from strataquill.plans.retrieval_queries import _CONTAINED, _DOCS, _HEADED, _ITEMS, _bm25, _contained, _documents, _grams, _headed, _items, _questions, _served, _words
 from strataquill.session import checkpoint, shared_folder
 from strataquill.sources.tables import records, table
 
@@ -79,14 +79,13 @@ def expansion_gain(spark: SparkSession, folder: str) -> DataFrame:
 
 def tokenizer_table(spark: SparkSession, folder: str) -> DataFrame:
     """Recall by heading with each of the four tokenizers, and how it splits from character 4-grams."""
-    served = _headed(spark, folder)
-    # Roots are worked out once and shared by two of the tokenizers.
-    stems = checkpoint(served.select("id", "language", "heading", "body", *(T.stem_tokens(c).alias(f"{c}_stems") for c in ("heading", "body"))))
-    ranks = {name: _heading_ranks(spark, folder, t) for name, t in (("chars", T.char_ngrams), ("words", T.word_tokens))}
-    for name, bag in (("stems", lambda c: F.col(f"{c}_stems")), ("stems_chars", lambda c: F.concat(f"{c}_stems", T.char_ngrams(c)))):
-        docs, queries = stems.select("language", F.col("id").alias("doc"), bag("body").alias("text")), stems.select(F.col("id").alias("q"), "language", bag("heading").alias("text"))
-        found = R.search(docs, queries, 5, lambda tokens: tokens).where(F.col("q") == F.col("doc")).select("q", "rank")
-        ranks[name] = queries.select("q", "language").join(found, "q", "left")
+    # Roots are worked out once and shared by two of the tokenizers; as lines, which are half as large as arrays.
+    rows = checkpoint(_questions(spark, folder).select("*", *(F.array_join(T.stem_tokens(c), " ").alias(f"{c}_stems") for c in ("question", "text"))))
+    stems = rows.select("q", "language", *(F.struct(F.col(c).alias("text"), F.col(f"{c}_stems").alias("stems")).alias(c) for c in ("question", "text")))
+    stemmed = lambda c: F.filter(F.split(c["stems"], " "), lambda w: w != "")
+    ranks = {name: R.own_ranks(rows, 5, t) for name, t in (("chars", T.char_ngrams), ("words", T.word_tokens))}
+    ranks |= {name: R.own_ranks(stems, 5, t) for name, t in (("stems", stemmed), ("stems_chars", lambda c: F.concat(stemmed(c), T.char_ngrams(c["text"]))))}
+    ranks = {name: checkpoint(r) for name, r in ranks.items()}  # each is read three times or more
     first = {name: r.where("rank = 1").select("q") for name, r in ranks.items()}
     result = None
     for name, r in ranks.items():

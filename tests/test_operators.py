@@ -341,10 +341,21 @@ def test_batches_are_scanned_in_pieces_of_bounded_tokens():
     assert [p.num_rows for p in R._pieces(batch.slice(2, 3), tokens=4)] == [1, 1, 1] and not list(R._pieces(batch.slice(0, 0)))
 
 
-def test_best_score_of_each_query_whatever_the_pieces(spark, monkeypatch):
-    docs = spark.createDataFrame([("en", k, " ".join(["word", "term", "leaf", f"own{k}"][k % 3 :] * (1 + 40 * (k == 5)))) for k in range(12)], "language string, doc long, text string").coalesce(1)
-    queries = spark.createDataFrame([(k, "en", f"leaf term own{k}") for k in range(12)], "q long, language string, text string")
-    search = lambda: sorted(tuple(r) for r in R.search(docs, queries, 1, word_tokens).collect())
-    whole = search()
-    monkeypatch.setattr(R._pieces, "__defaults__", (2, 3))
-    assert search() == whole and len(whole) == 12
+def test_best_score_of_each_query_in_long_documents(spark):
+    docs = spark.createDataFrame([("en", k, " ".join(["word", "term", "leaf"][k % 3 :] * 50_000 + [f"own{k}"])) for k in range(6)], "language string, doc long, text string").coalesce(1)
+    queries = spark.createDataFrame([(k, "en", f"leaf term own{k}") for k in range(6)], "q long, language string, text string")
+    got = {(r["q"], r["doc"], r["score"]) for r in R.search(docs, queries, 1, word_tokens).collect()}
+    assert got == {(r["q"], r["doc"], r["score"]) for r in R.top_k(R.score(R.build_index(docs, word_tokens), queries), 1).collect()} and len(got) == 6
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_own_ranks_are_those_of_a_search(spark, block):
+    words = ["law", "court", "tax", "judge", "land", "lease", "road", "school", "permit", "notary"]
+    rows = [(f"d{(k * 7) % 60}", ["en", "fr", None][k % 3 if k < 50 else 0], " ".join(words[(k * j) % 10] for j in (3, 7)), " ".join(words[(k * j + j) % 10] for j in range(1, 4 + k % 9))) for k in range(60)]
+    rows += [("e1", "en", "nothing shared", "law court"), ("e2", "en", None, "law"), ("e3", "en", "law", None), ("e4", "fr", "tax tax road", "tax road tax")] + [(f"t{k}", "fr", "tax road", "tax road") for k in range(9)]
+    frame = spark.createDataFrame(rows, "q string, language string, question string, text string").repartition(3)
+    found = R.search(frame.select("language", F.col("q").alias("doc"), "text"), frame.select("q", "language", F.col("question").alias("text")), 5, word_tokens)
+    want = {r[0]: None for r in rows} | {r["q"]: r["rank"] for r in found.where("q = doc").collect()}
+    got = R.own_ranks(frame, 5, word_tokens, block=block)
+    assert {r["q"]: r["rank"] for r in got.collect()} == want and got.count() == len(rows) and len({*want.values()}) == 6
+    assert R.own_ranks(frame.limit(0), 5, word_tokens).count() == 0
