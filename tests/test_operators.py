@@ -359,3 +359,10 @@ def test_own_ranks_are_those_of_a_search(spark, block):
     got = R.own_ranks(frame, 5, word_tokens, block=block)
     assert {r["q"]: r["rank"] for r in got.collect()} == want and got.count() == len(rows) and len({*want.values()}) == 6
     assert R.own_ranks(frame.limit(0), 5, word_tokens).count() == 0
+
+
+def test_own_ranks_of_lines_of_roots(spark):
+    rows = [(k, "en", ("", ["law law", "tax", "", "road law"][k % 4]), ("", ["law", "tax law", "road", ""][k % 4])) for k in range(16)]
+    frame = spark.createDataFrame(rows, "q long, language string, question struct<text:string,stems:string>, text struct<text:string,stems:string>")
+    got = {r["q"]: r["rank"] for r in R.own_ranks(frame, 3, lambda c: F.filter(F.split(c["stems"], " "), lambda w: w != "")).collect()}
+    assert got == {k: {0: k // 4 + 1, 1: k // 4 + 1}.get(k % 4) if k // 4 < 3 else None for k in range(16)}
