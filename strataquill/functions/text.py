@@ -17,11 +17,16 @@ def clean(column: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(column), r"[\s ]+", " "))
 
 
+def bare(column: Column | str) -> Column:
+    """The letters and digits of the lower-cased text; null gives an empty text."""
+    return F.regexp_replace(F.lower(F.coalesce(_col(column), F.lit(""))), r"[^\p{L}\p{N}]+", "")
+
+
 def char_ngrams(column: Column | str, n: int = 4) -> Column:
     """Overlapping slices of ``n`` letters and digits of the lower-cased text; a lookahead makes it
-    linear in the length. Null gives an empty array, as does a text of fewer than ``n``."""
-    bare = F.regexp_replace(F.lower(F.coalesce(_col(column), F.lit(""))), r"[^\p{L}\p{N}]+", "")
-    return F.regexp_extract_all(bare, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
+    linear in the length, and none begins inside a surrogate pair. Null gives an empty array, as does
+    a text of fewer than ``n``."""
+    return F.regexp_extract_all(bare(column), F.lit(rf"(?=(.{{{n}}}))(?!\p{{Cs}})"), F.lit(1))
 
 
 def word_tokens(column: Column | str, longer_than: int = 2) -> Column:

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataquill.functions.text import content_words, word_tokens
+from strataquill.functions.text import char_ngrams, content_words, word_tokens
 from strataquill.operators import evaluation as E
 from strataquill.operators import lines as L
 from strataquill.operators import loads, orphans, paging, provisions
@@ -366,3 +366,27 @@ def test_own_ranks_of_lines_of_roots(spark):
     frame = spark.createDataFrame(rows, "q long, language string, question struct<text:string,stems:string>, text struct<text:string,stems:string>")
     got = {r["q"]: r["rank"] for r in R.own_ranks(frame, 3, lambda c: F.filter(F.split(c["stems"], " "), lambda w: w != "")).collect()}
     assert got == {k: {0: k // 4 + 1, 1: k // 4 + 1}.get(k % 4) if k // 4 < 3 else None for k in range(16)}
+
+
+def test_slices_of_texts_are_found_without_making_them(spark):
+    texts = ["", None, "abc", "abcd", "\U00010400bcd\U00010428\U00010428ef", "Éàb cdé 中文字符串", "aaaaaaa", "xyz!abcd0abcd", "bcda"]
+    docs = spark.createDataFrame([("en", k, t) for k, t in enumerate(texts)] + [(None, 90, "abcd"), ("fr", 91, "abcd")], "language string, doc long, text string").coalesce(1)
+    queries = spark.createDataFrame([(1, "en", "abcd abcd"), (2, "en", "\U00010428bcd\U00010428"), (3, "fr", "aaaa中文字符"), (4, "en", "aaaa中文字符"), (5, "en", "?bc")], "q long, language string, text string")
+    tokens = docs.where("language IS NOT NULL").select(F.col("doc"), char_ngrams("text").alias("t")).collect()
+    assert all(r["t"] == [b[i : i + 4] for i in range(len(b) - 3)] for r in tokens for b in ["".join(c for c in (dict(enumerate(texts)) | {91: "abcd"}).get(r["doc"]) or "" if c.isalnum()).lower()])
+    assert R._points("a中\U00010428").tolist() == [97, 0x4E2D, 0x10428]
+    for widest in (2_000_000, 0):  # by tables and by bisection
+        places = R._Places(R.np.array([3, 70, 900]), widest)
+        assert places.of(R.np.array([3, 4, 900, 901, 70, 10**15])).tolist() == [0, -1, 2, -1, 1, -1]
+    found = {(r["q"], r["doc"], r["score"]) for r in R.search(docs, queries, 9).collect()}
+    assert found == {(r["q"], r["doc"], r["score"]) for r in R.search(docs, queries, 9, lambda c: char_ngrams(c)).collect()} and {q for q, _, _ in found} == {1, 2, 4}
+    assert found == {(r["q"], r["doc"], r["score"]) for r in R.top_k(R.score(R.build_index(docs), queries), 9).collect()}
+
+
+def test_character_slices_do_not_pass_to_python_as_strings(spark, monkeypatch):
+    kinds = []
+    seen = R._scored
+    monkeypatch.setattr(R, "_scored", lambda tokens, *rest: kinds.append(tokens.schema["tokens"].dataType.simpleString()) or seen(tokens, *rest))
+    docs = spark.createDataFrame([("en", 1, "abcdef")], "language string, doc long, text string")
+    R.search(docs, docs.select(F.col("doc").alias("q"), "language", "text"))
+    assert kinds == ["string"]
