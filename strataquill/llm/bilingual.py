@@ -1,8 +1,8 @@
 """Sentence alignment in bilingual documents.
 
 Sentences are compared by how much of each is covered by the other: numbers, names and cognates
-cover themselves, other words what a lexicon says translates them. The lexicon is fitted on a bounded
-sample of document pairs by counting co-occurrence, first in documents, then in the sentences that the
+cover themselves, other words what a lexicon says translates them. The lexicon is fitted on all
+document pairs by counting co-occurrence, first in documents, then in the sentences that the
 lexicon so far aligns. Per document pair, sentences that share an anchor that is rare in both texts and
 prefer each other are chained by the longest increasing subsequence. Only the gaps of the chain are
 compared in full, by dynamic programming, and sentences left over join where they are covered: that
@@ -227,64 +227,170 @@ def align(left: list[str], right: list[str], lexicon: Lexicon, least: float = 0.
     return sorted(set(pairs))
 
 
-def fit_lexicon(pairs: list[tuple[str, str, str, str]], most_words: int = 6000, rounds: int = 3) -> Lexicon:
-    """A lexicon from (language, text, language, text) of the sample; rounds after the first count in
-    aligned sentences. The ``most_words`` most frequent words of the sample bound its size."""
-    split = [(x, sentences_of(a), y, sentences_of(b)) for x, a, y, b in pairs if x != y]
-    split = [(x, a, y, b) if x < y else (y, b, x, a) for x, a, y, b in split]
-    totals: Counter = Counter()
-    for x, a, y, b in split:
-        for language, sentences in ((x, a), (y, b)):
-            totals.update(w for s in sentences for w, _ in tokens_of(s) if not w[0].isdigit())
-    words = {w: k for k, (w, n) in enumerate(totals.most_common(most_words)) if n > 1}
-    lexicon = Lexicon()
+class _Together:
+    """How often words stand together, by kind of pair: a row of counts for every word of the first language
+    met so far. Rows pass on when ``cells`` are held, or one for every word where those are more."""
+
+    def __init__(self, words: int, kinds: int, cells: int = 24_000_000):
+        self.words, self.kinds = words, kinds
+        self.slots, self.keys = np.full(kinds * words, -1, np.int64), np.zeros(min(kinds * words, max(words, cells // words)), np.int64)
+        self.counts, self.used = np.zeros((len(self.keys), words), np.int32), 0
+        self.alone, self.rows = np.zeros((kinds, 2, words), np.int64), np.zeros(kinds, np.int64)
+
+    def add(self, kind: int, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Count two bags of words that belong together."""
+        self.rows[kind] += 1
+        self.alone[kind, 0, left] += 1
+        self.alone[kind, 1, right] += 1
+        if not len(left) or not len(right):
+            return
+        keys = kind * self.words + left
+        if self.used + np.count_nonzero(self.slots[keys] < 0) > len(self.keys):
+            yield from self.passed_on()
+        fresh = keys[self.slots[keys] < 0]
+        self.slots[fresh] = np.arange(self.used, self.used + len(fresh))
+        self.keys[self.used : self.used + len(fresh)] = fresh
+        self.used += len(fresh)
+        self.counts[np.ix_(self.slots[keys], right)] += 1
+
+    def passed_on(self) -> Iterator[pa.RecordBatch]:
+        """(code, n) of all rows held, which begin anew."""
+        step = max(1, 1_000_000 // self.words)
+        for first in range(0, self.used, step):
+            part = self.counts[first : min(first + step, self.used)]
+            row, column = np.nonzero(part)
+            yield _codes(self.keys[first + row] * self.words + column, part[row, column])
+        self.slots[self.keys[: self.used]] = -1
+        self.counts[: self.used] = 0
+        self.used = 0
+
+    def totals(self) -> Iterator[pa.RecordBatch]:
+        """(code, n) of single words and of pairs of bags, by codes below 0."""
+        numbers = np.concatenate([self.alone.ravel(), self.rows])
+        some = np.flatnonzero(numbers)
+        yield _codes(-1 - some, numbers[some])
+
+
+def _codes(codes: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(numbers, pa.int64())], ["code", "n"])
+
+
+@dataclass
+class _Packed:
+    """A lexicon whose strengths are those above 0 only."""
+
+    words: dict[str, int] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    columns: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+
+    def lexicon(self) -> Lexicon:
+        strength = np.zeros((len(self.words), len(self.words)), np.float32)
+        strength[self.rows, self.columns] = self.values
+        return Lexicon(self.words, self.weights, strength)
+
+
+def fit_lexicon(pairs: DataFrame, most_words: int = 6000, rounds: int = 3) -> _Packed:
+    """A lexicon from all pairs (body_a, language_a, body_b, language_b) of two languages; the first round
+    counts in documents, later ones in the sentences that the lexicon so far aligns. The ``most_words`` most
+    frequent words of all texts bound its size; what is counted is added up from all tasks."""
+    swapped = F.col("language_a") > F.col("language_b")
+    sides = [F.when(swapped, F.col(f"{n}_{y}")).otherwise(F.col(f"{n}_{x}")).alias(f"{n}_{k}") for k, x, y in ((1, "a", "b"), (2, "b", "a")) for n in ("language", "body")]
+    told = pairs.where(F.col("language_a") != F.col("language_b")).select(*sides)
+    words, weights = _vocabulary(told, most_words)
     if not words:
-        return lexicon
-    bags = [(x, [_bag(s, words) for s in a], y, [_bag(s, words) for s in b]) for x, a, y, b in split]
-    counts = np.zeros(len(words))
-    n_sentences = 0
-    for _, a, _, b in bags:
-        for bag in (*a, *b):
-            counts[bag] += 1
-            n_sentences += 1
-    weights = np.clip(np.log(n_sentences / np.maximum(counts, 1)), 0.3, 4).astype(np.float32)
+        return _Packed()
+    kinds = [(r[0], r[1]) for r in told.select("language_1", "language_2").distinct().orderBy("language_1", "language_2").collect()]  # a few labels
+    packed = _Packed(words, weights)
     for turn in range(rounds):
-        strength = np.zeros((len(words), len(words)), np.float32)
-        for x, y in sorted({(x, y) for x, _, y, _ in bags}):
-            rows: list[tuple[np.ndarray, np.ndarray]] = []
-            for (p, a, q, b), (_, sa, _, sb) in zip(bags, split):
-                if (p, q) != (x, y) or not a or not b:
+        packed = _Packed(words, weights, *_strengths(told, packed, kinds, turn))
+    return packed
+
+
+def _vocabulary(told: DataFrame, most_words: int) -> tuple[dict[str, int], np.ndarray]:
+    """The most frequent words of all texts (those that stand once only are left out), and how much each tells."""
+
+    def count(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+        total, within = Counter(), Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([*within], pa.string()), pa.array([total[w] for w in within], pa.int64()), pa.array([*within.values()], pa.int64())], ["word", "n", "sentences"])
+        for batch in batches:
+            for text in (t for c in ("body_1", "body_2") for t in batch.column(c).to_pylist()):
+                for sentence in sentences_of(text):
+                    found = [w for w, _ in tokens_of(sentence) if not w[0].isdigit()]
+                    total.update(found)
+                    within.update({"", *found})  # the empty word counts the sentences
+                if len(within) > most:
+                    yield out()
+                    total, within = Counter(), Counter()
+        yield out()
+
+    counted = told.select("body_1", "body_2").mapInArrow(count, "word string, n long, sentences long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("sentences").alias("sentences"))
+    first = F.col("word") == ""
+    rows = counted.where(first | (F.col("n") > 1)).orderBy(first.desc(), F.desc("n"), "word").limit(most_words + 1).collect()
+    if len(rows) < 2:
+        return {}, np.zeros(0, np.float32)
+    counts = np.array([r["sentences"] for r in rows[1:]], float)
+    return {r["word"]: k for k, r in enumerate(rows[1:])}, np.clip(np.log(rows[0]["sentences"] / np.maximum(counts, 1)), 0.3, 4).astype(np.float32)
+
+
+def _strengths(told: DataFrame, packed: _Packed, kinds: list[tuple[str, str]], turn: int, tasks: int = 4, least_rows: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of the translation strength above 0 by one round over all pairs.
+
+    At most ``tasks`` tasks a core count, so that the tables to add up don't grow with the data."""
+    context, n = told.sparkSession.sparkContext, len(packed.words)
+    held = context.broadcast(packed)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, together = held.value.lexicon(), _Together(n, len(kinds))
+        at = {kind: k for k, kind in enumerate(kinds)}
+        for batch in batches:
+            for x, left, y, right in zip(*(batch.column(c).to_pylist() for c in ("language_1", "body_1", "language_2", "body_2"))):
+                left, right = sentences_of(left), sentences_of(right)
+                if not left or not right:
                     continue
                 if turn == 0:
-                    rows.append((np.unique(np.concatenate(a)), np.unique(np.concatenate(b))))
-                else:
-                    rows += [(a[i], b[j]) for i, j in align(sa, sb, lexicon, 0.3, 0.9)]
-            if len(rows) < 5:
-                continue
-            used = [np.unique(np.concatenate([r[side] for r in rows])) for side in (0, 1)]
-            if not len(used[0]) or not len(used[1]):
-                continue
-            grid = []
-            for side in (0, 1):
-                matrix = np.zeros((len(rows), len(used[side])), np.float32)
-                for k, row in enumerate(rows):
-                    matrix[k, np.searchsorted(used[side], row[side])] = 1
-                grid.append(matrix)
-            both, left, right = grid[0].T @ grid[1], grid[0].sum(0), grid[1].sum(0)
-            base_right, base_left = right / len(rows), left / len(rows)
+                    yield from together.add(at[x, y], _bag(" ".join(left), model.words), _bag(" ".join(right), model.words))
+                    continue
+                for i, j in align(left, right, model, 0.3, 0.9):
+                    yield from together.add(at[x, y], _bag(left[i], model.words), _bag(right[j], model.words))
+        yield from together.passed_on()
+        yield from together.totals()
+
+    counted = told.coalesce(tasks * context.defaultParallelism).mapInArrow(count, "code long, n long")
+    cells = checkpoint(counted.groupBy("code").agg(F.sum("n").alias("n")))
+    found = cells.where("code < 0").toArrow()  # words and kinds
+    totals = np.zeros(len(kinds) * (2 * n + 1))
+    totals[-1 - found.column("code").to_numpy()] = found.column("n").to_numpy()
+    known = context.broadcast(totals)
+
+    def strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone, rows = known.value[: 2 * n * len(kinds)].reshape(len(kinds), 2, n), known.value[2 * n * len(kinds) :]
+        for batch in batches:
+            code, both = batch.column("code").to_numpy(), batch.column("n").to_numpy()
+            kind, i, j = code // (n * n), code // n % n, code % n
+            left, right, every = alone[kind, 0, i], alone[kind, 1, j], rows[kind]
+            base_right, base_left = right / every, left / every
             # Agreement beyond chance, in both directions; a few more sightings count for rare words.
-            to_right = np.clip((both / (left[:, None] + 0.7) - base_right) / np.maximum(1 - base_right, 0.05), 0, 1)
-            to_left = np.clip((both / (right[None, :] + 0.7) - base_left[:, None]) / np.maximum(1 - base_left[:, None], 0.05), 0, 1)
-            found = np.sqrt(to_right * to_left)
-            found[found < 0.15] = 0
-            block = np.ix_(used[0], used[1])
-            strength[block] = np.maximum(strength[block], found)
-            block = np.ix_(used[1], used[0])
-            strength[block] = np.maximum(strength[block], found.T)
-        # A word's best translation counts in full: paraphrases share its occurrences.
-        best = strength.max(1, keepdims=True)
-        lexicon = Lexicon(words, weights, np.minimum(1, strength / np.maximum(np.maximum(np.sqrt(best), np.sqrt(best.T)), 1e-6)).astype(np.float32))
-    return lexicon
+            to_right = np.clip((both / (left + 0.7) - base_right) / np.maximum(1 - base_right, 0.05), 0, 1)
+            to_left = np.clip((both / (right + 0.7) - base_left) / np.maximum(1 - base_left, 0.05), 0, 1)
+            value = np.sqrt(to_right * to_left)
+            kept = (value >= 0.15) & (every >= least_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(i[kept], pa.int32()), pa.array(j[kept], pa.int32()), pa.array(value[kept], pa.float32())], ["i", "j", "value"])
+
+    # At most the words by the words; a pair of words in several kinds, or in either order, has its largest value.
+    found = cells.where("code >= 0").mapInArrow(strong, "i int, j int, value float").toArrow()
+    for sent in (held, known):
+        sent.destroy()
+    i, j, value = (found.column(c).to_numpy() for c in ("i", "j", "value"))
+    codes, value = np.concatenate([i.astype(np.int64) * n + j, j.astype(np.int64) * n + i]), np.concatenate([value, value])
+    order = np.lexsort((-value, codes))
+    codes, first = np.unique(codes[order], return_index=True)
+    i, j, value = codes // n, codes % n, value[order][first]
+    # A word's best translation counts in full: paraphrases share its occurrences.
+    best = np.zeros(n, np.float32)
+    np.maximum.at(best, i, value)
+    return i.astype(np.int32), j.astype(np.int32), np.minimum(1, value / np.maximum(np.sqrt(np.maximum(best[i], best[j])), 1e-6)).astype(np.float32)
 
 
 def _bag(sentence: str, words: dict[str, int]) -> np.ndarray:
@@ -310,25 +416,17 @@ def document_pairs(texts: DataFrame, most_keys: int = 2_000_000) -> DataFrame:
     return joined.select("article_id", *both).dropDuplicates(["article_id", "text_a", "text_b"]).drop("article_id")
 
 
-def align_pairs(pairs: DataFrame, sample: int = 3000, longest: int = 20_000) -> DataFrame:
+def align_pairs(pairs: DataFrame) -> DataFrame:
     """Rows (text_a, sentence_a, text_b, sentence_b) of sentences that translate one another.
 
-    Sentences number from 1. The lexicon (of the 6,000 commonest words at most) is fitted on at most ``sample`` pairs, first by a hash of
-    their ids, with both languages labelled and no text longer than ``longest``; every pair is
-    aligned. A text without sentences gives no row.
+    Sentences number from 1. The lexicon (of the 6,000 commonest words at most) is fitted on every pair with
+    both languages labelled, whatever its length; every pair is aligned. A text without sentences gives no row.
     """
     pairs = checkpoint(pairs)
-    usable = (F.length("body_a") <= longest) & (F.length("body_b") <= longest) & F.col("language_a").isNotNull() & F.col("language_b").isNotNull()
-    rows = pairs.where(usable).orderBy(F.xxhash64("text_a", "text_b"), "text_a", "text_b").limit(sample).collect()
-    lexicon = fit_lexicon([(r["language_a"], r["body_a"], r["language_b"], r["body_b"]) for r in rows])
-    where = np.nonzero(lexicon.strength)
-    packed = pairs.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.weights, where[0].astype(np.int32), where[1].astype(np.int32), lexicon.strength[where]))
+    packed = pairs.sparkSession.sparkContext.broadcast(fit_lexicon(pairs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights, rows_, columns_, values = packed.value
-        strength = np.zeros((len(words), len(words)), np.float32)
-        strength[rows_, columns_] = values
-        model = Lexicon(words, weights, strength)
+        model = packed.value.lexicon()
         for batch in batches:
             found = []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("text_a", "text_b", "body_a", "body_b"))):

@@ -318,6 +318,58 @@ def test_alignment(spark):
     assert bilingual.increasing_chain([(0, 2), (1, 0), (2, 1), (3, 3)]) == [(1, 0), (2, 1), (3, 3)]
 
 
+def test_the_lexicon_counts_every_pair_of_documents(spark):
+    """3,400 pairs; the words of the last 400 by hash, and those of texts over 20,000 characters, stand nowhere else."""
+    ids = spark.range(3400).select(F.concat(F.lit("a"), "id").alias("text_a"), F.concat(F.lit("b"), "id").alias("text_b"))
+    order = [(r[0], r[1]) for r in ids.orderBy(F.xxhash64("text_a", "text_b"), "text_a", "text_b").collect()]
+    rng = random.Random(3)
+    letters = lambda k: "".join("bcdfghjklm"[int(c)] + "aeiouaeiou"[int(c)] for c in str(k))
+    rows, truth = [], set()
+    for k, (a, b) in enumerate([*order, *((f"a{3400 + k}", f"b{3400 + k}") for k in range(20))]):
+        words = range(100, 130) if k < 3000 else range(200, 230) if k < 3400 else range(300, 330)
+        made = [rng.sample(words, 5) for _ in range(2)]
+        left, right = ([" ".join(f"{side}{letters(w)}" for w in m) + "." for m in made] for side in "xz")
+        swap = k % 2
+        body = " " * (20_001 * (k >= 3400)) + " ".join(right[::-1] if swap else right)
+        rows.append((a, " ".join(left), "en", b, body, "fr") if k % 3 else (a, body, "fr", b, " ".join(left), "en"))
+        truth |= {(a, i, b, 3 - i if swap else i) for i in (1, 2)}
+    pairs_ = spark.createDataFrame(rows, "text_a string, body_a string, language_a string, text_b string, body_b string, language_b string").repartition(3)
+    found = {tuple(r) for r in bilingual.align_pairs(pairs_).collect()}
+    late = {a for a, _ in order[3000:]} | {f"a{3400 + k}" for k in range(20)}
+    for some in (found & truth, {t for t in found & truth if t[0] in late}, {t for t in found & truth if int(t[0][1:]) >= 3400}):
+        assert len(some) > 0.95 * (2 * 3420 if some == found & truth else 840 if len(some) > 40 else 40)
+    assert len(found & truth) > 0.97 * len(found)
+
+
+def test_words_are_counted_together_whatever_is_held_at_once(spark):
+    rng = np.random.default_rng(2)
+    bags = [(int(rng.integers(2)), np.unique(rng.integers(9, size=rng.integers(6))), np.unique(rng.integers(9, size=rng.integers(6)))) for _ in range(60)]
+    counted = []
+    for cells in (24_000_000, 1):
+        together, sums = bilingual._Together(9, 2, cells), {}
+        batches = [batch for bag in bags for batch in together.add(*bag)]
+        assert bool(batches) == (cells == 1)
+        for batch in (*batches, *together.passed_on(), *together.totals()):
+            for code, n in zip(*(batch.column(c).to_pylist() for c in ("code", "n"))):
+                sums[code] = sums.get(code, 0) + n
+        counted.append(sums)
+    whole = {}
+    for kind, left, right in bags:
+        for code in [*((kind * 9 + i) * 9 + j for i in left for j in right), *(-1 - kind * 18 - i for i in left), *(-10 - kind * 18 - j for j in right), -37 - kind]:
+            whole[code] = whole.get(code, 0) + 1
+    assert counted[0] == counted[1] == whole
+
+
+def test_a_lexicon_is_the_same_whatever_the_partitions(spark):
+    pairs_ = bilingual.document_pairs(translated(spark)[0])
+    one, many = (bilingual.fit_lexicon(pairs_.repartition(n)) for n in (1, 5))
+    assert one.words == many.words and {"the", "le", "court", "tribunal"} <= one.words.keys()
+    for name in ("weights", "rows", "columns", "values"):
+        assert np.array_equal(getattr(one, name), getattr(many, name))
+    strength = one.lexicon().strength
+    assert strength[one.words["court"]].argmax() == one.words["tribunal"] and np.array_equal(strength, strength.T)
+
+
 # 8 -----------------------------------------------------------------------------------------------
 
 
